@@ -62,25 +62,18 @@ def id_hash(doc_id: Column) -> Column:
 
 def _thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, limit, at_limit): take hashes below limit, and those equal to it if at_limit."""
-    found = targets.select("source", "rest", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("before"))
+    found = written(targets.select(F.col("source").alias("of"), "rest", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("before")), "level-0")
+    running = W.partitionBy("of").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
     for level in range(1, LEVELS + 1):
         shift = (LEVELS - level) * BITS
-        mine = F.shiftright(F.col("hash"), shift)
-        inside = sizes.filter("size > 0").select(F.col("source").alias("s"), "size", mine.alias("bucket"), F.shiftright(mine, BITS).alias("above"))
-        if level == 1:
-            inside = inside.withColumn("above", F.lit(0).cast("long"))
-        histogram = inside.groupBy("s", "above", "bucket").agg(F.sum("size").alias("words"))
-        running = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
-        found = (
-            histogram.join(found, F.col("s").eqNullSafe(F.col("source")) & (F.col("above") == F.col("prefix")))
-            .withColumn("end", F.col("before") + F.sum("words").over(running))
-            .filter((F.col("end") - F.col("words") <= F.col("rest")) & (F.col("rest") < F.col("end")))
-            .select("source", "rest", F.col("bucket").alias("prefix"), (F.col("end") - F.col("words")).alias("before"), "end")
-        )
-        last = found
-        found = found.drop("end")
+        inside = sizes.filter("size > 0").join(found, F.col("source").eqNullSafe(F.col("of")) & (F.shiftright(F.col("hash"), shift + BITS) == F.col("prefix")))
+        histogram = inside.groupBy("of", "rest", "before", F.shiftright(F.col("hash"), shift).alias("bucket")).agg(F.sum("size").alias("words"))
+        ends = histogram.withColumn("end", F.col("before") + F.sum("words").over(running)).withColumn("before", F.col("end") - F.col("words"))
+        passed = ends.filter((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("end")))
+        found = written(passed.select("of", "rest", F.col("bucket").alias("prefix"), "before", "end"), f"level-{level}")
+        last, found = found, found.drop("end")
     nearer = F.col("end") - F.col("rest") < F.col("rest") - F.col("before")
-    return last.select("source", F.col("prefix").alias("limit"), nearer.alias("at_limit"))
+    return last.select(F.col("of").alias("source"), F.col("prefix").alias("limit"), nearer.alias("at_limit"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3) -> DataFrame:
@@ -94,6 +87,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int =
     return sizes.join(of_source, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "source", "size", "hash", "source_size", "target", times.alias("times"), (F.col("size") * times).alias("taken"))
 
 
+def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+    """docs as the mix takes them: each row as often as its times says, rows with none dropped; docs' columns."""
+    columns = docs.columns
+    keyed = docs.withColumn("_hash", id_hash(F.col("doc_id")))
+    per_row = mix(docs, **how).select("doc_id", "source", "hash", "times").groupBy("source", "hash").agg(F.first("times").alias("_times")).withColumnRenamed("source", "_source").withColumnRenamed("hash", "_of")
+    joined = keyed.join(per_row, (F.col("_hash") == F.col("_of")) & F.col("source").eqNullSafe(F.col("_source")))
+    return joined.filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*columns)
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
