@@ -89,11 +89,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int =
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """docs as the mix takes them: each row as often as its times says, rows with none dropped; docs' columns."""
-    columns = docs.columns
-    keyed = docs.withColumn("_hash", id_hash(F.col("doc_id")))
-    per_row = mix(docs, **how).select("doc_id", "source", "hash", "times").groupBy("source", "hash").agg(F.first("times").alias("_times")).withColumnRenamed("source", "_source").withColumnRenamed("hash", "_of")
-    joined = keyed.join(per_row, (F.col("_hash") == F.col("_of")) & F.col("source").eqNullSafe(F.col("_source")))
-    return joined.filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*columns)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), id_hash(F.col("doc_id")).alias("of_hash"), F.col("source").alias("of_source"))
+    times = mix(docs, **how).filter("times > 0").groupBy("source", "hash").agg(F.first("times").alias("times"))
+    joined = keyed.join(times, (F.col("of_hash") == F.col("hash")) & F.col("of_source").eqNullSafe(F.col("source")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")).select("row.*")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
