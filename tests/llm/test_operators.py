@@ -381,3 +381,17 @@ def test_pipeline(spark, tables):
     packed = corpus_pipeline.run(spark, tables)
     assert set(packed.columns) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
     assert packed.count() >= counts[4]
+
+
+def test_pieces_encode_as_whole_texts(encode):
+    import random
+
+    from thermion.llm.tokens import PieceEncoder
+
+    rng = random.Random(5)
+    bits = ["Word", "word", "ÉTÉ", "é", "é", "́", "İ", "ΟΔΟΣ", "don't", "'s", "<|endoftext|>", "<|STARTOFTEXT|>", "<|", "12", "3.14", "…", "a_b", "中文", "🙂", "x" * 60, " ", " ", "\x0b", "\x1c"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", "", ".", ",", "!?", ":;", " ", " ", "\n", "\t", "  ", "\r\n"]) for _ in range(rng.randint(0, 12))) for _ in range(3000)] + [None, ""]
+    tok = PieceEncoder(default_path())
+    for at in range(0, len(texts), 100):
+        for t, got in zip(texts[at : at + 100], tok.encode_batch(texts[at : at + 100]), strict=True):
+            assert np.frombuffer(got, np.uint32).tolist() == encode(t), t

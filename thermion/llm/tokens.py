@@ -1,8 +1,10 @@
 """Token ids of whole texts with a public tokenizer file, word by word.
 
-The tokenizer never joins characters across a space, tab or line break, so a text's ids are those of
-its pieces between them, and a piece met before need not be encoded again. Only these four
-characters separate pieces: the tokenizers library itself decides everything inside one.
+The tokenizer never joins characters across a space, tab or line break, lower-cases letters, and
+keeps a punctuation mark apart from the letters before it. So a text's ids are those of its pieces
+between white space, a piece met before need not be encoded again, and "Word" and "word," need only
+"word" and ",". Only these rules are used here: the tokenizers library itself decides everything
+inside a piece. Texts with the beginning of a special token keep their case.
 """
 
 from __future__ import annotations
@@ -10,11 +12,13 @@ from __future__ import annotations
 import os
 from array import array
 
+import numpy as np
 import public_tokenizers
 
 DEFAULT = "word_bpe_49k.json"
-#: About how many pieces a Python worker keeps before it starts anew, and the longest kept: bounds the memory, not the result.
-KEEP, KEEP_CHARS = 400_000, 48
+#: About how many pieces a Python worker keeps in each of two generations, and the longest kept: bounds the memory, not the result.
+KEEP, KEEP_BYTES = 300_000, 48
+MARKS = frozenset(b".,!?;:")
 
 
 def default_path() -> str:
@@ -22,28 +26,65 @@ def default_path() -> str:
 
 
 class PieceEncoder:
-    """encode(text): its ids as little-endian 32-bit integers in one bytes object."""
+    """encode_batch(texts): each text's ids as little-endian 32-bit integers in one bytes object."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[bytes, bytes] = {b"": b""}
+        self.before: dict[bytes, bytes] = {}
+        # a special token between pieces tells their ids apart; where the vocabulary has none, pieces are encoded one by one
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special and t.content.startswith("<|")]
+        self.between = special[0] if special else None
+        self.between_id = self.tokenizer.token_to_id(special[0]) if special else -1
+
+    def _one(self, piece: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids).tobytes()
+
+    def _encode(self, pieces: list[bytes]) -> None:
+        """Adds pieces to the known ones."""
+        plain = [p for p in pieces if b"<|" not in p] if self.between else []
+        if plain:
+            ids = np.array(self.tokenizer.encode(self.between.join([p.decode() for p in plain]), add_special_tokens=False).ids, np.uint32)
+            cuts, data = np.flatnonzero(ids == self.between_id), ids.tobytes()
+            if len(cuts) == len(plain) - 1:
+                for piece, a, b in zip(plain, [0, *((cuts + 1) * 4).tolist()], [*(cuts * 4).tolist(), len(data)], strict=True):
+                    self.known[piece] = data[a:b]
+        for piece in pieces:
+            if piece not in self.known:
+                self.known[piece] = self._one(piece)
+
+    def _learn(self, new: set[bytes]) -> None:
+        known, marked, rest = self.known, [], []
+        for piece in new:
+            if piece in self.before:
+                known[piece] = self.before[piece]
+            elif len(piece) > 1 and piece[-1] in MARKS and piece[:-1].decode()[-1].lower()[-1].isalpha():
+                marked.append(piece)
+            else:
+                rest.append(piece)
+        parts = {p[:-1] for p in marked} | {p[-1:] for p in marked}
+        self._encode(list(dict.fromkeys([*rest, *(p for p in parts if p not in known)])))
+        for piece in marked:
+            known[piece] = known[piece[:-1]] + known[piece[-1:]]
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        pieces = set().union(*split)
+        split = []
+        for t in texts:
+            data = (t or "").encode()
+            data = data if b"<|" in data else data.lower()
+            split.append(data.replace(b"\n", b" ").replace(b"\t", b" ").replace(b"\r", b" ").split(b" "))
         if len(self.known) > KEEP:
-            self.known = {"": b""}
-        known, extra = self.known, {}
-        new = list(pieces.difference(known))
+            self.before, self.known = self.known, {b"": b""}
+        new = set().union(*split).difference(self.known)
         if new:
-            for piece, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                (known if len(piece) <= KEEP_CHARS else extra)[piece] = array("I", got.ids).tobytes()
-        if extra:
-            return [b"".join([extra[p] if p in extra else known[p] for p in own]) for own in split]
-        return [b"".join(map(known.__getitem__, own)) for own in split]
+            self._learn(new)
+        out = [b"".join(map(self.known.__getitem__, own)) for own in split]
+        for piece in [p for p in new if len(p) > KEEP_BYTES]:
+            del self.known[piece]
+        return out
 
 
 _encoders: dict[str, PieceEncoder] = {}
