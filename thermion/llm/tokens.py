@@ -17,7 +17,7 @@ import public_tokenizers
 
 DEFAULT = "word_bpe_49k.json"
 #: About how many pieces a Python worker keeps in each of two generations, and the longest kept: bounds the memory, not the result.
-KEEP, KEEP_BYTES = 300_000, 48
+KEEP, KEEP_BYTES = 500_000, 48
 MARKS = frozenset(b".,!?;:")
 
 
