@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 BITS, MOST, REACH = 6, 1024, 32
+#: Bytes of a passage (of adjoining duplicate chunks) that counts as one: chunks of a few bytes are repeated by chance.
+LEAST = 200
 #: Bytes hashed at once: bounds the memory of a long text.
 STEP = 1 << 20
 #: The gear table: a 32-bit number for each byte, from a rule.
@@ -86,12 +88,15 @@ def duplicates(docs: DataFrame) -> DataFrame:
 
 
 def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row a document: doc_id, n_bytes, duplicate_bytes, and spans, the byte ranges start:end of its duplicate passages, merged."""
+    """A row a document: doc_id, n_bytes, duplicate_bytes, and spans, the byte ranges start:end of its duplicate passages of LEAST bytes or more."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = duplicates(docs).distinct().groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("parts"), F.sum(F.col("length").cast("long")).alias("bytes"))
-    own = docs.select("doc_id", F.xxhash64("text").alias("of"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    joined = own.join(found.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("of") == F.col("text_hash")), "left")
+    found = duplicates(docs).distinct().groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("parts"))
     begins = F.filter("parts", lambda p, i: (i == 0) | (p["start"] != F.get("parts", F.greatest(i - 1, F.lit(0)))["end"]))
     stops = F.filter("parts", lambda p, i: (i == F.size("parts") - 1) | (p["end"] != F.get("parts", F.least(i + 1, F.size("parts") - 1))["start"]))
-    spans = F.array_join(F.zip_with(begins, stops, lambda a, b: F.concat_ws(":", a["start"].cast("string"), b["end"].cast("string"))), ",")
-    return joined.select("doc_id", "n_bytes", F.coalesce("bytes", F.lit(0)).alias("duplicate_bytes"), F.coalesce(spans, F.lit("")).alias("spans"))
+    merged = F.zip_with(begins, stops, lambda a, b: F.struct(a["start"].alias("start"), b["end"].alias("end")))
+    passages = found.select(F.col("doc_id").alias("id"), "text_hash", F.filter(merged, lambda p: p["end"] - p["start"] >= LEAST).alias("passages")).filter(F.size("passages") > 0)
+    own = docs.select("doc_id", F.xxhash64("text").alias("of"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    joined = own.join(passages, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("of") == F.col("text_hash")), "left")
+    total = F.aggregate("passages", F.lit(0).cast("long"), lambda n, p: n + p["end"] - p["start"])
+    spans = F.array_join(F.transform("passages", lambda p: F.concat_ws(":", p["start"].cast("string"), p["end"].cast("string"))), ",")
+    return joined.select("doc_id", "n_bytes", F.coalesce(total, F.lit(0)).alias("duplicate_bytes"), F.coalesce(spans, F.lit("")).alias("spans"))
