@@ -45,8 +45,20 @@ def test_dedup_brute_force(spark, tables):
             if merged[row] and merged[row][-1][1] == a:
                 merged[row][-1][1] = b
             else:
-                merged[row].append([a, b])
-    merged = {r: [p for p in own if p[1] - p[0] >= chunks.LEAST] for r, own in merged.items()}
-    assert any(merged.values())
-    want = Counter((i, len((t or "").encode()), sum(b - a for a, b in merged[i, t]), ",".join(f"{a}:{b}" for a, b in merged[i, t])) for i, t, *_ in corpus())
-    assert Counter(tuple(r) for r in registry.QUERIES["op5_chunk_dedup"](spark, tables).collect()) == want
+                merged[row].append([a, b, set()])
+            if not first[piece][0]:
+                merged[row][-1][2].add(first[piece][1])
+    want = Counter((i, signed[i, t], a, b, tuple(sorted(kept))) for (i, t), own in merged.items() for a, b, kept in own if b - a >= chunks.LEAST)
+    assert want
+    got = Counter((r["doc_id"], r["text_hash"], r["start"], r["end"], tuple(r["kept_in"])) for r in registry.QUERIES["op5_chunk_dedup"](spark, tables).collect())
+    assert got == want
+
+
+def test_insertions_shift_nothing(spark):
+    words = [f"w{i * i % 977}q{i}" for i in range(400)]
+    shared = " ".join(words)
+    docs = spark.createDataFrame([(1, shared), (2, "something new here, " + shared + " and an end"), (3, "a clean text with nothing shared"), (4, None), (5, "")], "doc_id long, text string")
+    found = chunks.passages(docs.withColumn("start", docs["doc_id"])).collect()
+    assert {(r["doc_id"], tuple(r["kept_in"])) for r in found} == {(2, (1,))}
+    assert sum(r["end"] - r["start"] for r in found) > 0.9 * len(shared)
+    assert chunks.passages(docs.limit(0)).count() == 0
