@@ -542,26 +542,28 @@ def upsert(spark, d):
 
 
 def _metrics(spark, d):
-    """Four numbers for each of some dozens of users."""
-    e = table(spark, d, "events").filter("user_id <= 60")
-    each = e.groupBy("user_id").agg(F.avg("value").alias("mean"), F.max("value").alias("most"), F.stddev_samp("value").alias("dev"), F.count("*").cast("double").alias("n"))
-    return each.unpivot("user_id", ["mean", "most", "dev", "n"], "metric", "value").filter("value is not null")
+    """Four numbers for each customer; a field is a hundred customers, so pairs within fields grow with the table."""
+    o = table(spark, d, "orders").groupBy((F.floor(F.col("o_custkey") / 100)).cast("long").alias("field"), F.col("o_custkey").alias("pilot"))
+    price = F.col("o_totalprice")
+    each = o.agg(F.avg(price).alias("mean"), F.max(price).alias("most"), F.stddev_samp(price).alias("dev"), F.count("*").cast("double").alias("n"))
+    return each.unpivot(["field", "pilot"], ["mean", "most", "dev", "n"], "metric", "value").filter("value is not null").withColumn("value", F.round("value", 4))
 
 
-METRICS = "WITH e AS (SELECT user_id, avg(value) AS mean, max(value) AS most, stddev_samp(value) AS dev, count(*)::DOUBLE AS n FROM events WHERE user_id <= 60 GROUP BY 1), m AS (SELECT * FROM (UNPIVOT e ON mean, most, dev, n INTO NAME metric VALUE value) WHERE value IS NOT NULL)"
+METRICS = """WITH e AS (SELECT o_custkey // 100 AS field, o_custkey AS pilot, avg(o_totalprice) AS mean, max(o_totalprice) AS most, stddev_samp(o_totalprice) AS dev, count(*)::DOUBLE AS n FROM orders GROUP BY 1, 2),
+m AS (SELECT field, pilot, metric, round(value, 4) AS value FROM (UNPIVOT e ON mean, most, dev, n INTO NAME metric VALUE value) WHERE value IS NOT NULL)"""
 
 
-@query(METRICS + """, p AS (SELECT user_id, metric, percent_rank() OVER (PARTITION BY metric ORDER BY value) AS pct FROM m)
-SELECT a.user_id AS a, b.user_id AS b, round(avg(abs(a.pct - b.pct)), 6) AS distance FROM p a JOIN p b ON a.metric = b.metric AND a.user_id < b.user_id GROUP BY 1, 2 HAVING count(*) >= 3""")
+@query(METRICS + """, p AS (SELECT field, pilot, metric, percent_rank() OVER (PARTITION BY field, metric ORDER BY value) AS pct FROM m)
+SELECT a.field, a.pilot AS a, b.pilot AS b, round(avg(abs(a.pct - b.pct)), 6) AS distance FROM p a JOIN p b ON a.field = b.field AND a.metric = b.metric AND a.pilot < b.pilot GROUP BY 1, 2, 3 HAVING count(*) >= 3""")
 def gower_distance(spark, d):
-    pct = clustering.percentile_columns(_metrics(spark, d), [], "metric", "value")
-    return clustering.pair_distances(pct, [], "user_id", "metric", "pct").select("a", "b", shown(F.col("distance")).alias("distance"))
+    pct = clustering.percentile_columns(_metrics(spark, d), ["field"], "metric", "value")
+    return clustering.pair_distances(pct, ["field"], "pilot", "metric", "pct").select("field", "a", "b", shown(F.col("distance")).alias("distance"))
 
 
 @query()
 def ward_clusters(spark, d):
-    pct = clustering.percentile_columns(_metrics(spark, d).withColumn("task", F.lit(1)), ["task"], "metric", "value")
-    return clustering.style_clusters(clustering.pair_distances(pct, ["task"], "user_id", "metric", "pct"), ["task"])
+    pct = clustering.percentile_columns(_metrics(spark, d), ["field"], "metric", "value")
+    return clustering.style_clusters(clustering.pair_distances(pct, ["field"], "pilot", "metric", "pct"), ["field"])
 
 
 @query()
