@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from thermion.functions import names
 from thermion.operators import gaggles, sequence
 
 NORTH = 1 / 110_950.0
@@ -117,3 +118,9 @@ def test_gaggles(spark):
     met = [g for g in got if 4 in g[3]]
     assert ("a", 0, 390, (1, 2), 2) in got and not [g for g in got if g[0] == "b"]
     assert [g[1:] for g in met] == [(0, 190, (4, 5), 2), (250, 390, (3, 4, 5), 3)]
+
+
+def test_name_affinity(spark):
+    pairs = [("Ann Example", "example ann", 2), ("José Núñez", "Jose Nunez", 2), ("A. Example", "Ann Example", 1), ("Ann Example", "Anna Example", 0), ("Ann", "Ann", 2), ("", "", 0), (None, "Ann", 0), ("Ann Other", "Ann Example", 0)]
+    df = spark.createDataFrame(pairs, "a string, b string, want int")
+    assert [r["got"] for r in df.withColumn("got", names.affinity(df["a"], df["b"])).collect()] == [p[2] for p in pairs]

@@ -28,7 +28,7 @@ def groups(links: Iterable[tuple[int, int]]) -> list[tuple[int, ...]]:
     return sorted({tuple(sorted(g)) for g in of.values() if len(g) >= LEAST_PILOTS})
 
 
-def episodes_of(frames: Iterable[tuple[float, list[tuple[int, int, bool]]]]) -> list[dict]:
+def episodes_of(frames: Iterable[tuple[float, list[tuple[int, int, bool]]]], bridge: float = BRIDGE, least_seconds: float = LEAST_SECONDS) -> list[dict]:
     """Episodes of frames (time, links (a, b, tight)), by start: a group goes on with the episode it shares most pilots with."""
     before: dict[int, int] = {}
     opened: list[dict] = []
@@ -49,15 +49,15 @@ def episodes_of(frames: Iterable[tuple[float, list[tuple[int, int, bool]]]]) ->
             taken[j]["now"] = set(g)
             taken[j]["all"] |= set(g)
             taken[j]["peak"] = max(taken[j]["peak"], len(g))
-        done += [e for e in opened if t - e["end"] > BRIDGE]
-        opened = [e for e in opened if t - e["end"] <= BRIDGE]
-    return sorted((e for e in done + opened if e["end"] - e["start"] >= LEAST_SECONDS), key=lambda e: (e["start"], sorted(e["all"])))
+        done += [e for e in opened if t - e["end"] > bridge]
+        opened = [e for e in opened if t - e["end"] <= bridge]
+    return sorted((e for e in done + opened if e["end"] - e["start"] >= least_seconds), key=lambda e: (e["start"], sorted(e["all"])))
 
 
-def gaggles(frames: DataFrame) -> DataFrame:
+def gaggles(frames: DataFrame, bridge: float = BRIDGE, least_seconds: float = LEAST_SECONDS) -> DataFrame:
     """(task, episode, start_t, end_t, members, peak) of frames (task, t, pilot, east, north, alt), one row a pilot and time.
 
-    Episodes last a minute or more; gaps up to 20 s are bridged. Pilots who do not race yet are left out by the caller.
+    Episodes last `least_seconds` or more; gaps up to `bridge` seconds are bridged. Pilots who do not race yet are left out by the caller.
     """
     pairs = nearby_pairs(frames, ["task", "t"], "east", "north", "pilot", ACROSS * STICKY)
     at = lambda x: frames.select("task", "t", F.col("pilot").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("east", "north", "alt")))
@@ -76,7 +76,7 @@ def gaggles(frames: DataFrame) -> DataFrame:
             own = by_time.setdefault(t, [])
             if not pd.isna(a):
                 own.append((int(a), int(b), bool(tight)))
-        found = episodes_of(by_time.items())
+        found = episodes_of(by_time.items(), bridge, least_seconds)
         return pd.DataFrame([(task, i, e["start"], e["end"], sorted(e["all"]), e["peak"]) for i, e in enumerate(found)], columns=["task", "episode", "start_t", "end_t", "members", "peak"])
 
     kind = frames.schema["task"].dataType.simpleString()

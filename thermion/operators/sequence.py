@@ -19,11 +19,17 @@ from ..functions.geo import ellipsoid_metres
 
 #: Metres by which a boundary is widened for those who must enter, narrowed for those who must leave.
 BAND = 5.0
+#: Tables of points and rules of at most so many rows are broadcast; larger ones are joined by task.
+SMALL = 10_000
+
+
+def _sent(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
 def approaches(tracks: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
     """(task, keys, tp, way, radius, fix_index, t, away): every fix's distance to every turnpoint of its task."""
-    near = tracks.join(points, "task").withColumn("away", ellipsoid_metres("lat", "lon", "plat", "plon"))
+    near = tracks.join(_sent(points), "task").withColumn("away", ellipsoid_metres("lat", "lon", "plat", "plon"))
     return near.select("task", *keys, "tp", "way", "radius", "fix_index", "t", "away")
 
 
@@ -78,7 +84,7 @@ def resolved(tracks: DataFrame, points: DataFrame, rules: DataFrame, keys: list[
     """
     near = approaches(tracks, points, keys)
     tps = crossings(near, keys).groupBy("task", *keys).agg(F.array_sort(F.collect_list(F.struct("tp", "way", "inside_first", "found", "first"))).alias("tps"))
-    shown = tps.join(rules, "task").withColumn("own", F.get(F.filter("tps", lambda x: x["tp"] == F.col("start")), F.lit(0)))
+    shown = tps.join(_sent(rules), "task").withColumn("own", F.get(F.filter("tps", lambda x: x["tp"] == F.col("start")), F.lit(0)))
     wanted = F.when(F.col("fallback"), F.lit(None)).otherwise(F.col("start_way"))
     fit = F.filter("own.found", lambda c: (wanted.isNull() | (c["entered"] == (wanted == "enter"))) & (F.col("closes").isNull() | (c["t"] <= F.col("closes"))) & (F.col("opens").isNull() | (c["t"] >= F.col("opens"))))
     timed = F.filter("fit", lambda c: c["t"] >= F.col("gates")[0])

@@ -292,11 +292,11 @@ def not_exists_two(spark, d):
 
 
 @query("""
-WITH a AS (SELECT p_partkey AS id, lower(p_name) AS name FROM part WHERE p_partkey % 2 = 0), b AS (SELECT p_partkey AS other, lower(p_name) AS name FROM part WHERE p_partkey % 2 = 1),
+WITH a AS (SELECT p_partkey AS id, lower(p_name || ' ' || p_brand) AS name FROM part WHERE p_partkey % 2 = 0), b AS (SELECT p_partkey AS other, lower(p_name || ' ' || p_brand) AS name FROM part WHERE p_partkey % 2 = 1),
 x AS (SELECT name, min(id) AS id FROM a GROUP BY 1 HAVING count(DISTINCT id) = 1), y AS (SELECT name, min(other) AS other FROM b GROUP BY 1 HAVING count(DISTINCT other) = 1)
 SELECT id, other FROM x JOIN y USING (name)""")
 def ambiguous_name_match(spark, d):
-    part = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("name"))
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lower(F.concat_ws(" ", "p_name", "p_brand")).alias("name"))
     return joins.unambiguous(part.filter("id % 2 = 0"), part.filter("id % 2 = 1").withColumnRenamed("id", "other"), "name", "id", "other")
 
 
@@ -488,10 +488,10 @@ def json_explode(spark, d):
     return table(spark, d, "customer").select(F.explode(F.from_json(text, "array<string>")).alias("class")).groupBy("class").agg(F.count("*").alias("n"))
 
 
-@query("SELECT p_partkey FROM part WHERE lower(p_name) LIKE '%a%' AND lower(p_name) LIKE '%1%'")
+@query("SELECT p_partkey FROM part WHERE lower(p_name) LIKE '%ed%' AND lower(p_name) LIKE '%g%'")
 def like_tokens_and(spark, d):
     name = F.lower("p_name")
-    return table(spark, d, "part").filter(name.like("%a%") & name.like("%1%")).select("p_partkey")
+    return table(spark, d, "part").filter(name.like("%ed%") & name.like("%g%")).select("p_partkey")
 
 
 TERMS = ["license", "the", "permission"]
