@@ -23,7 +23,7 @@ def test_touching_is_shortest():
     for _ in range(50):
         c, p, q = rng.uniform(-5000, 5000, (3, 2))
         r = rng.uniform(100, 3000)
-        x = routes.touching(c, r, p, q)
+        x = routes.touching(c[None], np.array([r]), p[None], q[None])[0]
         angle = np.linspace(0, 2 * np.pi, 20_001)
         ring = c + r * np.stack([np.sin(angle), np.cos(angle)], 1)
         best = (np.hypot(*(ring - p).T) + np.hypot(*(ring - q).T)).min()

@@ -7,6 +7,8 @@ are then of the ellipsoid.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,59 +23,86 @@ CLOSE, ANGLES, NARROWED = 0.1, 96, 30
 STRAY, HALF_WINDOW, DEAD, LEAST_FIXES = 150.0, 60_000, 0.5, 10
 
 
-def touching(centre: np.ndarray, radius: float, before: np.ndarray, after: np.ndarray | None) -> np.ndarray:
-    """The point of a circle over which the way from before to after is shortest; with no after, the nearest to before."""
-    if after is None:
-        way = before - centre
-        far = np.hypot(*way)
-        return centre + (way / far if far > 0 else np.array([0.0, 1.0])) * radius
-    # a segment that meets the circle needs no detour: its first meeting point
+def nearest(centre: np.ndarray, radius: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The points of circles nearest to others, a row each."""
+    way = before - centre
+    far = np.hypot(way[:, 0], way[:, 1])[:, None]
+    return centre + np.where(far > 0, way / np.where(far > 0, far, 1), [0.0, 1.0]) * radius[:, None]
+
+
+def touching(centre: np.ndarray, radius: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """The points of circles over which the ways from before to after are shortest, a row each."""
+    # a segment that meets its circle needs no detour: its first meeting point
     run, back = after - before, before - centre
-    a, b, c = run @ run, run @ back, back @ back - radius * radius
-    if a > 0 and b * b >= a * c:
-        meets = [s for s in ((-b - np.sqrt(b * b - a * c)) / a, (-b + np.sqrt(b * b - a * c)) / a) if 0 <= s <= 1]
-        if meets:
-            return before + meets[0] * run
-    at = lambda angle: centre + radius * np.stack([np.sin(angle), np.cos(angle)], axis=-1)
-    length = lambda angle: np.hypot(*(at(angle) - before).T) + np.hypot(*(at(angle) - after).T)
-    tried = np.arange(ANGLES) * 2 * np.pi / ANGLES
-    middle, width = tried[np.argmin(length(tried))], 2 * np.pi / ANGLES
-    for _ in range(NARROWED):
-        near = middle + np.linspace(-width, width, 5)
-        middle, width = near[np.argmin(length(near))], width / 2
-    return at(np.array(middle))
+    a, b, c = (run * run).sum(1), (run * back).sum(1), (back * back).sum(1) - radius * radius
+    root, safe = np.sqrt(np.maximum(b * b - a * c, 0)), np.where(a > 0, a, 1)
+    near, far = (-b - root) / safe, (-b + root) / safe
+    share = np.where((near >= 0) & (near <= 1), near, far)
+    meets = (a > 0) & (b * b >= a * c) & (share >= 0) & (share <= 1)
+    out = before + share[:, None] * run
+
+    def at(angle: np.ndarray) -> np.ndarray:
+        return centre[:, None] + radius[:, None, None] * np.stack([np.sin(angle), np.cos(angle)], axis=-1)
+
+    def best(angle: np.ndarray) -> np.ndarray:
+        to, on = at(angle) - before[:, None], at(angle) - after[:, None]
+        return angle[np.arange(len(angle)), np.argmin(np.hypot(to[..., 0], to[..., 1]) + np.hypot(on[..., 0], on[..., 1]), axis=1)]
+
+    miss = ~meets
+    if miss.any():
+        centre, radius, before, after = centre[miss], radius[miss], before[miss], after[miss]
+        width = 2 * np.pi / ANGLES
+        middle = best(np.broadcast_to(np.arange(ANGLES) * width, (len(centre), ANGLES)))
+        for _ in range(NARROWED):
+            middle, width = best(middle[:, None] + np.linspace(-width, width, 5)), width / 2
+        out[miss] = at(middle[:, None])[:, 0]
+    return out
 
 
 def route(centres: np.ndarray, radii: np.ndarray) -> np.ndarray:
-    """Touching points of cylinders, in metres: the first is a centre, the last the nearest point of its circle."""
-    points, n, last = centres.astype(float).copy(), len(centres), np.inf
+    """Touching points, in metres, of tasks (first axis) of as many cylinders each: the first is a centre, the last the nearest of its circle."""
+    points, n = centres.astype(float).copy(), centres.shape[1]
+    last, going = np.full(len(points), np.inf), np.arange(len(points))
     for _ in range(50 + 10 * n):
+        own, c, r = points[going], centres[going], radii[going]
         for i in range(1, n):
-            points[i] = touching(centres[i], radii[i], points[i - 1], points[i + 1] if i + 1 < n else None)
-        total = np.hypot(*np.diff(points, axis=0).T).sum()
-        if last - total <= CLOSE:
+            own[:, i] = touching(c[:, i], r[:, i], own[:, i - 1], own[:, i + 1]) if i + 1 < n else nearest(c[:, i], r[:, i], own[:, i - 1])
+        points[going] = own
+        step = np.diff(own, axis=1)
+        total = np.hypot(step[..., 0], step[..., 1]).sum(1)
+        gained = last[going] - total > CLOSE
+        last[going] = total
+        going = going[gained]
+        if not len(going):
             break
-        last = total
     return points
 
 
 def optimised(points: DataFrame) -> DataFrame:
-    """(task, tp, lat, lon, leg, total) of points (task, tp, plat, plon, radius): where to touch each turnpoint, the leg to it and the way so far, in metres."""
-
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("tp", kind="stable")
-        lat, lon = x["plat"].to_numpy(float), x["plon"].to_numpy(float)
-        lat0, lon0 = (lat.min() + lat.max()) / 2, (lon.min() + lon.max()) / 2
-        e2 = FLATTENING * (2 - FLATTENING)
-        w = 1 - e2 * np.sin(np.radians(lat0)) ** 2
-        north, east = np.radians(1) * A * (1 - e2) / w**1.5, np.radians(1) * A * np.cos(np.radians(lat0)) / np.sqrt(w)
-        at = route(np.stack([(lon - lon0) * east, (lat - lat0) * north], axis=1), x["radius"].to_numpy(float))
-        la, lo = lat0 + at[:, 1] / north, lon0 + at[:, 0] / east
-        legs = np.r_[0.0, inverse(la[:-1], lo[:-1], la[1:], lo[1:])[0]] if len(x) > 1 else np.zeros(len(x))
-        return pd.DataFrame({"task": x["task"], "tp": x["tp"], "lat": la, "lon": lo, "leg": legs, "total": np.cumsum(legs)})
+    """(task, tp, lat, lon, leg, total) of points (task, tp, plat, plon, radius): where to touch each turnpoint, the leg to it and the way so far, in metres.
+
+    A task becomes one row of arrays; tasks of as many turnpoints are worked on together, a batch at a time.
+    """
+    whole = points.groupBy("task").agg(F.array_sort(F.collect_list(F.struct("tp", "plat", "plon", "radius"))).alias("tps"))
+    rows = whole.select("task", *(F.col(f"tps.{c}").alias(c) for c in ("tp", "plat", "plon", "radius")))
+    e2 = FLATTENING * (2 - FLATTENING)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for n, x in batch.groupby(batch["tp"].map(len)):
+                lat, lon, radius = (np.stack(x[c].to_numpy()).astype(float) for c in ("plat", "plon", "radius"))
+                lat0, lon0 = ((v.min(1, keepdims=True) + v.max(1, keepdims=True)) / 2 for v in (lat, lon))
+                w = 1 - e2 * np.sin(np.radians(lat0)) ** 2
+                north, east = np.radians(1) * A * (1 - e2) / w**1.5, np.radians(1) * A * np.cos(np.radians(lat0)) / np.sqrt(w)
+                at = route(np.stack([(lon - lon0) * east, (lat - lat0) * north], axis=-1), radius)
+                la, lo = lat0 + at[..., 1] / north, lon0 + at[..., 0] / east
+                legs = np.zeros_like(la)
+                if n > 1:
+                    legs[:, 1:] = inverse(la[:, :-1].ravel(), lo[:, :-1].ravel(), la[:, 1:].ravel(), lo[:, 1:].ravel())[0].reshape(len(la), -1)
+                yield pd.DataFrame({"task": np.repeat(x["task"].to_numpy(), n), "tp": np.concatenate(x["tp"].to_numpy()), "lat": la.ravel(), "lon": lo.ravel(), "leg": legs.ravel(), "total": legs.cumsum(1).ravel()})
 
     kind = points.schema["task"].dataType.simpleString()
-    return points.select("task", "tp", "plat", "plon", "radius").groupBy("task").applyInPandas(run, f"task {kind}, tp int, lat double, lon double, leg double, total double")
+    return rows.mapInPandas(run, f"task {kind}, tp int, lat double, lon double, leg double, total double")
 
 
 def repaired(fixes: DataFrame, keys: list[str]) -> DataFrame:

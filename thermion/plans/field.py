@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import air
 from ..functions.numbers import shown
-from ..operators import aggregates, field, gaggles, sequence, windows
+from ..operators import aggregates, field, gaggles, metrics, routes, sequence, windows
 from .catalog import FIXES, fixes, query, table
 
 ONE = f"{FIXES}, p AS (SELECT user_id, t, max(value) AS value FROM fixes GROUP BY ALL)"
@@ -120,6 +121,46 @@ def bounds_and_mean_over_minimum(spark, d):
     return table(spark, d, "customer").groupBy("c_nationkey").agg(F.min(x).alias("lo"), F.max(x).alias("hi"), shown((F.min(x) + F.max(x)) / 2, 4).alias("centre"), shown(F.avg(F.greatest(F.lit(0.0), x - 1000)), 4).alias("over_minimum"))
 
 
+@query(f"""WITH {FIXES}, c AS (SELECT event_type, event_id, t, CASE WHEN event_id % 9 = 0 THEN 0 ELSE event_id % 7 + 900 END AS pressure, CASE WHEN event_id % 11 = 0 THEN 0 WHEN event_id % 13 = 0 THEN 4000 ELSE event_id % 17 + 950 END AS gnss FROM fixes),
+u AS (SELECT *, CASE WHEN gnss <> 0 AND pressure <> 0 THEN gnss - pressure END AS differ FROM c),
+m AS (SELECT *, quantile_cont(differ, 0.5) OVER (PARTITION BY event_type ORDER BY t RANGE BETWEEN 60 PRECEDING AND 60 FOLLOWING) AS usual, avg((gnss = 0)::INT) OVER (PARTITION BY event_type) AS g0, avg((pressure = 0)::INT) OVER (PARTITION BY event_type) AS p0, count(*) OVER (PARTITION BY event_type) AS n FROM u)
+SELECT event_id, CASE WHEN g0 < 0.5 AND p0 < 0.5 AND n >= 10 AND pressure <> 0 AND usual IS NOT NULL AND (gnss = 0 OR abs(differ - usual) > 150) THEN pressure + usual END AS cleaned_alt FROM m""")
+def altitude_repair(spark, d):
+    i = F.col("event_id")
+    pressure, gnss = F.when(i % 9 == 0, 0).otherwise(i % 7 + 900), F.when(i % 11 == 0, 0).when(i % 13 == 0, 4000).otherwise(i % 17 + 950)
+    tracks_ = fixes(spark, d).select("event_type", "event_id", i.alias("fix_index"), (F.col("t") * 1000).alias("time_ms"), pressure.alias("pressure_alt"), gnss.alias("gnss_alt"))
+    return routes.repaired(tracks_, ["event_type"]).select("event_id", "cleaned_alt")
+
+
+@query("""SELECT p_partkey, round(44330.77 * (1 - pow(p_retailprice / 1013.25, 0.1902632)), 4) AS height, round(1013.25 * pow(1 - p_size / 44330.77, 1 / 0.1902632), 4) AS pressure, CASE WHEN p_size - 20 > 0 THEN 125.0::DOUBLE * (p_size - 20) END AS base FROM part""")
+def air_scalars(spark, d):
+    return table(spark, d, "part").select("p_partkey", shown(air.height_of(F.col("p_retailprice")), 4).alias("height"), shown(air.pressure_at(F.col("p_size")), 4).alias("pressure"), air.cloud_base(F.col("p_size"), F.lit(20)).alias("base"))
+
+
+@query()
+def optimised_routes(spark, d):
+    """Orders as tasks, their lines as turnpoints: where to touch each cylinder, and the way."""
+    k = F.col("l_partkey")
+    points = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("task"), F.col("l_linenumber").alias("tp")).agg(F.max(k).alias("k"))
+    k = F.col("k")
+    return routes.optimised(points.select("task", F.col("tp").cast("int").alias("tp"), (F.lit(-36.0) + k % 97 / 200).alias("plat"), (F.lit(147.0) + k % 89 / 200).alias("plon"), (F.lit(400.0) + k % 5 * 400).alias("radius")))
+
+
+@query()
+def field_metrics(spark, d):
+    """Orders as tasks of a supplier, customers as pilots: every metric of theirs, from made-up starts, climbs and glides."""
+    l = table(spark, d, "lineitem").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("pilot")), "l_orderkey")  # noqa: E741
+    own = l.select(F.col("l_suppkey").alias("task"), "pilot", F.col("l_linenumber").alias("leg"), F.col("l_quantity").alias("q"), F.col("l_discount").alias("x"))
+    starts = own.groupBy("task", "pilot").agg((F.min("q") + 100).alias("start_t"), F.lit(100.0).alias("official_start"), F.when(F.max("leg") >= 3, F.sum("q") * 60 + 1000).alias("ess_t"))
+    begin = F.col("leg") * 600.0 + F.col("q")
+    climbs = own.select("task", "pilot", F.col("leg").alias("thermal"), begin.alias("start_t"), (begin + 60 + F.col("q")).alias("end_t"), (F.col("x") * 5000).alias("start_alt"), (F.col("x") * 5000 + F.col("q") * 20).alias("end_alt"))
+    glides = own.select("task", "pilot", "leg", (begin - 300).alias("start_t"), (begin - 100).alias("end_t"), (F.col("q") * 100).alias("metres"), (F.col("x") * 1000 + 60).alias("lost"))
+    legs = own.groupBy("task", "pilot", "leg").agg((F.max("q") * 30).alias("seconds"), (F.max("q") * 1000).alias("flown"), (F.max("q") * 900).alias("optimised"))
+    bands = own.groupBy("task").agg(F.lit(0.0).alias("lo"), F.lit(1500.0).alias("hi"))
+    steps = climbs.select("task", "pilot", F.col("start_t").alias("t"), (F.col("start_alt") > 200).alias("together"))
+    return metrics.field_metrics(starts, climbs, glides, legs, bands, steps)
+
+
 def _positions(spark, d):
     """events as places of pilots around a point every three hours, a task a week."""
     e = fixes(spark, d)
