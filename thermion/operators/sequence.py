@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import ellipsoid_metres
+from .components import kept
 
 #: Metres by which a boundary is widened for those who must enter, narrowed for those who must leave.
 BAND = 5.0
@@ -27,9 +28,11 @@ def _sent(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
-def approaches(tracks: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
-    """(task, keys, tp, way, radius, fix_index, t, away): every fix's distance to every turnpoint of its task."""
-    near = tracks.join(_sent(points), "task").withColumn("away", ellipsoid_metres("lat", "lon", "plat", "plon"))
+def approaches(tracks: DataFrame, points: DataFrame, keys: list[str], only: DataFrame | None = None) -> DataFrame:
+    """(task, keys, tp, way, radius, fix_index, t, away): every fix's distance to every turnpoint of its task, or to those in `only` (task, keys, tp)."""
+    met = tracks.join(_sent(points), "task")
+    met = met if only is None else met.join(only, ["task", *keys, "tp"], "left_semi")
+    near = met.withColumn("away", ellipsoid_metres("lat", "lon", "plat", "plon"))
     return near.select("task", *keys, "tp", "way", "radius", "fix_index", "t", "away")
 
 
@@ -96,12 +99,15 @@ def resolved(tracks: DataFrame, points: DataFrame, rules: DataFrame, keys: list[
     each = starts.withColumn("within", within).select("task", *keys, "ess", "goal", "gates", "closes", "start", "from_first", "within", F.explode("starts").alias("begin"))
     walked = each.withColumn("path", _walk(F.col("within"), F.col("begin"), F.col("ess"))).withColumn("last", F.get("path", F.size("path") - 1))
     tried = walked.select("task", *keys, "ess", "goal", "gates", "closes", "from_first", F.col("begin.t").alias("start_t"), "path", F.coalesce("last.t", "begin.t").alias("last_t"), (F.coalesce("last.tp", "start") + 1).alias("tp"))
-    # how near each candidate came to the turnpoint it lacks; joined by key, a row a candidate against the fixes of one turnpoint
-    lacking = tried.filter("tp <= goal").select("task", *keys, "tp", "start_t", "last_t", "closes")
-    after = lacking.join(near.select("task", *keys, "tp", "t", "away"), ["task", *keys, "tp"]).filter("t >= last_t and (closes is null or t <= closes)")
-    closest = after.groupBy("task", *keys, "start_t").agg(F.min("away").alias("closest"))
-    ranked = tried.join(closest, ["task", *keys, "start_t"], "left")
-    order = W.partitionBy("task", *keys).orderBy(F.size("path").desc(), F.coalesce("closest", F.lit(0.0)), F.col("start_t").desc())
+    # only the longest paths of a track can win: few rows, checkpointed so that what follows does not walk them again
+    longest = kept(tried.withColumn("_most", F.max(F.size("path")).over(W.partitionBy("task", *keys))).filter(F.size("path") == F.col("_most")).drop("_most"))
+    # how near each of these came to the turnpoint it lacks; only those turnpoints' distances are computed again
+    lacking = longest.filter("tp <= goal").select("task", *keys, "tp", "last_t", "closes").distinct()
+    near_next = approaches(tracks, points, keys, lacking.select("task", *keys, "tp").distinct()).select("task", *keys, "tp", "t", "away")
+    after = lacking.join(near_next, ["task", *keys, "tp"]).filter("t >= last_t and (closes is null or t <= closes)")
+    closest = after.groupBy("task", *keys, "tp", "last_t").agg(F.min("away").alias("closest"))
+    ranked = longest.join(closest, ["task", *keys, "tp", "last_t"], "left")
+    order = W.partitionBy("task", *keys).orderBy(F.coalesce("closest", F.lit(0.0)), F.col("start_t").desc())
     best = ranked.withColumn("n", F.row_number().over(order)).filter("n = 1")
     ess_t = F.get(F.filter("path", lambda p: p["tp"] == F.col("ess")), F.lit(0))["t"]
     gate = F.coalesce(F.array_max(F.filter("gates", lambda g: g <= F.col("start_t"))), F.get("gates", F.lit(0)), F.col("start_t"))
