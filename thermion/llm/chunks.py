@@ -9,7 +9,13 @@ the text, place) is kept, and the others are duplicates.
 
 Counts by digest are pre-aggregated, so a passage that a third of all documents hold is one row a
 task; the joins have one row a digest on their other side, so Spark can split the first. Adjoining
-duplicate chunks make a passage.
+duplicate chunks make a run.
+
+Runs are anchors only: whatever chunks a run has, the text around it is compared byte by byte with the
+text of each document that keeps one of its chunks, at the same shift, up to the bytes that differ. A
+passage counts if over WORDS words of it are the same, or if its whole chunks alone have LEAST bytes. The
+edges lie in the chunks beside a run (or in the REACH bytes before them), as a chunk shared to its end
+would be in the run itself; so a run whose chunks and neighbours hold too few words is never compared.
 
 Defined results: null and empty texts have no chunks; null ids come last; repeated rows are one (their
 chunks are not duplicates of each other, as rows can't be told apart); an empty table gives an empty
@@ -27,16 +33,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import fresh_path, table, written
 
-#: Chunks of 32 bytes on average: a passage of 51 words holds whole ones in 98 of 100 cases (64 bytes: in 95).
+#: Chunks of 32 bytes on average.
 BITS, MOST, REACH = 5, 1024, 32
-#: Bytes of a passage (of adjoining duplicate chunks) that counts as one: chunks of a few bytes are repeated by chance.
+#: Bytes of adjoining duplicate chunks that count as a passage however few words they hold (scripts without spaces).
 LEAST = 200
+#: A passage of more words than these counts however few whole chunks it holds.
+WORDS = 50
+#: Bytes beside the chunks of one keeping document that are compared with it, within a run and its neighbours.
+BESIDE = 1024
 #: Bytes hashed at once: bounds the memory of a long text.
 STEP = 1 << 20
 #: The gear table: a 32-bit number for each byte, from a rule.
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 7) for b in range(256)], np.uint32)
+#: Bytes between words, and bytes of letters and digits.
+SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+LETTER = [b >= 128 or chr(b).isalnum() for b in range(256)]
 
 
 def ends(data: bytes) -> list[int]:
@@ -60,9 +73,13 @@ def ends(data: bytes) -> list[int]:
     return out
 
 
+#: Of each chunk: the bytes of its neighbour before (and REACH more) and of the one after, words that begin in it, and in these.
+BESIDES = ("before", "after", "words", "words_before", "words_after")
+
+
 def chunked(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, start, length, d1, d2) of all chunks, in bytes."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())])
+    """(doc_id, text_hash, start, length, d1, d2, *BESIDES) of all chunks, in bytes."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), *((k, pa.int32()) for k in BESIDES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,34 +91,122 @@ def chunked(docs: DataFrame) -> DataFrame:
                 starts = np.r_[0, stops[:-1]]
                 digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]), "<i8").reshape(-1, 2)
                 n = len(stops)
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * n, pa.int64()), pa.array([text_hash] * n, pa.int64()), pa.array(starts), pa.array((stops - starts).astype(np.int32)), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy())], schema=schema)
+                low, high = np.maximum(np.r_[0, starts[:-1]] - REACH, 0), np.r_[stops[1:], len(data)]
+                space = SPACE[np.frombuffer(data, np.uint8)]
+                begun = np.r_[0, np.cumsum(~space & np.r_[True, space[:-1]], dtype=np.int32)]
+                besides = (starts - low, high - stops, begun[stops] - begun[starts], begun[starts] - begun[low] + 1, begun[high] - begun[stops])
+                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * n, pa.int64()), pa.array([text_hash] * n, pa.int64()), pa.array(starts), pa.array((stops - starts).astype(np.int32)), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), *(pa.array(x.astype(np.int32)) for x in besides)], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_hash long, start long, length int, d1 long, d2 long")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, start long, length int, d1 long, d2 long, " + ", ".join(f"{k} int" for k in BESIDES))
+
+
+def _kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As written, and the path."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
 
+def _forget(spark: SparkSession, *paths: str) -> None:
+    """Give back the space of tables whose successors are written, and of the shuffles that made these."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    spark._jvm.java.lang.System.gc()
 
-def duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, start, length, kept_in) of the chunks that occur at an earlier place too, and the id of the first."""
-    chunks = written(chunked(docs), "chunks")
+
+def duplicates(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(doc_id, text_hash, start, length, besides, kept) of the chunks that occur at an earlier place too, and the paths it reads; besides: BESIDES in 11 bits each, kept: the first place."""
+    chunks, path = _kept(chunked(docs), "chunks")
     # Digests alone are counted first: only chunks that occur again carry their places through the later shuffles.
-    often = written(chunks.groupBy("d1", "d2").agg(F.count("*").alias("n")).filter("n > 1").select("d1", "d2"), "often")
-    again = written(chunks.join(often, ["d1", "d2"], "left_semi"), "again")
+    often, path_often = _kept(chunks.groupBy("d1", "d2").agg(F.count("*").alias("n")).filter("n > 1").select("d1", "d2"), "often")
+    packed = sum((F.shiftleft(F.col(k).cast("long"), 11 * i) for i, k in enumerate(BESIDES)), F.lit(0).cast("long"))
+    places = chunks.select("doc_id", "text_hash", "start", "length", "d1", "d2", packed.alias("besides"))
+    again, path_again = _kept(places.join(often, ["d1", "d2"], "left_semi"), "again")
+    _forget(docs.sparkSession, path, path_often)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "start")
-    first = written(again.groupBy("d1", "d2").agg(F.min(place).alias("first")), "first")
+    first, path_first = _kept(again.groupBy("d1", "d2").agg(F.min(place).alias("first")), "first")
     met = again.join(first, ["d1", "d2"]).filter(place != F.col("first"))
-    return met.select("doc_id", "text_hash", "start", "length", F.col("first.doc_id").alias("kept_in"))
+    return met.select("doc_id", "text_hash", "start", "length", "besides", F.col("first").alias("kept")), [path_again, path_first]
+
+
+def same(ours: bytes, theirs: bytes, ours_starts: bool, ours_ends: bool, theirs_starts: bool, theirs_ends: bool) -> tuple[int, int, int]:
+    """(words, start, end) of the stretch of equal bytes with the most words, of two slices laid side by side; words cut at an edge in either don't count."""
+    n = min(len(ours), len(theirs))
+    a, b = np.frombuffer(ours, np.uint8), np.frombuffer(theirs, np.uint8)
+    edges = np.flatnonzero(np.diff(np.r_[False, a[:n] == b[:n], False].astype(np.int8)))
+    size = edges[1::2] - edges[::2]
+    if not len(size):
+        return 0, 0, 0
+    best = (-1, 0, 0)
+    # over WORDS words take more than twice as many bytes
+    for i in np.flatnonzero(size > 2 * WORDS).tolist() or [int(size.argmax())]:
+        x, y = int(edges[2 * i]), int(edges[2 * i + 1])
+        held = ours[x:y].split()
+        words = len(held)
+        for word, end, at, wholes in ((held[:1], ours[x], x - 1, (ours_starts, theirs_starts)), (held[-1:], ours[y - 1], y, (ours_ends, theirs_ends))):
+            # cut: within letters, or nothing but the marks of a word that differs
+            if word and not SPACE[end]:
+                beside = [s[at] if 0 <= at < len(s) else (32 if whole else 97) for s, whole in zip((ours, theirs), wholes, strict=True)]
+                marks = not any(LETTER[c] for c in word[0])
+                words -= any((marks and not SPACE[c]) or (LETTER[end] and LETTER[c]) for c in beside)
+        best = max(best, (max(0, words), x, y), key=lambda m: m[0])
+    return best
+
+
+RUN = ["doc_id", "text_hash", "start"]
+
+
+def extended(runs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, start, passage_start, passage_end, n_words) of each run and each document and shift that keeps chunks of it."""
+    key = lambda i, h: (F.coalesce(i, F.lit(0)).alias("_id"), i.isNull().alias("_none"), h.alias("_hash"))
+    on = ["_id", "_none", "_hash"]
+    id_ = F.col("doc_id").cast("long")
+    texts = docs.select(*key(id_, F.xxhash64("text")), F.col("text").cast("binary").alias("_text")).dropDuplicates(on)
+    shift = F.col("at") - F.col("kept.start")
+    by_shift = runs.groupBy(*RUN, "low", "high", F.col("kept.doc_id").alias("kept_id"), F.col("kept.text_hash").alias("kept_hash"), shift.alias("shift")).agg(F.min("at").alias("a"), F.max("to").alias("b"))
+    asked = by_shift.select(*RUN, "kept_id", "kept_hash", "shift", F.greatest("low", F.col("a") - BESIDE, "shift").alias("a"), F.least("high", F.col("b") + BESIDE).alias("b"))
+    # a byte more is asked for: where it is missing, the text ends
+    cut = lambda a: F.substring("_text", (a + 1).cast("int"), (F.col("b") - F.col("a") + 1).cast("int"))
+    theirs = asked.select("*", *key(F.col("kept_id"), F.col("kept_hash"))).join(texts, on).select(*RUN, "shift", "a", "b", cut(F.col("a") - F.col("shift")).alias("theirs"))
+    both = theirs.select("*", *key(F.col("doc_id"), F.col("text_hash"))).join(texts, on).select(*RUN, "shift", "a", "b", "theirs", cut(F.col("a")).alias("ours"))
+    schema = pa.schema([(k, pa.int64()) for k in (*RUN, "passage_start", "passage_end")] + [("n_words", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for d, h, s, by, a, b, theirs, ours in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n = b - a
+                words, x, y = same(ours, theirs, a == 0, len(ours) <= n, a == by, len(theirs) <= n)
+                out.append((d, h, s, a + x, a + y, words))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    return both.mapInArrow(run, "doc_id long, text_hash long, start long, passage_start long, passage_end long, n_words int")
 
 
 def passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc_id, text_hash, start, end, kept_in): runs of adjoining duplicate chunks of `least` bytes or more, and the ids that keep their chunks."""
+    """Runs of adjoining duplicate chunks whose passage counts: (doc_id, text_hash, start, end, kept_in), of the whole chunks and the ids that keep them, and (passage_start, passage_end, n_words): the stretch about them that one earlier place holds in a row, up to its true edges, of the most words."""
     own = W.partitionBy("doc_id", "text_hash").orderBy("start")
-    parts = duplicates(docs).distinct().withColumn("end", F.col("start") + F.col("length"))
+    met, paths = duplicates(docs)
+    field = {k: F.shiftright("besides", 11 * i).bitwiseAND(F.lit(2047)) for i, k in enumerate(BESIDES)}
+    parts = met.distinct().withColumn("end", F.col("start") + F.col("length"))
     begins = F.when(F.lag("end").over(own) == F.col("start"), 0).otherwise(1)
-    runs = parts.withColumn("begins", begins).withColumn("run", F.sum("begins").over(own))
-    merged = runs.groupBy("doc_id", "text_hash", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_set("kept_in")).alias("kept_in"))
-    return merged.filter(F.col("end") - F.col("start") >= least).drop("run")
+    numbered = parts.withColumn("begins", begins).withColumn("run", F.sum("begins").over(own))
+    of_run = W.partitionBy("doc_id", "text_hash", "run")
+    most = F.sum(field["words"]).over(of_run) + F.max(field["words_before"]).over(of_run) + F.max(field["words_after"]).over(of_run)
+    spread = numbered.select("doc_id", "text_hash", F.min("start").over(of_run).alias("start"), F.max("end").over(of_run).alias("end"), F.min(F.col("start") - field["before"]).over(of_run).alias("low"), F.max(F.col("end") + field["after"]).over(of_run).alias("high"), F.col("start").alias("at"), F.col("end").alias("to"), "kept", most.alias("most"))
+    runs = written(spread.filter((F.col("end") - F.col("start") >= least) | (F.col("most") > WORDS)).drop("most"), "runs")
+    _forget(docs.sparkSession, *paths)
+    merged = runs.groupBy(*RUN, "end").agg(F.array_sort(F.collect_set("kept.doc_id")).alias("kept_in"))
+    best = F.max(F.struct("n_words", (F.col("passage_end") - F.col("passage_start")).alias("size"), "passage_end")).alias("m")
+    longest = extended(runs, docs).groupBy(*RUN).agg(best).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("start").alias("_start"), (F.col("m.passage_end") - F.col("m.size")).alias("passage_start"), "m.passage_end", "m.n_words")
+    found = merged.join(longest, merged["doc_id"].eqNullSafe(longest["_id"]) & (merged["text_hash"] == longest["_hash"]) & (merged["start"] == longest["_start"]))
+    counts = (F.col("end") - F.col("start") >= least) | (F.col("n_words") > WORDS)
+    return found.filter(counts).select("doc_id", "text_hash", "start", "end", "kept_in", "passage_start", "passage_end", "n_words")
 
 
 def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each duplicate passage of the documents: doc_id, text_hash, start, end (bytes), kept_in (ids of the documents that keep it)."""
+    """A row for each duplicate passage of the documents: doc_id, text_hash, start, end (bytes of its whole chunks), kept_in (ids of the documents that keep these), passage_start, passage_end (bytes up to its true edges), n_words."""
     return passages(table(spark, sf_dir, "documents"))
