@@ -9,8 +9,8 @@ the different texts of the whole corpus that hold t, n(e) those that hold e. The
 information log(N n(t, e) / (n(t) n(e))) as a share of the entity's information content
 log(N / n(e)) says how much of the entity t discloses. Terms seen with e in SUPPORT different windows
 or more that disclose DISCLOSURE of it or more are generalised wherever they stand in texts that hold e.
-Common words never reach that share, and are left out before the corpus is counted: a term in so many
-windows that no count of the corpus could let it pass is no candidate.
+Common words never reach that share, and are left out before the corpus is counted: a term that stands
+whole in windows of so many texts that no count of the corpus could let it pass is no candidate.
 
 Defined results: null text is empty; repeated rows and equal ids are rows of their own; an entity seen
 once discloses nothing; term spans that overlap base spans are dropped; an empty table gives an empty
@@ -102,11 +102,14 @@ def terms_of(text: Column) -> Column:
 def disclosing_terms(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> tuple[DataFrame, DataFrame]:
     """(holders, pairs) for docs (doc_id, text not null): holders (doc_id, text_hash, entity), and pairs (entity, term, share) of terms that disclose an entity."""
     spans = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), base_spans(F.col("text")).alias("spans")).filter(F.size("spans") > 0)
-    one = spans.withColumn("s", F.explode("spans"))
+    one = spans.withColumn("held", terms_of(F.col("text"))).withColumn("s", F.explode("spans"))
     left = F.substring("text", F.greatest(F.col("s.start") - window, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(window)))
     right = F.substring("text", F.col("s.end") + 1, F.lit(window))
     entity = F.concat_ws(":", F.col("s.kind").cast("string"), F.lower("s.value"))
-    seen = written(one.select("doc_id", "text_hash", entity.alias("entity"), F.concat_ws(" | ", left, right).alias("around")), "entities")
+    around = F.concat_ws(" | ", left, right)
+    # a window may cut a word: only terms that the text holds whole count as its own
+    whole = F.array_intersect(terms_of(around), F.col("held"))
+    seen = written(one.select("doc_id", "text_hash", entity.alias("entity"), around.alias("around"), whole.alias("whole")), "entities")
     holders = seen.select("doc_id", "text_hash", "entity").distinct()
 
     texts = docs.select(F.xxhash64("text").alias("h")).distinct().count()  # a hash a text
@@ -116,9 +119,9 @@ def disclosing_terms(docs: DataFrame, window: int = WINDOW, support: int = SUPPO
     needed = F.exp(-(1 - disclosure) * content)
     windows = seen.select("entity", F.xxhash64("around").alias("w"), F.explode(terms_of(F.col("around"))).alias("term")).distinct()
     met = windows.groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= support)
-    common = windows.select("w", "term").distinct().groupBy("term").agg(F.count("*").alias("n_w"))
-    # windows are at most as many as the texts that hold the term, but for texts with many windows; a wide margin keeps the bound safe
-    hopeful = met.join(of_entity, "entity").join(common, "term").filter(F.col("n_te") * 8 >= F.col("n_w") * needed)
+    common = seen.select("text_hash", F.explode("whole").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n_w"))
+    # n_w counts texts that hold the term, never more than n_t: what falls below the bound by n_w falls below it by n_t
+    hopeful = met.join(of_entity, "entity").join(common, "term", "left").filter(F.col("n_te") >= F.coalesce("n_w", F.lit(0)) * needed * (1 - 1e-9))
     candidates = written(hopeful.select("entity", "term", "n_te", "n_e"), "candidates")
     wanted = written(candidates.select("term").distinct(), "wanted")
     if wanted.isEmpty():
