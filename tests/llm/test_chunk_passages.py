@@ -22,19 +22,21 @@ def test_passages_of_51_short_words(spark):
     rows += [(2000 + i, words(rng, 120)) for i in range(50)]
     rows += [(3000 + i, f"{words(rng, 30)} {t}{words(rng, 30)}") for i, t in enumerate([words(rng, 30)] * 2)]
     found = chunks.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    got, texts = {r["doc_id"]: r for r in found}, dict(rows)
-    assert set(got) <= {1000 + i for i in range(200)}  # neither unrelated texts nor 30 shared words
-    assert len(got) >= 190  # some hold no whole chunk
-    for i, r in got.items():
-        assert r["kept_in"] and r["n_words"] == 51
-        (a, s), (b, t) = (want[i], texts[i]), (want[i - 1000], texts[i - 1000])
+    assert {r["doc_id"] for r in found} <= set(want)  # neither unrelated texts nor 30 shared words
+    texts, held = dict(rows), {frozenset((r["doc_id"], r["kept_id"])): r for r in found if not r["keeps"]}
+    assert len(held) >= 190 and {r["doc_id"] for r in found if r["keeps"]} == {r["kept_id"] for r in held.values()}  # some hold no whole chunk
+    for r in held.values():
+        i, j = r["doc_id"], r["kept_id"]
+        assert r["n_words"] == 51 and abs(i - j) == 1000
+        (a, s), (b, t) = (want[i], texts[i]), (want[j], texts[j])
         before = next(k for k in range(min(a, b) + 1) if k == min(a, b) or s[a - 1 - k] != t[b - 1 - k])
         after = next(k for k in range(len(s)) if s[a + k] != t[b + k])
         assert (r["passage_start"], r["passage_end"]) == (a - before, a + after)
 
 
 def test_words_cut_at_an_edge_do_not_count():
-    assert chunks.same(b"xlog one two ca", b"ylog one two cx", True, True, True, True) == (2, 1, 14)
-    assert chunks.same(b"log one two", b"log one two", True, True, True, True) == (3, 0, 11)
-    assert chunks.same(b"log one two", b"log one two", False, True, True, True)[0] == 2
-    assert chunks.same(b"", b"a", True, True, True, True) == (0, 0, 0)
+    assert chunks.same(b"xlog one two ca", b"ylog one two cx") == (2, 1, 14)
+    assert chunks.same(b"log one two", b"log one two") == (3, 0, 11)
+    assert chunks.same(b"log one two", b"log one two", (97, 32))[0] == 2
+    assert chunks.same(b"log one two", b"log one two", (32, 32), (32, 97))[0] == 2
+    assert chunks.same(b"", b"a") == (0, 0, 0)
