@@ -395,3 +395,25 @@ def test_pieces_encode_as_whole_texts(encode):
     for at in range(0, len(texts), 100):
         for t, got in zip(texts[at : at + 100], tok.encode_batch(texts[at : at + 100]), strict=True):
             assert np.frombuffer(got, np.uint32).tolist() == encode(t), t
+
+
+def test_tokenizers_of_other_rules_encode_whole_texts():
+    import public_tokenizers
+    from thermion.llm.tokens import PieceEncoder, item_size
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, want = PieceEncoder(path), Tokenizer.from_file(path)
+    assert PieceEncoder(default_path()).by_pieces and not tok.by_pieces
+    texts = ["Some  Words, and\nlines", "x" * 100, "", None]
+    assert [np.frombuffer(b, np.uint32).tolist() for b in tok.encode_batch(texts)] == [want.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert item_size(default_path(), 2) == item_size(path, None) == 2 and item_size(path, 70_000) == 4
+
+
+def test_shards_take_wide_ids(spark):
+    from thermion.llm.common import fresh_path
+    from thermion.llm.sstable import lookup, write_shards
+
+    manifest = write_shards(spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string"), fresh_path(spark, "t"), end_id=70_000)
+    found = lookup(manifest, spark.createDataFrame([(2,), (3,)], "doc_id long")).collect()
+    assert [(r["doc_id"], r["ids"]) for r in found] == [(2, [70_000])]

@@ -34,8 +34,8 @@ from .common import table, written
 from .tokens import default_path, encoded
 
 CAPACITY, END_ID = 2048, 0
-#: Pieces that one task ranks, about.
-RANKED = 50_000
+#: Pieces that one task ranks at once: at most, and at least where the table has so many.
+RANKED, FEW = 50_000, 256
 #: Exact triples that take part in the fit, at most: the most frequent lengths' (a bound of the fit; what it leaves is packed best-fit).
 TRIPLES = 400_000
 #: Steps of the projected gradient.
@@ -162,7 +162,9 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     for length, n in parts.groupBy("length").count().collect():  # at most `capacity` rows
         hist[length] = n
     runs = _places(plan(hist, capacity), capacity)
-    buckets = F.element_at(F.lit([int(-(-n // RANKED)) or 1 for n in hist]), F.col("length").cast("int") + 1)
+    # several buckets a partition, so that no length makes a task long
+    each = max(FEW, min(RANKED, int(hist.sum()) // (8 * int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    buckets = F.element_at(F.lit([int(-(-n // each)) or 1 for n in hist]), F.col("length").cast("int") + 1)
     dealt = parts.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), buckets).cast("long"))
     totals = dealt.groupBy("length", "_bucket").count()
     before = W.partitionBy("length").orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)
@@ -170,8 +172,10 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
     ranked = dealt.withColumn("_rank", rank.cast("long")).join(base, ["length", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_base")).drop("_bucket", "_base")
     names = ranked.columns
+    sent = parts.sparkSession.sparkContext.broadcast(runs)  # three rows a pattern at most: TRIPLES bounds it
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = sent.value
         stride = int(runs["rank"].max()) + 1 if runs else 1
         starts = runs["length"] * stride + runs["rank"] if runs else None
         for batch in batches:

@@ -11,7 +11,7 @@ A shard holds documents in ascending key order:
 
 A key is b"\\0" for a null id, or b"\\1" and the id as 8 big-endian bytes with its sign bit flipped,
 so byte order is ascending id order, nulls first. A value is the ids as little-endian unsigned
-16-bit integers where the vocabulary allows, else 32-bit.
+16-bit integers where the tokenizer's vocabulary and the end id allow, else 32-bit.
 
 Writing: documents are range-partitioned by (id, hash of the text) - equal ids, however many, spread
 over partitions - sorted within them and streamed into shards of a bounded size, each under a new
@@ -41,12 +41,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import fresh_path, table, written
-from .tokens import default_path, encoded
+from .tokens import default_path, encoded, item_size
 
 MAGIC = b"TSST1\n"
 FOOTER = struct.Struct("<QQQQQQHH9s9sB6s")
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 END_ID = 2
+#: Keys at which lookups are cut into strips, at most.
+POINTS = 4096
 MANIFEST = "path string, part int, seq int, docs long, tokens long, min_key binary, max_key binary"
 
 
@@ -105,7 +107,7 @@ class ShardWriter:
 
     def add(self, key: bytes, ids: bytes) -> None:
         """ids: as little-endian 32-bit integers."""
-        value = ids if self.item == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+        value = ids if self.item == 4 else self._narrow(np.frombuffer(ids, "<u4"))
         shared = 0
         if self.entries:
             while shared < min(len(key), len(self.last)) and key[shared] == self.last[shared]:
@@ -124,6 +126,12 @@ class ShardWriter:
         if self.held >= self.block_bytes:
             self._flush()
 
+    @staticmethod
+    def _narrow(ids: np.ndarray) -> bytes:
+        if len(ids) and ids.max() >= 1 << 16:
+            raise ValueError(f"id {ids.max()} takes more than 16 bits")
+        return ids.astype("<u2").tobytes()
+
     def _flush(self) -> None:
         if self.entries:
             data = self.zstd.compress(b"".join(self.block))
@@ -212,9 +220,10 @@ class ShardReader:
         return found
 
 
-def write_shards(docs: DataFrame, to: str, tokenizer: str | None = None, end_id: int | None = END_ID, shard_bytes: int = 32 << 20, block_bytes: int = 64 << 10, item: int = 2) -> DataFrame:
-    """Encode docs (doc_id, text) and write shards below the folder `to`; returns the manifest, one row a shard."""
+def write_shards(docs: DataFrame, to: str, tokenizer: str | None = None, end_id: int | None = END_ID, shard_bytes: int = 32 << 20, block_bytes: int = 64 << 10, item: int | None = None) -> DataFrame:
+    """Encode docs (doc_id, text) and write shards below the folder `to`; returns the manifest, one row a shard. item: bytes of an id, 2 or 4; None: as the tokenizer needs."""
     tokenizer = tokenizer or default_path()
+    item = item or item_size(tokenizer, end_id)
     end = b"" if end_id is None else struct.pack("<I", end_id)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,18 +282,33 @@ def read_shards(manifest: DataFrame, tasks: int = 512) -> DataFrame:
 
 
 def lookup(manifest: DataFrame, keys: DataFrame, tasks: int = 64) -> DataFrame:
-    """(doc_id, ids array<int>) for the ids of keys (doc_id): each shard's footer range, Bloom filter and sparse index decide what is read."""
+    """(doc_id, ids array<int>) for the ids of keys (doc_id): each shard's footer range, Bloom filter and sparse index decide what is read.
+
+    At most POINTS smallest keys of shards, evenly spaced, cut the keys into strips; a key meets the shards of its strip only.
+    """
+    step = -(-manifest.count() // POINTS)
+    ranked = manifest.select("min_key", F.row_number().over(W.orderBy("min_key")).alias("n"))  # a row a shard
+    points = sorted(r["min_key"] for r in ranked.filter(F.col("n") % max(1, step) == 0).collect())
 
-    def shard_key(c):  # as key_of: comparable as binary
-        return F.when(c.isNull(), F.expr("X'00'")).otherwise(F.concat(F.expr("X'01'"), F.unhex(F.lpad(F.hex(c.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))))
+    def strips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low, high = (pa.array([bisect_right(points, k) for k in c.to_pylist()], pa.int32()) for c in batch.columns[-2:])
+            yield pa.RecordBatch.from_arrays([*batch.columns, low, high], names=[*batch.schema.names, "low", "high"])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = pa.array([key_of(i) for i in batch.column(0).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), key, pa.array([bisect_right(points, k) for k in key.to_pylist()], pa.int32())], names=["doc_id", "key", "strip"])
 
     def get(x: pd.DataFrame) -> pd.DataFrame:
         shard = ShardReader(x["path"].iloc[0])
         rows = [(k, v.astype(np.int32)) for k in x["doc_id"] for v in shard.get(None if pd.isna(k) else int(k))]
         return pd.DataFrame({"doc_id": pd.array([None if pd.isna(k) else int(k) for k, _ in rows], "Int64"), "ids": [v for _, v in rows]})
 
-    wanted = keys.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("key", shard_key(F.col("doc_id")))
-    near = wanted.join(manifest, (F.col("key") >= F.col("min_key")) & (F.col("key") <= F.col("max_key")))
+    wanted = keys.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().mapInArrow(keyed, "doc_id long, key binary, strip int")
+    shards = manifest.select("path", "min_key", "max_key").mapInArrow(strips, "path string, min_key binary, max_key binary, low int, high int")
+    spread = shards.withColumn("strip", F.explode(F.sequence("low", "high"))).drop("low", "high")
+    near = wanted.join(spread, "strip").filter((F.col("key") >= F.col("min_key")) & (F.col("key") <= F.col("max_key")))
     return near.select("path", "doc_id").repartition(tasks, "path").groupBy("path").applyInPandas(get, "doc_id long, ids array<int>")
 
 

@@ -1,92 +1,132 @@
 """Token ids of whole texts with a public tokenizer file, word by word.
 
-The tokenizer never joins characters across a space, tab or line break, lower-cases letters, and
-keeps a punctuation mark apart from the letters before it. So a text's ids are those of its pieces
-between white space, a piece met before need not be encoded again, and "Word" and "word," need only
-"word" and ",". Only these rules are used here: the tokenizers library itself decides everything
-inside a piece. Texts with the beginning of a special token keep their case.
+Some tokenizers never join characters across a space, lower-case letters, and keep letters, digits and
+marks apart. Then a text's ids are those of its pieces between white space, and a piece's those of its
+words and marks; each is worked out once and kept. This holds only for files whose normalizer and
+pre-tokenizer are those of RULES, which is checked when the file is loaded; texts of any other file are
+encoded whole by the tokenizers library. The file's own model, run by that library, encodes every word;
+pieces with characters beyond PLAIN, or with the beginning of a special token, go to the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from array import array
 
-import numpy as np
 import public_tokenizers
 
 DEFAULT = "word_bpe_49k.json"
 #: About how many pieces a Python worker keeps in each of two generations, and the longest kept: bounds the memory, not the result.
 KEEP, KEEP_BYTES = 500_000, 48
+#: The normalizer and pre-tokenizer for which pieces and parts are as below, as tokenizer files state them (fixed values).
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+#: Marks that end a word without being part of it.
 MARKS = frozenset(b".,!?;:")
+#: Pieces of characters that no normal form changes, and the pattern's parts of them.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
 def default_path() -> str:
     return public_tokenizers.path(DEFAULT)
 
 
+def item_size(path: str, end_id: int | None) -> int:
+    """Bytes that hold any id of the file's vocabulary, and end_id: 2 or 4."""
+    from tokenizers import Tokenizer
+
+    ids = [*Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values(), end_id or 0]
+    return 2 if max(ids) < 1 << 16 else 4
+
+
+def _by_pieces(path: str) -> bool:
+    """Whether a text's ids are those of its pieces."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    added = said.get("added_tokens") or []
+    apart = all(t["content"].startswith("<|") and not re.search(r"\s", t["content"]) and not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in added)
+    return apart and all(said.get(k) == v for k, v in RULES.items()) and said["model"]["type"] == "BPE" and not said.get("truncation") and not said.get("padding")
+
+
+class _Known(dict):
+    """ids by piece; a piece that is not there is encoded."""
+
+    def __init__(self, encode, before: dict):
+        super().__init__({b"": b""})
+        self.encode, self.before = encode, before
+
+    def __missing__(self, piece: bytes) -> bytes:
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = self.encode(piece)
+        if len(piece) <= KEEP_BYTES:
+            self[piece] = ids
+        return ids
+
+
 class PieceEncoder:
     """encode_batch(texts): each text's ids as little-endian 32-bit integers in one bytes object."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {b"": b""}
-        self.before: dict[bytes, bytes] = {}
-        # a special token between pieces tells their ids apart; where the vocabulary has none, pieces are encoded one by one
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special and t.content.startswith("<|")]
-        self.between = special[0] if special else None
-        self.between_id = self.tokenizer.token_to_id(special[0]) if special else -1
-
-    def _one(self, piece: bytes) -> bytes:
-        return array("I", self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids).tobytes()
-
-    def _encode(self, pieces: list[bytes]) -> None:
-        """Adds pieces to the known ones."""
-        plain = [p for p in pieces if b"<|" not in p] if self.between else []
-        if plain:
-            ids = np.array(self.tokenizer.encode(self.between.join([p.decode() for p in plain]), add_special_tokens=False).ids, np.uint32)
-            cuts, data = np.flatnonzero(ids == self.between_id), ids.tobytes()
-            if len(cuts) == len(plain) - 1:
-                for piece, a, b in zip(plain, [0, *((cuts + 1) * 4).tolist()], [*(cuts * 4).tolist(), len(data)], strict=True):
-                    self.known[piece] = data[a:b]
-        for piece in pieces:
-            if piece not in self.known:
-                self.known[piece] = self._one(piece)
-
-    def _learn(self, new: set[bytes]) -> None:
-        known, marked, rest = self.known, [], []
-        for piece in new:
-            if piece in self.before:
-                known[piece] = self.before[piece]
-            elif len(piece) > 1 and piece[-1] in MARKS and piece[:-1].decode()[-1].lower()[-1].isalpha():
-                marked.append(piece)
-            else:
-                rest.append(piece)
-        parts = {p[:-1] for p in marked} | {p[-1:] for p in marked}
-        self._encode(list(dict.fromkeys([*rest, *(p for p in parts if p not in known)])))
-        for piece in marked:
-            known[piece] = known[piece[:-1]] + known[piece[-1:]]
+        self.model, self.bytes = self.tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False)
+        self.by_pieces = _by_pieces(path)
+        self.known = _Known(self._piece, {})
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def _piece(self, piece: bytes) -> bytes:
+        if piece.isalpha():  # ASCII letters alone: one word
+            return self._word(piece.lower().decode())
+        if piece[:-1].isalpha() and piece[-1] in MARKS:
+            return self.known[piece[:-1]] + self.known[piece[-1:]]
+        text = piece.decode()
+        if b"<|" in piece or not PLAIN.fullmatch(text):
+            return self._whole(text)
+        parts = PART.findall(text.lower())
+        if len(parts) > 1:
+            return b"".join([self.known[p.encode()] for p in parts])
+        word = parts[0] if parts[0].isascii() else self.bytes.pre_tokenize_str(parts[0])[0][0]
+        return self._word(word)
+
+    def _text(self, text: str | None) -> bytes:
+        data = (text or "").encode()
+        if b"<|" not in data:
+            data = data.lower()
+        if b"\n" in data or b"\t" in data or b"\r" in data:
+            data = data.translate(BLANK)
+        return b"".join(map(self.known.__getitem__, data.split(b" ")))
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        split = []
-        for t in texts:
-            data = (t or "").encode()
-            data = data if b"<|" in data else data.lower()
-            split.append(data.replace(b"\n", b" ").replace(b"\t", b" ").replace(b"\r", b" ").split(b" "))
+        if not self.by_pieces:
+            return [self._whole(t or "") for t in texts]
         if len(self.known) > KEEP:
-            self.before, self.known = self.known, {b"": b""}
-        new = set().union(*split).difference(self.known)
-        if new:
-            self._learn(new)
-        out = [b"".join(map(self.known.__getitem__, own)) for own in split]
-        for piece in [p for p in new if len(p) > KEEP_BYTES]:
-            del self.known[piece]
-        return out
+            self.known = _Known(self._piece, dict(self.known))
+        return [self._text(t) for t in texts]
 
 
+#: Bytes with tabs and line breaks as spaces.
+BLANK = bytes.maketrans(b"\n\t\r", b"   ")
 _encoders: dict[str, PieceEncoder] = {}
 
 
