@@ -96,19 +96,21 @@ def test_top_k_brute_force(spark):
     rows = [(int(i), [float(x) for x in rng.normal(0, 0.2, 9)]) for i in range(400)]
     rows += [(i, rows[7][1]) for i in range(500, 560)]  # ties
     rows += [(600, rows[7][1]), (600, rows[7][1]), (None, rows[7][1]), (700, []), (800, [0.5]), (900, None), (1000, [None, 1.0]), (1100, [float("nan")]), (1200, [float("inf")]), (1300, [-3.0] * 9)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    rows += [(1400, [2e6, 1.0, -3e6]), (1401, [2e6, 1.0]), (1402, [-(2.0**30), 5.0]), (1500, [1e25, 1.0]), (1501, [-1e25, 3.0])]
+    rows = [(i, v and [x and float(np.float32(x)) for x in v]) for i, v in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as block", "vec_id as id", "'x' as low").repartition(3)
     index = build_index(df, block=70)
     assert index.count() >= 6
     got = defaultdict(list)
     for q, rank, v, s in rows_of(search(index, queries_of(index, chunk=3))):
         got[q].append((rank, v, s))
-    kept = [(i, np.floor(1024 * np.array([np.float32(x) for x in v], np.float64)).astype(int)) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    padded = [(i, np.r_[v, np.zeros(9 - len(v), int)]) for i, v in kept]
+    kept = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    padded = [(i, np.array(v + [0] * (9 - len(v)), object)) for i, v in kept]
     want = defaultdict(list)
     for a, (i, v) in enumerate(padded):
         if i is not None and i % 100 == 0:
             ranked = sorted(((-int(v @ w), j is None, j or 0) for b, (j, w) in enumerate(padded) if b != a))[:10]
-            want[i] += [(r + 1, None if none else j, -s) for r, (s, none, j) in enumerate(ranked)]
+            want[i] += [(r + 1, None if none else j, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for r, (s, none, j) in enumerate(ranked)]
     assert {q: Counter(x) for q, x in got.items()} == {q: Counter(x) for q, x in want.items()}
 
 
