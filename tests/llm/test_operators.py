@@ -173,15 +173,71 @@ def test_links_of_dense_groups(spark, segments, run):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def shingles(text, n=5):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def test_wide_fingerprint_is_a_majority():
+    from thermion.llm.simhash import wide_fingerprint
+
+    text = "One two three four five six seven eight"
+    own = [b" ".join(text.lower().encode().split()[i : i + 5]) for i in range(4)]
+    votes = [sum(int.from_bytes(xxhash.xxh3_128_digest(s, k // 128), "little") >> k % 128 & 1 for s in own) for k in range(256)]
+    want = sum(1 << k for k in range(256) if 2 * votes[k] > 4)
+    assert sum(w << 64 * i for i, w in enumerate(wide_fingerprint(text))) == want
+    assert wide_fingerprint(None) == wide_fingerprint(" \n") == [0] * 4
+
+
+def test_near_copies_of_the_similarity_are_met(spark):
+    """At least 0.95 of pairs of a 5-word Jaccard of 0.8 to 0.9 are in one group, and unrelated texts in none."""
+    import random
+
+    from thermion.llm.simhash import similar
+
+    rng, rows, pairs = random.Random(4), [], 0
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
+    for i in range(400):
+        base = [word() for _ in range(rng.randint(60, 400))]
+        near = list(base)
+        while len(a := shingles(" ".join(base))) and len(a & (b := shingles(" ".join(near)))) / len(a | b) > rng.choice([0.82, 0.9]):
+            last = list(near)
+            near[rng.randrange(len(near))] = word()
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(last))]
+    group = {r["doc_id"]: r["component_id"] for r in similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(group[2 * i] == 2 * i for i in range(400))
+    assert all(group[2 * i + 1] in (2 * i, 2 * i + 1) for i in range(400))
+    assert sum(group[2 * i + 1] == 2 * i for i in range(400)) >= 380
+
+
+@pytest.mark.parametrize("run", [4096, 60])
+def test_wide_links_of_a_large_group(spark, run):
+    """One group of hundreds of near copies and the nodes beside it, however runs are dealt out."""
+    from thermion.llm.components import connected
+    from thermion.llm.simhash import _ids, linked_wide
+
+    rng = np.random.default_rng(8)
+    base = rng.integers(-(1 << 63), 1 << 63, 4)
+    rows = [base.copy() for _ in range(300)] + [rng.integers(-(1 << 63), 1 << 63, 4) for _ in range(50)]
+    for row in rows[1:300]:
+        for b in rng.choice(256, rng.integers(1, 12), replace=False):
+            row[b // 64] ^= np.int64(np.uint64(1 << int(b % 64)).view(np.int64))
+    w = np.unique(np.array(rows), axis=0)
+    nodes = spark.createDataFrame([(int(i), *map(int, x)) for i, x in zip(_ids(w), w, strict=True)], "fp long, w0 long, w1 long, w2 long, w3 long")
+    found = connected(linked_wide(nodes, run=run)).groupBy("component").count().collect()
+    assert [r["count"] for r in found] == [len(w) - 50]
+
+
 def test_deduplicated_keeps_one_of_each_group(spark, tables):
     from thermion.llm.common import table
-    from thermion.llm.simhash import deduplicated
+    from thermion.llm.simhash import deduplicated, similar
 
     docs = table(spark, tables, "documents")
     kept = deduplicated(docs)
     assert kept.columns == docs.columns
-    of = components([simhash(t) for _, t, *_ in corpus()])
-    groups = Counter(of[simhash(r["text"])] for r in kept.collect())
+    rows = similar(docs).collect()
+    of = {(r["doc_id"], r["text_hash"]): r["fp"] if r["component_id"] is None else r["component_id"] for r in rows}
+    groups = Counter(of[r["doc_id"], r["h"]] for r in kept.selectExpr("doc_id", "xxhash64(text) h").collect())
     assert set(groups) == set(of.values()) and max(groups.values()) == 1
 
 

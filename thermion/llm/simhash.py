@@ -15,6 +15,15 @@
 
 At 10^9 different fingerprints, take segments = 2: keys of 32 bits (562 a node).
 
+Near copies of a given similarity (`similar`, which the pipeline uses) are further apart than a few bits
+of 64: shingle sets of Jaccard 0.8 differ in 15 of 100 bits, give or take what a short fingerprint
+blurs. So their fingerprints have WIDE words of 64 bits, and segments are met by balls on both sides: every
+node is filed under all keys within one bit of its segment, so segments within two bits share a key. The
+length of a segment follows the number of nodes, so that unrelated nodes seldom share a key, and the
+number of segments follows from the share of pairs at the similarity that have to meet (MEET).
+Complete distances are verified as before, with a radius that CAUGHT standard deviations of the
+distance at the similarity stay within: pairs somewhat less similar pass too.
+
 Defined results: null, empty and blank texts have fingerprint zero, linked like any other; null ids
 take part but name no component unless all ids are null (component null); repeated rows are rows
 like any other; an empty table gives an empty result; other columns are ignored.
@@ -22,6 +31,7 @@ like any other; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -35,41 +45,66 @@ from .common import table, written
 from .components import connected
 
 WIDTH, RADIUS, SEGMENTS, SEED = 4, 4, 3, 42
+#: Of `similar`: words of a shingle and of a fingerprint, Jaccard similarity, share of pairs that meet, standard deviations of their distance.
+SHINGLE, WIDE, SIMILARITY, MEET, CAUGHT = 5, 4, 0.8, 0.98, 1.7
 #: Rows of one key that a task takes at once.
 RUN = 4096
 #: Shingles hashed at once: bounds the memory of a long text.
 STEP = 1 << 18
+#: Pairs of small runs verified at once.
+PAIRS = 1 << 18
+
+
+def _words_of(text: str | None, width: int, words: int, digest) -> list[int]:
+    own = (text or "").encode("utf-8", "replace").lower().split()
+    if not own:
+        return [0] * words
+    joined = b" ".join(own)
+    ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    n = max(1, len(own) - width + 1)
+    last = ends[min(width, len(own)) - 1 :]
+    counts = np.zeros(64 * words, np.int64)
+    for at in range(0, n, STEP // words):
+        pairs = zip(starts[at : at + STEP // words][: n - at].tolist(), last[at : at + STEP // words].tolist(), strict=False)
+        h = np.frombuffer(b"".join([digest(joined[a:b]) for a, b in pairs]), np.uint8).reshape(-1, 8 * words)
+        # one byte's bits at a time stay in the processor's cache; counts of a few hundred rows fit 16 bits
+        bits = np.unpackbits(h, axis=1, bitorder="little")
+        counts += np.add.reduceat(bits, np.arange(0, len(bits), 256), axis=0, dtype=np.uint16).sum(0, dtype=np.int64)
+    packed = np.packbits(counts * 2 > n, bitorder="little").tobytes()
+    return [int.from_bytes(packed[i : i + 8], "little") for i in range(0, len(packed), 8)]
 
 
 def fingerprint(text: str | None, width: int = WIDTH) -> int:
     """SimHash of the text's shingles of `width` words (fewer words: the whole sequence; none: 0)."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    n = max(1, len(words) - width + 1)
-    last = ends[min(width, len(words)) - 1 :]
-    counts = np.zeros(64, np.int64)
-    digest = xxhash.xxh64_intdigest
-    for at in range(0, n, STEP):
-        pairs = zip(starts[at : at + STEP][: n - at].tolist(), last[at : at + STEP].tolist(), strict=False)
-        h = np.array([digest(joined[a:b], SEED) for a, b in pairs], "<u8")
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
+    return _words_of(text, width, 1, lambda s: xxhash.xxh64_intdigest(s, SEED).to_bytes(8, "little"))[0]
+
 
+def wide_fingerprint(text: str | None, width: int = SHINGLE) -> list[int]:
+    """The same of WIDE words of 64 bits."""
+    return _words_of(text, width, WIDE, lambda s: b"".join([xxhash.xxh3_128_digest(s, seed) for seed in range(WIDE // 2)]))
 
-def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, text_hash, fp long) of every row of docs (doc_id, text)."""
+
+def _ids(fp: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each row of words; of single words, the words."""
+    h = fp[:, 0].astype(np.uint64)
+    for k in range(1, fp.shape[1]):
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + fp[:, k].astype(np.uint64)
+    return h.astype(np.int64)
+
+
+def fingerprints(docs: DataFrame, width: int = WIDTH, words: int = 1) -> DataFrame:
+    """(doc_id, text_hash, fp long, w0, ... long) of every row of docs (doc_id, text); words above 1: wide, and fp names them."""
+    names = [f"w{k}" for k in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), width) for t in batch.column(2)], np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], names=["doc_id", "text_hash", "fp"])
+            own = [[fingerprint(t.as_py(), width)] if words == 1 else wide_fingerprint(t.as_py(), width) for t in batch.column(2)]
+            w = np.array(own, np.uint64).astype(np.int64).reshape(-1, words)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_ids(w), pa.int64()), *(pa.array(w[:, k].copy(), pa.int64()) for k in range(words))], names=["doc_id", "text_hash", "fp", *names])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, fp long")
+    schema = "doc_id long, text_hash long, fp long, " + ", ".join(f"{n} long" for n in names)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
 
 
 def _parts(segments: int) -> list[tuple[int, int]]:
@@ -89,11 +124,19 @@ def _probes(fp: Column, radius: int, segments: int) -> Column:
         asked += [(i, key, masks)]
 
     def filed(i: int, key: Column, masks: list[int]) -> Column:
-        return F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: F.struct(F.lit(i).cast("byte").alias("part"), key.bitwiseXOR(m).alias("key"), (m == 0).alias("centre")))
+        return F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: F.struct(F.lit(i).cast("short").alias("part"), key.bitwiseXOR(m).alias("key"), (m == 0).alias("centre")))
 
     return F.concat(*[filed(*x) for x in asked])
 
 
+def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Whether each row of words of a is within radius of each of b."""
+    d = np.zeros((len(a), len(b)), np.uint16)
+    for k in range(a.shape[1]):
+        d += np.bitwise_count((a[:, None, k] ^ b[None, :, k]).view(np.uint64))
+    return d <= radius
+
+
 def _stars(a: np.ndarray, b: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links from each row to the smallest of its group, for the bipartite graph `near` between a and b."""
     rows, columns = near.any(1), near.any(0)
@@ -112,54 +155,60 @@ def _stars(a: np.ndarray, b: np.ndarray, near: np.ndarray) -> tuple[np.ndarray,
 
 
 def _verified(fp: np.ndarray, centre: np.ndarray, run: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links of sorted whole runs; run: number of each row's run."""
+    """Links of sorted whole runs; run: number of each row's run; fp: rows of words."""
+    ids = _ids(fp)
     starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
     sizes = np.diff(np.r_[starts, len(run)])
     of = np.repeat(np.arange(len(starts)), sizes)
     small = (sizes > 1) & (sizes <= 48) & (np.add.reduceat(centre, starts) > 0)
-    # small runs at once: each centre against all rows of its run
+    # small runs, some thousands of pairs at once: each centre against the rows of its run, two centres once
     at = np.flatnonzero(small[of] & centre)
     n = sizes[of[at]]
-    left = np.repeat(at, n)
-    right = np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[of[at]], n)
-    keep = (fp[left] != fp[right]) & (np.bitwise_count((fp[left] ^ fp[right]).view(np.uint64)) <= radius)
-    yield fp[left[keep]], fp[right[keep]]
+    for part in np.split(at, np.searchsorted(np.cumsum(n), np.arange(PAIRS, n.sum(), PAIRS))) if len(at) else []:
+        if not len(part):
+            continue
+        n = sizes[of[part]]
+        left = np.repeat(part, n)
+        right = np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[of[part]], n)
+        once = (right > left) | ~centre[right]
+        left, right = left[once], right[once]
+        d = np.bitwise_count((fp[left] ^ fp[right]).view(np.uint64)).sum(1, dtype=np.int64)
+        keep = (ids[left] != ids[right]) & (d <= radius)
+        yield ids[left[keep]], ids[right[keep]]
     for i in np.flatnonzero(sizes > 48):
         rows = slice(starts[i], starts[i] + sizes[i])
-        own = fp[rows]
-        kept = own[centre[rows]]
-        if len(kept):
-            near = np.bitwise_count((kept[:, None] ^ own[None, :]).view(np.uint64)) <= radius
-            yield _stars(kept, own, near)
-
-
-LINK = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("part", pa.int8()), ("key", pa.int64()), ("centre", pa.bool_())])
+        held = centre[rows]
+        if held.any():
+            yield _stars(ids[rows][held], ids[rows], _near(fp[rows][held], fp[rows], radius))
 
 
-def _read_runs(batches: Iterator[pa.RecordBatch], radius: int, most: int) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (part, key, ...): links (u, v); rows of runs above `most` pass on as they are (v null)."""
+def _read_runs(batches: Iterator[pa.RecordBatch], radius: int, most: int, words: int) -> Iterator[pa.RecordBatch]:
+    """From rows (part, key, ..., words, centre) sorted by (part, key, ...): links (u, v); rows of runs above `most` pass on as they are (v null)."""
+    names = ["u", "v", "part", "key", "centre", *(f"w{k}" for k in range(words))]
+    kinds = [pa.int64(), pa.int64(), pa.int16(), pa.int64(), pa.bool_(), *[pa.int64()] * words]
     held: list[np.ndarray] = []
-    hot = None
+    hot, keys = None, -1 - words
 
     def links(x: np.ndarray) -> Iterator[pa.RecordBatch]:
-        run = np.cumsum(np.r_[False, (x[1:, :-2] != x[:-1, :-2]).any(1)])
-        found = list(_verified(x[:, -2].copy(), x[:, -1] == 1, run, radius))
-        u, v = (np.concatenate(c) for c in zip(*found, strict=True))
-        u, v = np.maximum(u, v), np.minimum(u, v)
-        pair = np.unique(np.stack([u, v], 1)[u != v], axis=0)
-        if len(pair):
-            none = pa.nulls(len(pair))
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), none.cast(pa.int8()), none.cast(pa.int64()), none.cast(pa.bool_())], schema=LINK)
+        run = np.cumsum(np.r_[False, (x[1:, :keys] != x[:-1, :keys]).any(1)])
+        found = list(_verified(x[:, keys:-1].copy(), x[:, -1] == 1, run, radius))
+        if found:
+            u, v = (np.concatenate(c) for c in zip(*found, strict=True))
+            u, v = np.maximum(u, v), np.minimum(u, v)
+            pair = np.unique(np.stack([u, v], 1)[u != v], axis=0)
+            if len(pair):
+                none = pa.nulls(len(pair))
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), *(none.cast(k) for k in kinds[2:])], names=names)
 
     def passed(x: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x[:, -2]), pa.nulls(len(x)).cast(pa.int64()), pa.array(x[:, 0].astype(np.int8)), pa.array(x[:, 1]), pa.array(x[:, -1] == 1)], schema=LINK)
+        return pa.RecordBatch.from_arrays([pa.array(_ids(x[:, keys:-1])), pa.nulls(len(x)).cast(pa.int64()), pa.array(x[:, 0].astype(np.int16)), pa.array(x[:, 1].copy()), pa.array(x[:, -1] == 1), *(pa.array(x[:, keys + k].copy()) for k in range(words))], names=names)
 
     for batch in batches:
         if not batch.num_rows:
             continue
         x = np.stack([c.cast(pa.int64()).to_numpy(zero_copy_only=False) for c in batch.columns], 1)
         if hot is not None:  # the rest of a run that was too long
-            more = (x[:, :-2] == hot).all(1)
+            more = (x[:, :keys] == hot).all(1)
             n = len(x) if more.all() else int(np.argmin(more))
             if n:
                 yield passed(x[:n])
@@ -168,7 +217,7 @@ def _read_runs(batches: Iterator[pa.RecordBatch], radius: int, most: int) -> Ite
             x, hot = x[n:], None
         held.append(x)
         x = np.concatenate(held) if len(held) > 1 else x
-        last = (x[:, :-2] == x[-1, :-2]).all(1)
+        last = (x[:, :keys] == x[-1, :keys]).all(1)
         cut = len(x) - (len(x) if last.all() else int(np.argmin(last[::-1])))
         if cut:
             yield from links(x[:cut])
@@ -176,17 +225,17 @@ def _read_runs(batches: Iterator[pa.RecordBatch], radius: int, most: int) -> Ite
         held = [x]
         if len(x) > most:
             yield passed(x)
-            hot, held = x[-1, :-2], []
+            hot, held = x[-1, :keys], []
     if held and len(held[0]):
         yield from links(held[0])
 
 
-def linked(nodes: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, run: int = RUN) -> DataFrame:
-    """Links (u, v) whose components are those of all pairs of nodes (fp, distinct) within `radius` bits."""
-    asked = nodes.select("fp", F.explode(_probes(F.col("fp"), radius, segments)).alias("p")).select("p.part", "p.key", "fp", F.col("p.centre").cast("byte").alias("centre"))
-    schema = "u long, v long, part byte, key long, centre boolean"
-    sorted_ = asked.repartition("part", "key").sortWithinPartitions("part", "key")
-    out = written(sorted_.mapInArrow(lambda b: _read_runs(b, radius, run), schema), "links")
+def _met(asked: DataFrame, radius: int, run: int, words: int) -> DataFrame:
+    """Links (u, v) of rows (part, key, w0, ..., centre) that share a key and are within `radius` bits."""
+    own = [f"w{k}" for k in range(words)]
+    schema = "u long, v long, part short, key long, centre boolean, " + ", ".join(f"{w} long" for w in own)
+    sorted_ = asked.select("part", "key", *own, "centre").repartition("part", "key").sortWithinPartitions("part", "key")
+    out = written(sorted_.mapInArrow(lambda b: _read_runs(b, radius, run, words), schema), "links")
     links, rest = out.filter("v is not null").select("u", "v"), out.filter("v is null")
     if rest.isEmpty():
         return links
@@ -194,28 +243,83 @@ def linked(nodes: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, run
     blocks = rest.groupBy("part", "key").agg(F.ceil(F.count("*") * 2 / run).cast("int").alias("n"))
     dealt = rest.join(blocks, ["part", "key"]).withColumn("own", F.pmod(F.xxhash64("u"), F.col("n")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("a"), F.greatest(o, F.col("own")).alias("b")))
-    spread = dealt.withColumn("p", F.explode(pairs)).select("part", "key", "p.a", "p.b", F.col("u").alias("fp"), F.col("centre").cast("byte").alias("centre"))
+    spread = dealt.withColumn("p", F.explode(pairs)).select("part", "key", "p.a", "p.b", *own, F.col("centre").cast("byte").alias("centre"))
     met = spread.repartition("part", "key", "a", "b").sortWithinPartitions("part", "key", "a", "b")
-    more = written(met.mapInArrow(lambda b: _read_runs(b, radius, 1 << 62), schema), "links")
+    more = written(met.mapInArrow(lambda b: _read_runs(b, radius, 1 << 62, words), schema), "links")
     return links.union(more.select("u", "v"))
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
-    """(doc_id, text_hash, fp, component_id) of every row of docs (doc_id, text)."""
-    fps = written(fingerprints(docs, width), "fingerprints")
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    groups = connected(linked(nodes.select("fp"), radius, segments))
-    grouped = nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("group"))
+def linked(nodes: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, run: int = RUN) -> DataFrame:
+    """Links (u, v) whose components are those of all pairs of nodes (fp, distinct) within `radius` bits."""
+    asked = nodes.select("fp", F.explode(_probes(F.col("fp"), radius, segments)).alias("p")).select("p.part", "p.key", F.col("fp").alias("w0"), F.col("p.centre").cast("byte").alias("centre"))
+    return _met(asked, radius, run, 1)
+
+
+def shape(n: int, similarity: float = SIMILARITY) -> tuple[int, int, int]:
+    """(radius, bits, segments) for n nodes: see the head of the module."""
+    shared = 2 * similarity / (1 + similarity)  # the cosine of two sets of one size
+    p = math.acos(min(1.0, shared)) / math.pi
+    size = 64 * WIDE
+    bits = min(32, max(16, (n - 1).bit_length() - 1 if n > 1 else 16))
+    within = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(3))
+    wanted = math.ceil(math.log(1 - MEET) / math.log(1 - within)) if within < 1 else 1
+    return round(size * p + CAUGHT * (size * p * (1 - p)) ** 0.5), bits, min(wanted, (_halves(bits) // 2) ** 2)
+
+
+def _halves(bits: int) -> int:
+    """How many half segments the words of a wide fingerprint have."""
+    return WIDE * (64 // -(-bits // 2))
+
+
+def linked_wide(nodes: DataFrame, similarity: float = SIMILARITY, run: int = RUN) -> DataFrame:
+    """Links (u, v) of nodes (fp, w0, ...): most pairs of at least the similarity are linked, and none beyond the radius."""
+    radius, bits, segments = shape(nodes.count(), similarity)
+    halves, half = _halves(bits), -(-bits // 2)
+    masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(bits)])
+
+    def half_key(i: int, n: int) -> Column:
+        return F.shiftrightunsigned(F.col(f"w{i % WIDE}"), half * (i // WIDE)).bitwiseAND(F.lit((1 << n) - 1))
+
+    def filed(i: int) -> Column:
+        # segments are pairs of halves: disjoint ones first, then each half again beside another
+        again, k = divmod(i, halves // 2)
+        key = half_key(2 * k, half).bitwiseOR(F.shiftleft(half_key((2 * k + 1 + 2 * again) % halves, bits - half), half))
+        return F.transform(masks, lambda m: F.struct(F.lit(i).cast("short").alias("part"), key.bitwiseXOR(m).alias("key")))
+
+    own = [f"w{k}" for k in range(WIDE)]
+    asked = nodes.select(*own, F.explode(F.concat(*[filed(i) for i in range(segments)])).alias("p")).select("p.part", "p.key", *own, F.lit(1).cast("byte").alias("centre"))
+    return _met(asked, radius, run, WIDE)
+
+
+def _grouped(fps: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, fp, component_id) from the rows' fingerprints, the nodes with their first ids, and the nodes' links."""
+    groups = connected(links)
+    grouped = nodes.select("fp", "first_id").join(groups, nodes["fp"] == groups["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("group"))
     named = written(grouped, "groups")
     ids = named.groupBy("group").agg(F.min("first_id").alias("component_id"))
     of_fp = named.join(ids, "group").select(F.col("fp").alias("of"), "component_id")
     return fps.join(of_fp, fps["fp"] == of_fp["of"]).select("doc_id", "text_hash", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, **how) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
+    """(doc_id, text_hash, fp, component_id) of every row of docs (doc_id, text)."""
+    fps = written(fingerprints(docs, width), "fingerprints")
+    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
+    return _grouped(fps, nodes, linked(nodes.select("fp"), radius, segments))
+
+
+def similar(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, text_hash, fp, component_id) of every row of docs (doc_id, text): groups of texts of the similarity, by wide fingerprints."""
+    fps = written(fingerprints(docs, width, WIDE), "fingerprints")
+    own = [f"w{k}" for k in range(WIDE)]
+    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), *[F.min(w).alias(w) for w in own]), "nodes")
+    return _grouped(fps, nodes, linked_wide(nodes, similarity))
+
+
+def deduplicated(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one row of each group of near-duplicates: that of the smallest doc_id (then of the smallest text hash; null ids last)."""
     columns = docs.columns
-    found = near_duplicates(docs, **how)
+    found = written(similar(docs, width, similarity), "similar")
     # groups without any id are told apart by their fingerprints' component only: they share the null id, so each keeps its own texts
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     groups = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp")).agg(first.alias("f"))
