@@ -67,6 +67,18 @@ def test_mixing_by_hand(spark, tables):
     assert got == pytest.approx(of_size)
 
 
+def test_mixed_documents_are_what_the_mix_takes(spark, tables):
+    from thermion.llm.mixing import mix, mixed_documents
+
+    empty_ones = spark.createDataFrame([(9000 + i, " " * (i % 3), "en", f"s{i % 4}", 0) for i in range(60)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.read.parquet(f"{tables}/documents.parquet").select(*empty_ones.columns).union(empty_ones)
+    want = {r["doc_id"]: r["times"] for r in mix(docs).filter("doc_id is not null").collect()}
+    assert max(want.values()) <= 3
+    got = Counter(r["doc_id"] for r in mixed_documents(docs).filter("doc_id is not null").collect())
+    rows = Counter(r["doc_id"] for r in docs.collect())
+    assert got == {i: n * rows[i] for i, n in want.items() if n}
+
+
 def test_shards_round_trip(spark, tables, encode):
     from thermion.llm.common import fresh_path, table
     from thermion.llm.sstable import lookup, write_shards

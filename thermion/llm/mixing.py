@@ -5,14 +5,15 @@ for what is left of its target those documents whose hash lies below a threshold
 found by nested histograms: sizes are summed by source and the hash's top 12 bits, the bucket in
 which the running sum passes the budget is refined by the next 12 bits, and so on, until the bucket
 is one hash value; only rows of the boundary bucket take part in a refinement. The final selection
-is a filter on (source, hash).
+is a filter on source and hash, a projection over the documents.
 
 Skew: sums are pre-aggregated before the shuffle, at most 4096 histogram rows a source and level
 meet in one task, and the table of sources (a row each) is the only thing joined to the documents.
 Spark broadcasts it while it is small and splits skewed partitions otherwise.
 
 Defined results: null text has size 0; a null source is a source of its own, last in order; rows
-with the same id (or a null id) share a hash and are taken together; an empty table gives an empty
+with the same id (or a null id) share a hash and are taken together; documents without words are taken
+in whole repeats of their source only, never more than max_repeat times; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, word_count, written
+from .common import WORD, table, word_count, written
 
 LEVELS, BITS = 4, 12
 
@@ -76,22 +77,34 @@ def _thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return last.select(F.col("of").alias("source"), F.col("prefix").alias("limit"), nearer.alias("at_limit"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3) -> DataFrame:
-    """(doc_id, source, size, hash, source_size, target, times, taken) for every row of docs (doc_id, text, source)."""
+def _decided(docs: DataFrame, weights: tuple[int, ...], max_repeat: int) -> tuple[DataFrame, DataFrame]:
+    """(sizes, of_source): doc_id, source, size and hash of every row; and what each source takes, a row a source."""
     sizes = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), id_hash(F.col("doc_id")).alias("hash")), "sizes")
     targets = source_targets(sizes, weights, max_repeat)
     limits = _thresholds(sizes, targets)
-    of_source = written(targets.alias("t").join(limits.alias("l"), F.col("t.source").eqNullSafe(F.col("l.source")), "left").select(F.col("t.source").alias("of"), "source_size", "target", "repeats", "limit", "at_limit"), "targets")
-    extra = F.coalesce((F.col("hash") < F.col("limit")) | (F.col("at_limit") & (F.col("hash") == F.col("limit"))), F.lit(False))
-    times = F.col("repeats") + extra.cast("long")
+    joined = targets.alias("t").join(limits.alias("l"), F.col("t.source").eqNullSafe(F.col("l.source")), "left")
+    return sizes, written(joined.select(F.col("t.source").alias("of"), "source_size", "target", "repeats", "limit", "at_limit"), "targets")
+
+
+def _times(size: Column, hash_: Column) -> Column:
+    """How often a document is taken; one without words is in no threshold's count, so only whole repeats take it."""
+    extra = F.coalesce((hash_ < F.col("limit")) | (F.col("at_limit") & (hash_ == F.col("limit"))), F.lit(False))
+    return F.col("repeats") + (extra & (size > 0)).cast("long")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3) -> DataFrame:
+    """(doc_id, source, size, hash, source_size, target, times, taken) for every row of docs (doc_id, text, source)."""
+    sizes, of_source = _decided(docs, weights, max_repeat)
+    times = _times(F.col("size"), F.col("hash"))
     return sizes.join(of_source, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "source", "size", "hash", "source_size", "target", times.alias("times"), (F.col("size") * times).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """docs as the mix takes them: each row as often as its times says, rows with none dropped; docs' columns."""
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), id_hash(F.col("doc_id")).alias("of_hash"), F.col("source").alias("of_source"))
-    times = mix(docs, **how).filter("times > 0").groupBy("source", "hash").agg(F.first("times").alias("times"))
-    joined = keyed.join(times, (F.col("of_hash") == F.col("hash")) & F.col("of_source").eqNullSafe(F.col("source")))
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3) -> DataFrame:
+    """docs as the mix takes them: each row as often as its times says, rows with none dropped; docs' columns. Texts meet a row a source, and are filtered where they are."""
+    _, of_source = _decided(docs, weights, max_repeat)
+    has_words = F.coalesce(F.col("row.text").rlike(WORD), F.lit(False)).cast("int")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), id_hash(F.col("doc_id")).alias("hash"), F.col("source").alias("of_source"))
+    joined = keyed.join(of_source, F.col("of_source").eqNullSafe(F.col("of"))).withColumn("times", _times(has_words, F.col("hash"))).filter("times > 0")
     return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")).select("row.*")
 
 
