@@ -316,7 +316,7 @@ def test_syncmers_brute_force(spark, tables):
         return dict(sorted(first.items())[:KEPT]) or {(h(*hs) & (1 << 64) - 1) >> 32: 0}
 
     def spelled(a):
-        return "".join(f"{x:08x}{p:06x}" for x, p in sorted(a.items(), key=lambda y: (y[1], y[0])))
+        return "".join(f"{x:08x}{p:08x}" for x, p in sorted(a.items(), key=lambda y: (y[1], y[0])))
 
     def near(a, b):
         if a == b:
@@ -337,6 +337,38 @@ def test_syncmers_brute_force(spark, tables):
     assert got == want
 
 
+@pytest.mark.parametrize("ids", [[7] * 300 + [9] * 40 + [1, 2, 3], [None] * 200 + [5, 6], [4], [3, 3]])
+def test_next_document_of_repeated_ids(spark, ids):
+    from thermion.llm.syncmers import with_next
+
+    rows = [(i, f"text {k % 250}") for k, i in enumerate(ids)]
+    hashes = {r["text"]: r["h"] for r in spark.createDataFrame([(t,) for _, t in rows], "text string").selectExpr("text", "xxhash64(text) h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))
+    want = Counter((*a, b[1]) for a, b in zip(order, [*order[1:], order[0]], strict=True))
+    got = with_next(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(rows_of(got.select("doc_id", "text", "next_text"))) == want
+
+
+def test_url_classifier_on_names_it_has_not_seen(spark):
+    """Five folds of the labelled table; and scores as a plain sum over n-grams gives them."""
+    from thermion.llm.urls import LABELLED, judge, train
+
+    hits = Counter()
+    for fold in range(5):
+        part = lambda keep: spark.createDataFrame([x for i, x in enumerate(LABELLED) if (zlib.crc32(str(i // 2).encode()) % 5 == fold) == keep], "url string, block int")  # noqa: B023, E731
+        for r in judge(part(True), train(spark, part(False)), []).collect():
+            hits[r["block"], r["verdict"]] += 1
+    blocked, allowed = hits[1, "block"], hits[0, "block"]
+    assert blocked / (blocked + hits[1, "allow"]) >= 0.45 and blocked / (blocked + allowed) >= 0.9
+    intercept, w = weights = train(spark)
+    url = "https://Poker-Palace.test/a?b"
+    grams = [(k, f"^{p}$"[i : i + n]) for k, p in enumerate(("poker-palace.test", "/a")) for n in (3, 4) for i in range(max(0, len(p) + 2 - n + 1))]
+    rows = spark.createDataFrame([(k, list(g)) for k, g in grams], "k int, g array<string>").selectExpr("pmod(xxhash64(k, g), 2048) n").collect()
+    margin = intercept + sum(w[r["n"]] for r in rows) / len(rows) ** 0.5
+    got = judge(spark.createDataFrame([(url,), (url,)], "url string"), weights).collect()
+    assert [r["score"] for r in got] == pytest.approx([1 / (1 + np.exp(-margin))] * 2)
+
+
 def test_url_rules_and_parts(spark):
     from thermion.llm.urls import RULES, judge, train
 

@@ -8,9 +8,12 @@ anchors, the KEPT smallest hashes with the place of their first occurrence, in o
 Likeness of two fingerprints: of the KEPT smallest hashes of both together, the share that both have
 at one shift of places (within SHIFT units).
 
+The KEPT hashes are what a fingerprint is, a bottom sketch of the text's anchors whatever its length, and
+not a bound on candidates: likeness is defined on the sketches, so nothing is left to a further way.
+
 The next document is found without a global order in one task: ids are dealt to ranges by
-quantiles, each range also gets the first row of the next one as a guest, and the window runs within
-ranges.
+quantiles (one id that holds many rows, and null ids, to ranges by the text's hash), each range also gets
+the first row of the next one as a guest, and the window runs within ranges.
 
 Defined results: null text is empty; texts without an anchor have their whole sequence of units as
 the only one, so equal texts have equal fingerprints; ties of equal ids are ordered by the hash of
@@ -20,6 +23,9 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,12 +33,14 @@ from pyspark.sql import functions as F
 from .common import let, table, written
 
 UNIT, K, S, KEPT, SHIFT = 4, 5, 2, 48, 64
-_PLACE = 24  # bits of a place in a packed anchor
+_PLACE = 31  # bits of a place in a packed anchor: no text has more units
 _MOST = (1 << _PLACE) - 1
+#: A range of one id, or of null ids, is cut by this many top bits of the text's hash.
+_CUT = 8
 
 
 def anchors(text: Column) -> Column:
-    """The kept anchors of a text, ascending: hash (32 bits) and place (24 bits) in one long."""
+    """The kept anchors of a text, ascending: hash (32 bits) and place (31 bits) in one long."""
 
     def of_units(h: Column) -> Column:
         n = F.size(h)
@@ -40,7 +48,7 @@ def anchors(text: Column) -> Column:
         def of_runs(s: Column) -> Column:
             inner = lambda i: F.least(*[s[i + j] for j in range(1, K - S)])
             places = F.filter(F.sequence(F.lit(0), n - K), lambda i: F.least(s[i], s[i + K - S]) <= inner(i))
-            packed = lambda i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(*[s[i + j] for j in range(K - S + 1)]), 32), _PLACE) + F.least(i, F.lit(_MOST))
+            packed = lambda i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(*[s[i + j] for j in range(K - S + 1)]), 32), _PLACE) + i
             return let(F.sort_array(F.transform(places, packed)), first_of_each)
 
         runs = F.transform(F.sequence(F.lit(0), n - S), lambda i: F.xxhash64(*[h[i + j] for j in range(S)]))
@@ -56,9 +64,9 @@ def anchors(text: Column) -> Column:
 
 
 def spelled(a: Column) -> Column:
-    """A fingerprint as a string: 8 hex digits of the hash and 6 of the place for each anchor, in order of place."""
+    """A fingerprint as a string: 8 hex digits of the hash and 8 of the place for each anchor, in order of place."""
     by_place = F.array_sort(F.transform(a, lambda x: F.shiftleft(x.bitwiseAND(_MOST), 32) + F.shiftright(x, _PLACE)))
-    digits = F.transform(by_place, lambda x: F.concat(F.lpad(F.hex(x.bitwiseAND(0xFFFFFFFF)), 8, "0"), F.lpad(F.hex(F.shiftright(x, 32)), 6, "0")))
+    digits = F.transform(by_place, lambda x: F.concat(F.lpad(F.hex(x.bitwiseAND(0xFFFFFFFF)), 8, "0"), F.lpad(F.hex(F.shiftright(x, 32)), 8, "0")))
     return F.lower(F.array_join(digits, ""))
 
 
@@ -80,14 +88,18 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).otherwise(differ)
 
 
-def _ranges(docs: DataFrame) -> tuple[Column, int]:
-    """(number of the range of doc_id, descending, null ids last; number of ranges)."""
-    spark = docs.sparkSession
-    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _ranges(docs: DataFrame) -> Column:
+    """Number of the range of (doc_id, text_hash): ids descending, null ids last, then hashes ascending. Ids that several quantiles fall on, and null ids, have ranges of their own, cut by hash."""
+    n = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select(F.col("doc_id").cast("double").alias("doc_id"))
-    cuts = sorted(set(ids.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n))))
-    # at or above so many cuts, counted by halving: a search in the literal array of cuts
-    return (_search(F.col("doc_id").cast("double"), cuts), len(cuts) + 1)
+    found = ids.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n))
+    often = {x for x, k in Counter(found).items() if k > 1}
+    cuts = sorted({*found, *(math.nextafter(x, math.inf) for x in often)})
+    bucket = _search(F.col("doc_id").cast("double"), cuts)
+    # buckets count down from the highest cut: an id on cuts[i] alone is in bucket len(cuts) - i - 1
+    alone = [len(cuts) - 1 - i for i, x in enumerate(cuts) if x in often] + [len(cuts) + 1]
+    by_hash = F.shiftright("text_hash", 64 - _CUT) + (1 << (_CUT - 1))
+    return let(bucket, lambda b: (b * (1 << _CUT) + F.when(b.isin(alone), by_hash).otherwise(0)).cast("int"))
 
 
 def _search(x: Column, cuts: list[float]) -> Column:
@@ -105,18 +117,19 @@ def _search(x: Column, cuts: list[float]) -> Column:
 
 def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text, n_chars, anchors, next_text, next_anchors): next by descending doc_id, after the last the first."""
-    bucket, _ = _ranges(docs)
-    ids = docs.select("doc_id", bucket.alias("bucket"))
-    ranked = W.orderBy("bucket")
-    firsts = ids.groupBy("bucket").agg(F.max("doc_id").alias("first_id"))  # a row a range
-    last = F.max("bucket").over(W.partitionBy())
-    guests = written(firsts.withColumn("goes_to", F.coalesce(F.lag("bucket").over(ranked), last)).select("first_id", "goes_to"), "guests")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"))
-    shown = lambda d, bucket, guest: d.select("doc_id", "text", bucket.alias("bucket"), F.lit(guest).alias("guest"))
-    # a guest may be one of equal ids: its hash decides, so all of them go, and the first counts
-    every = shown(rows, bucket, 0).union(shown(rows.join(guests, F.col("doc_id").eqNullSafe(F.col("first_id"))), F.col("goes_to"), 1))
-    marked = every.select("*", F.xxhash64("text").alias("text_hash"), anchors(F.col("text")).alias("anchors"))
+    rows = docs.select("doc_id", text.alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    rows = rows.withColumn("bucket", _ranges(rows))
+    # descending ids without negation: the complement of a long reverses its order
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.bitwise_not(F.col("doc_id").cast("long")).alias("down"), "text_hash")
+    firsts = rows.groupBy("bucket").agg(F.min(place).alias("f"))  # a row a range
+    last = F.max("bucket").over(W.partitionBy())
+    goes_to = F.coalesce(F.lag("bucket").over(W.orderBy("bucket")), last)
+    guests = written(firsts.select(F.bitwise_not(F.col("f.down")).alias("first_id"), F.col("f.text_hash").alias("first_hash"), goes_to.alias("goes_to")), "guests")
+    shown = lambda d, bucket, guest: d.select("doc_id", "text", "text_hash", bucket.alias("bucket"), F.lit(guest).alias("guest"))
+    visits = rows.join(guests, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))).dropDuplicates(["goes_to"])
+    every = shown(rows, F.col("bucket"), 0).union(shown(visits, F.col("goes_to"), 1))
+    marked = every.select("*", anchors(F.col("text")).alias("anchors"))
     w = W.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text_hash")
     led = marked.select("*", F.lead("text").over(w).alias("next_text"), F.lead("anchors").over(w).alias("next_anchors")).filter("guest = 0")
     return led.select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), "anchors", "next_text", "next_anchors")

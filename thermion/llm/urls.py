@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import let, table
 
-DIMENSIONS, GRAMS, LABELS = 2048, (3, 4), 10_000
+DIMENSIONS, GRAMS, LABELS, PENALTY = 2048, (3, 4), 10_000, 0.002
+#: The score from which a url is blocked: a little above a half, as most of the web is ordinary.
+CERTAIN = 0.55
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: (host, path, verdict), as the query fixes them.
@@ -33,24 +35,17 @@ RULES = [
     ("org", "/es/", "block"),
 ]
 
-#: The small labelled table: hosts and paths of unwanted sites, and of ordinary ones.
-LABELLED = [
-    *((url, 1) for url in (
-        "http://casino-royal.test/play", "https://www.online-casino.test/slots/", "https://casino-bonus.test/es/12", "http://m.casino-win.test/fr/4033.html", "https://best-bets.test/odds",
-        "https://free-bets.test/de/99", "http://sports-bets.test/live?id=4", "https://www.bets-now.test/fr/7", "http://cheap-pills.test/buy", "https://www.cheap-pills-store.test/de/662.html",
-        "https://pills-online.test/order", "http://cheap-meds.test/es/1", "https://adult-x.test/video", "http://www.adult-cams.test/fr/812", "https://adult-chat.test/", "http://xxx-video.test/de/3",
-        "https://spam-farm.test/links", "http://link-farm.test/fr/5", "https://spam-mail.test/unsubscribe", "http://content-farm.test/es/18", "https://ads-track.test/click?u=9", "http://ad-track.test/pixel.gif",
-        "https://ads-server.test/banner", "http://track-click.test/fr/88", "https://free-win.test/prize", "http://win-prize.test/claim",
-    )),
-    *((url, 0) for url in (
-        "https://news.test/world/2024/05", "https://www.library.test/catalogue?page=2", "http://blog.gardening.test/fr/42", "https://docs.software.test/guide/install.html", "https://m.weather.test/de/1234",
-        "https://www.university.test/en/research/", "http://museum.test/es/visit", "https://wiki.test/article/river", "https://shop.books.test/de/5511#top", "http://blog.travel.test/fr/7424.html",
-        "https://forum.cycling.test/thread/99", "https://www.history.test/en/1570?page=2&ref=x", "http://recipes.test/es/soup", "https://science.test/fr/6094?page=2&ref=x", "https://m.city.test/de/873",
-        "https://thering.test/fr/4163", "http://thother.test/es/6137", "https://antion.test/de/1373#top", "http://stonble.test/fr/4200/", "https://heren.test/es/482/", "https://www.ionth.test/de/7442.html",
-        "https://blog.reand.test/es/7617/", "http://tiontion.test/fr/7817?utm_source=feed", "https://m.ouhe.test/es/9", "http://www.ingst.test/de/1837/", "https://ernd.test/fr/", "https://thatea.test/es/3",
-        "http://www.orwh.test/fr/210", "", "https://lyhash.test/de/7", "https://edst.test/", "https://blor.test/es/5462#top",
-    )),
-]
+#: The small labelled table, of our own making: what unwanted and ordinary sites are about, and how both are named.
+UNWANTED = "casino poker roulette slots jackpot betting bets lotto pills meds viagra steroids adult xxx porn escort cams spam seo backlinks ads popups clicks tracker prize giveaway loans warez torrents phishing".split()  # noqa: SIM905
+ORDINARY = "library museum archive university school physics news courier weather river council garden chess cycling sailing choir bakery cooking software database mathematics history train airport harbour hiking birds theatre ceramics painting".split()  # noqa: SIM905
+NAMES = ["{}-palace", "my{}", "{}24", "best-{}-online", "{}hub"]
+PLACES = "thornley ashwick erlington ostermoor hanwell inglethorpe edensor antrimly realton notherby arendal lythwood elmbach ruhental neudorf montclair beaulieu villanueva riobamba campoalto".split()  # noqa: SIM905
+PATHS = ["/", "/index.html", "/about", "/archive/2019?id=3", "/en/list/12", "/de/seite-4#oben", "/fr/page/77/", "/es/pagina/31.html", "/contact?from=menu", ""]
+TOPS = ["test", "example", "invalid"]
+#: Every name stands in three urls, so that neither class has paths, prefixes or tops of its own.
+_SITES = [*((n.format(t), 1) for n in NAMES for t in UNWANTED), *((n.format(t), 0) for n in NAMES for t in ORDINARY), *((p, 0) for p in PLACES)]
+#: Every name stands in two urls, so that neither class has paths, prefixes or tops of its own.
+LABELLED = [(f"https://{('', 'www.', 'm.', 'blog.')[(i + k) % 4]}{name}.{TOPS[(i + k) % 3]}{PATHS[(3 * i + 7 * k) % 10]}", block) for i, (name, block) in enumerate(_SITES) for k in range(2)] + [("", 0)]
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -85,7 +80,7 @@ def train(spark: SparkSession, labelled: DataFrame | None = None, dimensions: in
     hashed = found.select(F.col("block").cast("double").alias("label"), features(*parts(F.col("url")), dimensions).alias("f"))
     counted = F.transform(F.sequence(F.lit(1), F.lit(dimensions)), lambda d: F.size(F.filter("f", lambda x: x == d)) / F.sqrt(F.greatest(F.size("f"), F.lit(1))))
     rows = hashed.withColumn("features", array_to_vector(counted)).select("label", "features").coalesce(1)
-    model = LogisticRegression(maxIter=200, regParam=0.002, standardization=False).fit(rows)
+    model = LogisticRegression(maxIter=200, regParam=PENALTY, standardization=False).fit(rows)
     return float(model.intercept), [round(float(w), 6) for w in model.coefficients]
 
 
@@ -102,7 +97,7 @@ def judge(pages: DataFrame, weights: tuple[float, list[float]], rules: list[tupl
         rule = F.when(fits, h + p) if rule is None else rule.when(fits, h + p)
         verdict = F.when(fits, v) if verdict is None else verdict.when(fits, v)
     rule = F.lit(None).cast("string") if rule is None else rule
-    classed = F.when(F.col("score") >= 0.5, "block").otherwise("allow")
+    classed = F.when(F.col("score") >= CERTAIN, "block").otherwise("allow")
     return rows.withColumn("score", 1 / (1 + F.exp(-margin))).withColumn("rule", rule).withColumn("verdict", classed if verdict is None else verdict.otherwise(classed)).drop("_f")
 
 
