@@ -99,10 +99,36 @@ def test_detectors(spark):
     circling = detectors.circling(tracks, ["track"]).collect()
     assert sum(r["circle"] == 0 for r in circling) == 1 and sum(r["circle"] > 0 for r in circling) >= 8
     ends = detectors.takeoff_and_landing(tracks, ["track"]).first()
-    assert ends["takeoff"] == 0 and ends["landing"] == 439
-    point = spark.createDataFrame([("start", -36.2 + 600 / 110_900, 147.9, 300.0)], "point string, plat double, plon double, radius double")
-    passed = detectors.crossings(tracks, point, ["track"]).orderBy("fix_index").collect()
-    assert [r["direction"] for r in passed] == ["enter", "exit"] and passed[0]["t"] == pytest.approx(30, abs=2)
+    assert ends["takeoff"] == 1 and ends["landing"] == 438
+    segment = next(r for r in circling if r["circle"] == 0)
+    # the turn of 18 degrees a second ends at 320 s, straight flight for 15 s more ends the segment
+    assert segment["first"] == pytest.approx(122, abs=3) and segment["last"] == pytest.approx(340, abs=3) and segment["turn_rate"] == pytest.approx(18, abs=2)
+    assert all(r["seconds"] == pytest.approx(20, abs=1.5) and abs(r["turn_rate"]) == pytest.approx(18, abs=1) for r in circling if r["circle"] > 0 and r["first"] > 125 and r["last"] < 318)
+
+
+def test_takeoff_and_landing(spark):
+    """On the ground with a jump of the receiver, off by running, low circles at the end that are no landing, and down."""
+    north, rows, lat, alt = 1 / 110_900, [], -36.2, 500.0
+    for t in range(400):
+        if 100 <= t < 300:
+            lat += 8 * north
+            alt += 0.5
+        rows.append((1, t, float(t), lat + (40 * north if t == 50 else 0) + (math.sin(t) * 4 * north if 300 <= t < 340 else 0), 147.9, alt if t != 20 else alt + 8))
+    rows += [(2, t, float(t), -36.2, 147.9, 500.0) for t in range(100)]
+    got = {r["track"]: r for r in detectors.takeoff_and_landing(spark.createDataFrame(rows, "track int, fix_index long, t double, lat double, lon double, alt double"), ["track"]).collect()}
+    assert got[1]["takeoff"] == 100 and got[1]["landing"] == pytest.approx(340 + 29, abs=3)
+    assert got[2]["takeoff"] is None and got[2]["landing"] is None
+
+
+def test_climbs_keep_their_distance(spark):
+    """Bouts of rising: the second begins within 20 s of the first, so it is entered late; the third is too short."""
+    alt, rows = 0.0, []
+    for t in range(400):
+        alt += 2 if 20 <= t < 80 or 95 <= t < 200 or 300 <= t < 306 else -1
+        rows.append((1, t, float(t), 0.0, 0.0, alt))
+    found = detectors.climbs(spark.createDataFrame(rows, "track int, fix_index long, t double, lat double, lon double, alt double"), ["track"]).orderBy("climb").collect()
+    assert len(found) == 2
+    assert found[1]["first"] - found[0]["last"] >= 20 and found[1]["last"] == pytest.approx(204, abs=2) and found[0]["first"] == pytest.approx(15, abs=2)
 
 
 def test_streams(spark, tmp_path):
