@@ -37,7 +37,10 @@ def east_north(lat: Column, lon: Column, lat0: Column, lon0: Column) -> tuple[Co
 
 
 def inverse(lat1, lon1, lat2, lon2, rounds: int = 100, close: float = 1e-12) -> tuple[np.ndarray, np.ndarray]:
-    """(metres, initial azimuth in degrees 0 to 360) by the ellipsoid's inverse formula; NaN for null ends."""
+    """(metres, initial azimuth in degrees 0 to 360) by the ellipsoid's inverse formula; NaN for null ends.
+
+    Near the antipode the iteration does not settle; such rows get the closed first-order formula.
+    """
     lat1, lon1, lat2, lon2 = (np.asarray(x, float) for x in (lat1, lon1, lat2, lon2))
     u1, u2 = (np.arctan((1 - FLATTENING) * np.tan(np.radians(x))) for x in (lat1, lat2))
     dl = np.radians(lon2 - lon1)
@@ -66,9 +69,26 @@ def inverse(lat1, lon1, lat2, lon2, rounds: int = 100, close: float = 1e-12) ->
         metres = np.where(ss == 0, 0.0, B * big * (sigma - d))
         azimuth = np.degrees(np.arctan2(c2 * sl, c1 * s2 - s1 * c2 * cl)) % 360
     gone = ~np.isfinite(dl + u1 + u2)
+    unsettled = (moving | (np.abs(lam) > np.pi)) & ~gone
+    if unsettled.any():
+        metres = np.where(unsettled, first_order(lat1, lon1, lat2, lon2), metres)
     return np.where(gone, np.nan, metres), np.where(gone, np.nan, azimuth)
 
 
+def first_order(lat1, lon1, lat2, lon2) -> np.ndarray:
+    """Metres on the ellipsoid to first order in its flattening: the great circle's length and Lambert's two corrections."""
+    p, q = (np.radians(lat1) + np.radians(lat2)) / 2, (np.radians(lat1) - np.radians(lat2)) / 2
+    half = np.radians(np.asarray(lon2, float) - lon1) / 2
+    sp, cp, sq, cq = np.sin(p) ** 2, np.cos(p) ** 2, np.sin(q) ** 2, np.cos(q) ** 2
+    sh, ch = np.sin(half) ** 2, np.cos(half) ** 2
+    s, c = sq * ch + cp * sh, cq * ch + sp * sh
+    with np.errstate(all="ignore"):
+        angle = np.arctan2(np.sqrt(s), np.sqrt(c))
+        ratio = np.sqrt(s * c) / angle
+        metres = 2 * angle * A * (1 + FLATTENING * ((3 * ratio - 1) / (2 * c) * sp * cq - (3 * ratio + 1) / (2 * s) * cp * sq))
+    return np.where((s == 0) | (c == 0), 0.0, metres)
+
+
 def direct(lat, lon, azimuth, metres, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """(lat, lon) reached from a point by azimuth (degrees) and distance."""
     lat, lon, azimuth, metres = (np.asarray(x, float) for x in (lat, lon, azimuth, metres))

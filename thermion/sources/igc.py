@@ -67,7 +67,11 @@ def fixes(source: DataFrame) -> DataFrame:
     dated = turned.join(headers(source).select("track_file", "date").filter("date is not null"), "track_file")
     ms = (F.datediff("date", F.lit("1970-01-01").cast("date")).cast("long") + F.col("day")) * 86_400_000 + F.col("second").cast("long") * 1000
     timed = dated.withColumn("time_ms", ms)
-    forward = timed.withColumn("latest", F.max("time_ms").over(w.rowsBetween(W.unboundedPreceding, -1))).filter("latest is null or time_ms >= latest")
+    # a fix later than the next one, which itself is not before the last, is a spike of the clock: it goes, not the rest of the flight
+    before, after = F.lag("time_ms").over(w), F.lead("time_ms").over(w)
+    spike = F.coalesce((after < F.col("time_ms")) & (before.isNull() | (after >= before)), F.lit(False))
+    steady = timed.withColumn("spike", spike).filter("not spike")
+    forward = steady.withColumn("latest", F.max("time_ms").over(w.rowsBetween(W.unboundedPreceding, -1))).filter("latest is null or time_ms >= latest")
     number = (F.row_number().over(w) - 1).cast("long")
     return forward.select("track_file", number.alias("fix_index"), "time_ms", "lat", "lon", "pressure_alt", "gnss_alt", "valid")
 
