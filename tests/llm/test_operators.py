@@ -274,15 +274,61 @@ def test_automaton_against_edit_distance():
         assert (machine.match(w) is not None) == want, w
 
 
-def test_context_tells_quotation_from_abuse():
-    from thermion.llm.toxicity import FEATURES, Lexicon, Scorer
-
-    scorer = Scorer(Lexicon({"idiot": 3.0, "worthless": 3.0}))
-    value = lambda text, f: scorer.features(text)[FEATURES.index(f)]
-    assert value("what an Id1ot you are", "abuse") > 0 and value("what an Id1ot you are", "near") > 0
-    assert value('she read "what an idiot" aloud in the "hall"', "abuse") == 0
-    assert value("the word idiot is reported here", "quoted") > 0
-    assert value(None, "abuse") == value("", "abuse") == 0
+def test_context_tells_quotation_from_abuse(spark):
+    """The same term in threats and in reports, in a language of no word list: contexts are learned from the labels."""
+    import random
+
+    from thermion.llm.toxicity import learn, score
+
+    rng, rows, labels = random.Random(2), [], []
+    word = lambda: "".join(rng.choice("abdeiklmnorstu") for _ in range(rng.randint(3, 8)))
+    for i in range(900):
+        around, toxic = [word() for _ in range(20)], int(i % 3 == 0)
+        if toxic:
+            around[10:10] = ["kuvat", "grumpok", "sielmu"]
+        elif i % 12 == 1:
+            around[10:10] = ["ranito", "grumpok", "velket"]
+        elif i % 3 == 2:
+            around[rng.randrange(20) : 0] = ["kuvat", "sielmu", "ranito", "velket"]
+        rows.append((i, " ".join(around)))
+        labels.append((i, toxic))
+    docs, labelled = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = learn(docs, labelled)
+    assert "grumpok" in model.lexicon.terms and model.lexicon.context["velket"] < 0 < model.lexicon.context["kuvat"]
+    truth = dict(labels)
+    for r in score(docs, model).collect():
+        if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2:
+            assert (r["score"] >= 0.3) == truth[r["doc_id"]], r
+
+
+def test_features_brute_force():
+    """Hits by edit distance to every term, contexts word by word."""
+    from thermion.llm.toxicity import FEATURES, WINDOW, Lexicon, Scorer, edits, normal
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    lexicon = Lexicon({"idiot": 3.0, "worthless": 2.0}, {}, frozenset(), {"you": 1.5, "reported": -2.5})
+    scorer = Scorer(lexicon)
+    texts = ["what an Id1ot you are", 'she read "what an idiot" aloud in the "hall"', "the word idiot is reported here", "wrthles and worthlss idiots, you idiot!", "nothing at all", "", None, "idiot " * 30 + "you", "you idiot reported", "x" * 500 + " idiot", "idiot"]
+    for text in [*texts, *texts]:  # repeated rows and what is kept between them
+        words = (text or "").split()
+        hits = []
+        for i, w in enumerate(words):
+            found = [(v / (1 + d), d, t) for t, v in lexicon.terms.items() if normal(w)[:1] == t[0] and (d := distance(t[1:], normal(w)[1:])) <= edits(t)]
+            if found:
+                around = {normal(x) for j, x in enumerate(words) if j != i and abs(j - i) <= WINDOW}
+                hits.append((i, max(found), max(-4.0, min(4.0, sum(lexicon.context.get(x, 0) for x in around)))))
+        quoted = text is not None and '"' in text
+        plain = [] if quoted else hits
+        want = [np.log1p(sum(h[0] for _, h, _ in plain)), max((h[0] for _, h, _ in plain), default=0), np.log1p(len({h[2] for _, h, _ in plain})), np.log1p(sum(h[1] > 0 for _, h, _ in plain)), np.log1p(sum(h[0] for _, h, _ in hits) if quoted else 0), max((c for *_, c in hits), key=abs, default=0)]
+        assert scorer.features(text) == pytest.approx(want), (text, FEATURES)
 
 
 def test_toxicity_learns(spark, tables):

@@ -4,14 +4,19 @@ Learning (on a bounded sample of labelled rows, TRAIN of them at most):
 1. Count in how many toxic and other documents each word, and each beginning of a word ("stem"),
    occurs; keep those whose likelihood ratio says that they go with the label.
 2. Words of the sample that are near to a term but occur in other documents too are exceptions.
-3. Fit a logistic regression to a handful of context features of the sample.
+3. Of the words around hits, keep those that tell abusive documents from others that hold the same terms
+   (reports, quotations), in whatever language: their log odds are the context's score.
+4. Fit a logistic regression to a handful of features of the sample.
+
+All that comes to the driver is of that sample, so TRAIN bounds it; the lexicon itself has no other bound.
 
 Scoring: the Levenshtein automata of all terms are intersected with the lexicon's trie at once: a
 state is the set of (trie node, edits so far) that a word's letters can have led to, built as words
 need it and kept. A word in no such state is dead after a few letters. Terms of up to 4 letters must
 match exactly, longer ones within one edit, those of 9 and more within two; the first letter always
 counts, and stems match exactly, with any ending. Only documents with a hit are looked at word by
-word: hits in quotation marks, or near a word of reporting, count as quotation, others as abuse.
+word: hits in quotation marks count as quotation, others as abuse, and the
+words around each say which of the two it is like.
 
 Defined results: null and empty texts have no hits and get the score of such texts; without labelled
 rows of both kinds every score is the share of toxic rows known (0 if none); repeated rows and null
@@ -33,24 +38,23 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 TRAIN, FOLDS, HELD_OUT, THRESHOLD = 20_000, 4, 2, 0.3
-#: Likelihood ratio (G squared) and log odds that a term needs, stems' lengths, terms kept at most.
-EVIDENCE, ODDS, STEMS, TERMS = 18.0, 2.0, range(4, 9), 2000
-WINDOW = 8
+#: Likelihood ratio (G squared) and log odds that a term needs, and stems' lengths.
+EVIDENCE, ODDS, STEMS = 18.0, 2.0, range(4, 9)
+#: Words around a hit that are its context; documents and likelihood ratio that a word needs to tell something, and the most that one context says.
+WINDOW, CONTEXT_DOCS, CONTEXT_EVIDENCE, CONTEXT_MOST = 8, 5, 8.0, 4.0
 #: Distinct words and automaton states that a Python worker keeps: bounds its memory, not the result.
-KEEP_WORDS, KEEP_STATES = 300_000, 50_000
+KEEP_WORDS, KEEP_STATES, KEEP_LETTERS = 300_000, 50_000, 64
 STRIP = ".,!?\"'`;:()[]{}<>#$%&*|/\\-_~^+=«»“”„‘’…¿¡"
 QUOTES = "\"“”«»„"
-REPORTING = frozenset("said says say wrote writes called calls quoted quote quoting quotes claimed claims reported reports word words term".split())
-ADDRESS = frozenset("you your you're youre u ur".split())
-
 
 @dataclass
 class Lexicon:
-    """terms: word -> weight; stems: beginning of words -> weight."""
+    """terms: word -> weight; stems: beginning of words -> weight; context: word near hits -> log odds that it goes with abuse."""
 
     terms: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
     exceptions: frozenset[str] = frozenset()
+    context: dict[str, float] = field(default_factory=dict)
 
 
 def edits(term: str) -> int:
@@ -154,7 +158,7 @@ def normal(token: str) -> str:
     return token.lower().strip(STRIP)
 
 
-FEATURES = ("abuse", "most", "terms", "near", "quoted", "address")
+FEATURES = ("abuse", "most", "terms", "near", "quoted", "context")
 
 
 class Scorer:
@@ -165,38 +169,47 @@ class Scorer:
         self.clean: set[str] = set()
         self.hits: dict[str, tuple[float, int, str]] = {}
 
-    def _learn(self, tokens: set[str]) -> None:
-        if len(self.clean) > KEEP_WORDS:
-            self.clean = set()
-        for token in tokens:
-            if found := self.automaton.match(normal(token)):
-                self.hits[token] = found
-            else:
-                self.clean.add(token)
+    def _found(self, tokens: set[str]) -> dict[str, tuple[float, int, str]]:
+        """Those of the tokens that are hits."""
+        if len(self.clean) + len(self.hits) > KEEP_WORDS:
+            self.clean, self.hits = set(), {}
+        found = {t: self.hits[t] for t in tokens & self.hits.keys()}
+        for token in tokens - self.clean - found.keys():
+            hit = self.automaton.match(normal(token))
+            if hit:
+                found[token] = hit
+            if len(token) <= KEEP_LETTERS:
+                if hit:
+                    self.hits[token] = hit
+                else:
+                    self.clean.add(token)
+        return found
+
+    def places(self, text: str | None) -> tuple[list[str], list[tuple[int, tuple[float, int, str], set[str]]]]:
+        """(words, hits) of a text: each hit with its place and the other words around it."""
+        words = (text or "").split()
+        found = self._found(set(words))
+        at = [i for i, w in enumerate(words) if w in found] if found else []
+        return words, [(i, found[words[i]], {normal(w) for w in words[max(0, i - WINDOW) : i] + words[i + 1 : i + WINDOW + 1]}) for i in at]
 
     def features(self, text: str | None) -> tuple[float, ...]:
-        words = (text or "").split()
-        distinct = set(words)
-        self._learn({w for w in distinct - self.clean if w not in self.hits})
-        bad = distinct & self.hits.keys()
-        if not bad:
+        words, hits = self.places(text)
+        if not hits:
             return (0.0,) * len(FEATURES)
-        places = [i for i, w in enumerate(words) if w in bad]
-        quoted_at = self._quoted(words, places)
-        abuse = most = quoted = address = near = 0.0
-        terms = set()
-        for i in places:
-            weight, e, term = self.hits[words[i]]
-            around = {normal(w) for w in words[max(0, i - WINDOW) : i + WINDOW + 1]}
-            if i in quoted_at or around & REPORTING:
+        quoted_at = self._quoted(words, [i for i, _, _ in hits])
+        abuse = most = quoted = near = 0.0
+        terms, said = set(), []
+        for i, (weight, e, term), around in hits:
+            told = sum(self.automaton.lexicon.context.get(w, 0.0) for w in around)
+            said.append(max(-CONTEXT_MOST, min(CONTEXT_MOST, told)))
+            if i in quoted_at:
                 quoted += weight
                 continue
             abuse += weight
             most = max(most, weight)
             terms.add(term)
             near += e > 0
-            address += bool(around & ADDRESS)
-        return (math.log1p(abuse), most, math.log1p(len(terms)), math.log1p(near), math.log1p(quoted), math.log1p(address))
+        return (math.log1p(abuse), most, math.log1p(len(terms)), math.log1p(near), math.log1p(quoted), max(said, key=abs))
 
     @staticmethod
     def _quoted(words: list[str], places: list[int]) -> set[int]:
@@ -278,7 +291,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN) -> Model:
     counted = written(train.mapInArrow(count, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "terms")
     odds = F.log((F.col("a") + 0.5) / (toxic + 1)) - F.log((F.col("b") + 0.5) / (other + 1))
     scored = counted.filter("a > 2").withColumn("odds", odds).withColumn("g", _evidence(F.col("a").cast("double"), F.col("b").cast("double"), toxic, other))
-    found = scored.filter((F.col("g") >= EVIDENCE) & (F.col("odds") >= ODDS)).orderBy(F.col("g").desc(), "term").limit(TERMS).collect()
+    found = scored.filter((F.col("g") >= EVIDENCE) & (F.col("odds") >= ODDS)).orderBy(F.col("g").desc(), "term").collect()
     lexicon = _pruned([(r["term"], r["a"], r["b"], r["odds"]) for r in found])
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,10 +301,33 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN) -> Model:
 
     common = counted.filter("b > 0 and not endswith(term, '*')").select("term").mapInArrow(known, "term string")
     lexicon.exceptions = frozenset(r["term"] for r in common.collect())
+    lexicon.context = _context(train, lexicon)
     rows = np.array([(*r["f"], r["toxic"]) for r in _featured(train.select("text", "toxic"), lexicon).collect()])
     return Model(lexicon, _fit(rows[:, :-1], rows[:, -1]), toxic / (toxic + other))
 
 
+def _context(train: DataFrame, lexicon: Lexicon) -> dict[str, float]:
+    """Log odds, by documents with hits, of the words around them that tell abusive documents from others."""
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(lexicon)
+        for batch in batches:
+            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                _, hits = scorer.places(text.as_py())
+                if hits:
+                    own = [*{w for _, _, near in hits for w in near if 0 < len(w) < 40}, ""]
+                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([int(toxic == 1)] * len(own), pa.int64())], names=["word", "toxic"])
+
+    counted = train.select("text", "toxic").mapInArrow(around, "word string, toxic long").groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    stored = written(counted, "context")
+    every = stored.filter("word = ''").first()  # one empty word a document
+    if every is None or not every["a"] or not every["b"]:
+        return {}
+    odds = F.log((F.col("a") + 0.5) / (every["a"] + 1)) - F.log((F.col("b") + 0.5) / (every["b"] + 1))
+    told = stored.filter((F.col("word") != "") & (F.col("a") + F.col("b") >= CONTEXT_DOCS)).withColumn("odds", odds).withColumn("g", _evidence(F.col("a").cast("double"), F.col("b").cast("double"), every["a"], every["b"]))
+    return {r["word"]: round(r["odds"], 6) for r in told.filter(F.col("g") >= CONTEXT_EVIDENCE).collect()}
+
+
 def _pruned(found: list[tuple[str, int, int, float]]) -> Lexicon:
     """Stems before words; longer stems, and words, that a kept stem begins are left out; a stem that is one word's is that word."""
     out = Lexicon()
