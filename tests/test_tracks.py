@@ -40,7 +40,7 @@ def test_igc_reader(spark, tmp_path):
     assert {r["malformed"] for r in igc.report(source).collect()} == {0, 1}
     assert igc.declared(source).first()["points"][0]["name"] == "HILL"
     again = igc.written_fixes(igc.fixes(source)).orderBy("fix_index").collect()
-    assert again[0]["line"] == lines[4] and again[2]["line"] == lines[7]
+    assert again[0]["line"] == lines[4] and again[2]["line"] == lines[8]
 
 
 @pytest.mark.parametrize("kind", list(waypoints.READERS))
