@@ -405,7 +405,7 @@ def test_url_classifier_on_names_it_has_not_seen(spark):
         for r in judge(part(True), train(spark, part(False)), []).collect():
             hits[r["block"], r["verdict"]] += 1
     blocked, allowed = hits[1, "block"], hits[0, "block"]
-    assert blocked / (blocked + hits[1, "allow"]) >= 0.45 and blocked / (blocked + allowed) >= 0.9
+    assert blocked / (blocked + hits[1, "allow"]) >= 0.85 and blocked / (blocked + allowed) >= 0.9
     intercept, w = weights = train(spark)
     url = "https://Poker-Palace.test/a?b"
     grams = [(k, f"^{p}$"[i : i + n]) for k, p in enumerate(("poker-palace.test", "/a")) for n in (3, 4) for i in range(max(0, len(p) + 2 - n + 1))]
@@ -418,7 +418,7 @@ def test_url_classifier_on_names_it_has_not_seen(spark):
 def test_url_rules_and_parts(spark):
     from thermion.llm.urls import RULES, judge, train
 
-    urls = ["http://A.Example.com/en/7?x", "https://com/en/", "x://www.example.com/en/8", "://NET/de/1", "http://example.net/de/8", "http://a.org/es/", "http://aorg/es/", "nothing", None, "", "http://x.net?/de/", "http://x.net/DE/", "a://b://c/d", "http://É.COM/en/", "http://casino-x.test/", "http://" + "a" * 20_000 + ".com/en/"]
+    urls = ["http://A.Example.com/en/7?x", "https://com/en/", "x://www.example.com/en/8", "://NET/de/1", "http://example.net/de/8", "http://a.org/es/", "http://aorg/es/", "nothing", None, "", "http://x.net?/de/", "http://x.net/DE/", "a://b://c/d", "http://É.COM/en/", "http://casino-palace.test/", "http://" + "a" * 20_000 + ".com/en/"]
     df = spark.createDataFrame([(u, "own", "own") for u in urls], "url string, score string, kind string")
     for r in judge(df, train(spark)).collect():
         host = path = ""

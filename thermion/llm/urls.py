@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import let, table
 
-DIMENSIONS, GRAMS, LABELS, PENALTY = 2048, (3, 4), 10_000, 0.002
-#: The score from which a url is blocked: a little above a half, as most of the web is ordinary.
-CERTAIN = 0.55
+DIMENSIONS, GRAMS, LABELS, PENALTY = 2048, (3, 4), 10_000, 0.0002
+#: The score from which a url is blocked.
+CERTAIN = 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: (host, path, verdict), as the query fixes them.
