@@ -20,7 +20,7 @@ beside a run, since a chunk shared to its ends would be in the run; a run that h
 words with these is never compared. A passage counts if more than WORDS words of it are the same.
 
 A passage is missed if it holds no whole chunk (the test plants passages of 51 words of two to four
-letters and finds 97 of 100; of passages of 51 words from the tables none of 4,000 missed), or if each of its
+letters and asks for 190 of 200; of passages of 51 words from the tables none of 4,000 missed), or if each of its
 chunks occurs elsewhere too, in texts that hold no more than WORDS words of the passage in a row.
 
 Defined results: null and empty texts have no chunks; null and repeated ids are told apart by their
