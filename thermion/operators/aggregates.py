@@ -81,3 +81,16 @@ def distance_difficulty(flights: DataFrame, keys: list[str], minimum: float = 5_
     total = F.sum("relative").over(of.orderBy("slot").rowsBetween(W.unboundedPreceding, 0))
     seed = F.sum(F.when(F.col("slot") <= least, F.col("relative"))).over(of)
     return relative.select(*keys, "slot", "difficulty", "relative", F.when(F.col("slot") <= least, seed).otherwise(total).alias("score"))
+
+
+def combined_wind(df: DataFrame, keys: list[str], direction: str, speed: str) -> DataFrame:
+    """(keys, direction, speed, n): the direction of the vector mean, the median of the speeds (a vector mean's length shrinks with scatter)."""
+    towards, _ = circular_mean(F.col(direction), F.col(speed))
+    return df.groupBy(*keys).agg(towards.alias("direction"), F.percentile(speed, F.lit(0.5)).alias("speed"), F.count("*").alias("n"))
+
+
+def leg_occupancy(passes: DataFrame, keys: list[str], pilot: str, order: str, time: str) -> DataFrame:
+    """(keys, leg, from, to, pilots): when each leg was flown at all, and by how many. passes: keys, pilot, order of the turnpoint, time."""
+    w = W.partitionBy(*keys, pilot).orderBy(order)
+    legs = passes.select(*keys, F.col(order).alias("leg"), F.col(time).alias("_a"), F.lead(time).over(w).alias("_b")).filter("_b IS NOT NULL")
+    return legs.groupBy(*keys, "leg").agg(F.min("_a").alias("from"), F.max("_b").alias("to"), F.count("*").alias("pilots"))

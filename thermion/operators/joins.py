@@ -70,3 +70,64 @@ def nearby_pairs(df: DataFrame, keys: list[str], east: str, north: str, who: str
     b = b.withColumn("_dx", around).withColumn("_dy", around).withColumn("_x", F.col("_x") + F.col("_dx")).withColumn("_y", F.col("_y") + F.col("_dy"))
     met = a.join(b, [*keys, "_x", "_y"]).filter((F.col("a") < F.col("b")) & (F.hypot(F.col("ea") - F.col("eb"), F.col("na") - F.col("nb")) <= reach))
     return met.select(*keys, "a", "b")
+
+
+def nearest_within(left: DataFrame, right: DataFrame, left_id: str, right_id: str, east: str, north: str, reach: float) -> DataFrame:
+    """(left_id, right_id, metres) of the nearest row of right within `reach`; ties go to the smaller id. Rows without one are left out.
+
+    Both have east and north in metres. Right's rows are filed under the nine cells of size `reach` around them.
+    """
+    cell = lambda c: F.floor(F.col(c) / reach).cast("long")
+    around = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
+    a = left.select(left_id, F.col(east).alias("_e"), F.col(north).alias("_n"), cell(east).alias("_x"), cell(north).alias("_y"))
+    b = right.select(F.col(right_id).alias("_id"), F.col(east).alias("_re"), F.col(north).alias("_rn"), cell(east).alias("_x"), cell(north).alias("_y"))
+    b = b.withColumn("_dx", around).withColumn("_dy", around).withColumn("_x", F.col("_x") + F.col("_dx")).withColumn("_y", F.col("_y") + F.col("_dy"))
+    met = a.join(b, ["_x", "_y"]).withColumn("_m", F.hypot(F.col("_e") - F.col("_re"), F.col("_n") - F.col("_rn"))).filter(F.col("_m") <= reach)
+    best = met.groupBy(left_id).agg(F.min(F.struct("_m", "_id")).alias("_b"))
+    return best.select(left_id, F.col("_b._id").alias(right_id), F.col("_b._m").alias("metres"))
+
+
+def nearest_step(left: DataFrame, grid: DataFrame, keys: list[str], time: str, origin: int, step: int) -> DataFrame:
+    """left with the grid row of its key at the step nearest its time (halves go up), else nulls. grid: keys, step, values."""
+    at = F.floor((F.col(time) - origin) / step + 0.5).cast("long")
+    return left.withColumn("step", at).join(grid, [*keys, "step"], "left")
+
+
+def nearest_snapshot(asked: DataFrame, shots: DataFrame, keys: list[str], time: str, tolerance: int) -> DataFrame:
+    """(keys, time, at, the rest of shots): for each asked (keys, time), the shot nearest in time within `tolerance`, the earlier of two.
+
+    Shots are filed under their bucket of `tolerance` and its neighbours, so that it is an equi-join.
+    """
+    rest = [c for c in shots.columns if c not in (*keys, time)]
+    bucket = F.floor(F.col(time) / tolerance).cast("long")
+    filed = shots.select(*keys, F.struct(F.col(time).alias("at"), *rest).alias("_shot"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_bucket"))
+    met = asked.select(*keys, time).distinct().withColumn("_bucket", bucket).join(filed, [*keys, "_bucket"])
+    away = F.abs(F.col("_shot.at") - F.col(time))
+    best = met.filter(away <= tolerance).groupBy(*keys, time).agg(F.min_by("_shot", F.struct(away, F.col("_shot.at"))).alias("_shot"))
+    return best.select(*keys, time, "_shot.*")
+
+
+def by_name(asked: DataFrame, names: DataFrame, name: str, number: str, prefixes: list[str], least: int = 3) -> DataFrame:
+    """(name, number, match) of the first of `names` (name, number: order in the file) that an asked name means.
+
+    The same name comes first, then the same without a leading word of `prefixes`, then a name of at least
+    `least` letters inside the asked one. Cases don't matter. Inside means equal to one of its parts, so that
+    is an equi-join too.
+    """
+    upper = F.upper(F.col(name))
+    own = asked.select(name).distinct().withColumn("_u", upper).withColumn("_s", F.trim(F.regexp_replace("_u", "^(" + "|".join(prefixes) + r")\s+", "")))
+    size = F.length("_u")
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: F.when(size - i + 1 >= least, F.transform(F.sequence(F.lit(least), size - i + 1), lambda n: F.substring(F.col("_u"), i, n))).otherwise(F.array().cast("array<string>"))))
+    keyed = own.select(name, F.explode(F.concat(F.array(F.struct(F.lit(0).alias("level"), F.col("_u").alias("key")), F.struct(F.lit(1).alias("level"), F.col("_s").alias("key"))), F.transform(F.array_distinct(parts), lambda p: F.struct(F.lit(2).alias("level"), p.alias("key"))))).alias("k")).select(name, "k.*")
+    known = names.groupBy(upper.alias("key")).agg(F.min(number).alias(number))  # the first of equal names
+    best = keyed.join(known, "key").groupBy(name).agg(F.min(F.struct("level", number)).alias("_b"))
+    label = F.element_at(F.array(F.lit("exact"), F.lit("stripped"), F.lit("contained")), F.col("_b.level") + 1)
+    return best.select(name, F.col(f"_b.{number}").alias(number), label.alias("match"))
+
+
+def values_of_all(values: DataFrame, pilots: DataFrame, key: str) -> DataFrame:
+    """pilots with their values, null where a metric gives none; raises where it gives one for nobody in the field."""
+    strangers = values.join(pilots, key, "left_anti").limit(1).count()
+    if strangers:
+        raise ValueError(f"a value for a {key} that is not in the field")
+    return pilots.join(values, key, "left")

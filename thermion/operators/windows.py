@@ -112,3 +112,57 @@ def resampled(df: DataFrame, keys: Keys, time: str, value: str, step: int, gap:
     share = (F.col(time) - F.col("t0")) / (F.col("t1") - F.col("t0"))
     lerp = F.when(F.col(time) == F.col("t0"), F.col("v0")).when(F.col("t1") - F.col("t0") <= gap, F.col("v0") + share * (F.col("v1") - F.col("v0")))
     return points.select(*keys, time, lerp.alias(value))
+
+
+def rate_extremes(df: DataFrame, keys: Keys, time: str, value: str, rows: int, climb: float, sink: float) -> DataFrame:
+    """(keys, climb_rate, climb_at, sink_rate, sink_at): each key's strongest rise and fall over `rows` rows.
+
+    An extreme that doesn't pass `climb` (from below) or `sink` (from above) is null; the earliest row wins
+    ties; keys of fewer than twice `rows` rows are left out. df must have one row a (key, time).
+    """
+    rated = trailing_rate(df, keys, time, value, rows, "_rate")
+    first = lambda edge, turned: edge(F.when(F.col("_rate").isNotNull(), F.struct(F.col("_rate").alias("rate"), (F.col(time) * turned).alias("at"))))
+    found = rated.groupBy(*keys).agg(F.count("*").alias("_n"), first(F.max, -1).alias("_up"), first(F.min, 1).alias("_down")).filter(F.col("_n") >= 2 * rows)
+    up, down = F.col("_up.rate") > climb, F.col("_down.rate") < sink
+    return found.select(*keys, F.when(up, F.col("_up.rate")).alias("climb_rate"), F.when(up, -F.col("_up.at")).alias("climb_at"), F.when(down, F.col("_down.rate")).alias("sink_rate"), F.when(down, F.col("_down.at")).alias("sink_at"))
+
+
+def time_to_share_of_peak(df: DataFrame, keys: Keys, time: str, value: str, window: int, share: float) -> DataFrame:
+    """(keys, seconds): from a key's first row until its rate over the last `window` first reaches `share` of its greatest.
+
+    The rate of a row looks back to the earliest row within `window`, or to the row before where none is. Keys
+    without a rise give null.
+    """
+    w = W.partitionBy(*keys).orderBy(time)
+    back = w.rangeBetween(-window, -1)
+    t0, v0 = F.coalesce(F.first(time).over(back), F.lag(time).over(w)), F.coalesce(F.first(value).over(back), F.lag(value).over(w))
+    rated = df.select(*keys, time, ((F.col(value) - v0) / (F.col(time) - t0)).alias("_rate"))
+    of = W.partitionBy(*keys)
+    peaked = rated.withColumn("_peak", F.max("_rate").over(of)).withColumn("_from", F.min(time).over(of))
+    reached = F.when((F.col("_peak") > 0) & (F.col("_rate") >= F.col("_peak") * share), F.col(time) - F.col("_from"))
+    return peaked.groupBy(*keys).agg(F.min(reached).alias("seconds"))
+
+
+def final_rate(df: DataFrame, keys: Keys, time: str, value: str, window: int) -> DataFrame:
+    """(keys, rate): from the last row at least `window` before a key's end until the end; null where none is so early."""
+    ends = df.withColumn("_end", F.max(time).over(W.partitionBy(*keys)))
+    before = F.max(F.when(F.col("_end") - F.col(time) >= window, F.struct(F.col(time).alias("t"), F.col(value).alias("v"))))
+    met = ends.groupBy(*keys).agg(before.alias("_b"), F.max(F.struct(F.col(time).alias("t"), F.col(value).alias("v"))).alias("_e"))
+    return met.select(*keys, ((F.col("_e.v") - F.col("_b.v")) / (F.col("_e.t") - F.col("_b.t"))).alias("rate"))
+
+
+def smoothed_share(df: DataFrame, keys: Keys, time: str, value: str, half: int, least: float) -> DataFrame:
+    """(keys, pct): share of a key's rows with a value whose mean over `half` rows on both sides is at least `least`.
+
+    Nulls (steps without a fix) count neither as rows nor in means.
+    """
+    w = W.partitionBy(*keys).orderBy(time).rowsBetween(-half, half)
+    smooth = df.withColumn("_mean", F.avg(value).over(w)).filter(F.col(value).isNotNull())
+    return smooth.groupBy(*keys).agg((F.sum((F.col("_mean") >= least).cast("double")) * 100 / F.count("*")).alias("pct"))
+
+
+def centred_rate(df: DataFrame, keys: Keys, time: str, value: str, reach: int, most: float, name: str = "rate") -> DataFrame:
+    """Adds the rate between the first and the last row within `reach` of each row; rows without one, or with one beyond `most`, go."""
+    w = W.partitionBy(*keys).orderBy(time).rangeBetween(-reach, reach)
+    rated = df.withColumn(name, (F.last(value).over(w) - F.first(value).over(w)) / F.nullif(F.last(time).over(w) - F.first(time).over(w), F.lit(0)))
+    return rated.filter(F.abs(name) <= most)

@@ -144,9 +144,10 @@ def working_band(spark, d):
 
 @query("""SELECT user_id, round(quantile_disc(value, 0.5), 6) AS lower_median FROM events GROUP BY 1""")
 def lower_median(spark, d):
-    middle = F.sort_array(F.collect_list("value"))
-    at = F.floor((F.count("*") - 1) / 2).cast("int") + 1
-    return table(spark, d, "events").groupBy("user_id").agg(shown(F.element_at(middle, at)).alias("lower_median"))
+    # places by rank in sorted, spillable partitions: no user's values meet in one array
+    of = W.partitionBy("user_id")
+    placed = table(spark, d, "events").select("user_id", "value", F.row_number().over(of.orderBy("value")).alias("at"), F.count("*").over(of).alias("n"))
+    return placed.filter(F.col("at") == F.floor((F.col("n") - 1) / 2) + 1).select("user_id", shown(F.col("value")).alias("lower_median"))
 
 
 @query("""SELECT event_type, round(CASE WHEN degrees(atan2(e, n)) < 0 THEN degrees(atan2(e, n)) + 360 ELSE degrees(atan2(e, n)) END, 6) AS direction, round(sqrt(e * e + n * n), 6) AS strength
@@ -482,10 +483,11 @@ def json_extract_group(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.sum(k).alias("total"), F.countDistinct(k).alias("kinds"))
 
 
-@query("""SELECT class, count(*) AS n FROM (SELECT unnest(['a', 'b', CASE WHEN c_acctbal < 0 THEN 'debt' ELSE 'c' END]) AS class FROM customer) GROUP BY 1""")
+@query("""SELECT key, count(*) AS n, sum(json_extract_string(props, '$.' || key)::BIGINT)::BIGINT AS total FROM (SELECT props, unnest(json_keys(props)) AS key FROM events) GROUP BY 1""")
 def json_explode(spark, d):
-    text = F.concat(F.lit('["a","b","'), F.when(F.col("c_acctbal") < 0, "debt").otherwise("c"), F.lit('"]'))
-    return table(spark, d, "customer").select(F.explode(F.from_json(text, "array<string>")).alias("class")).groupBy("class").agg(F.count("*").alias("n"))
+    """The members of each event's JSON object as rows."""
+    members = table(spark, d, "events").select(F.explode(F.from_json("props", "map<string,bigint>")).alias("key", "value"))
+    return members.groupBy("key").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 @query("SELECT p_partkey FROM part WHERE lower(p_name) LIKE '%ed%' AND lower(p_name) LIKE '%g%'")

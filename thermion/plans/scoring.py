@@ -89,6 +89,24 @@ def score_flights(flights: DataFrame, keys: list[str], pilot: str, params: dict
     return ranked.select(*keys, pilot, "distance", "validity", "best_distance", "best_time", *points, "total", "rank")
 
 
+def early_starts(flights: DataFrame, early: str, scoring: str, most_seconds: float, launch_to_start: Column, seconds_a_point: float) -> DataFrame:
+    """flights with `early_outcome` (null: none) and what follows from it.
+
+    PG: the distance from launch to the start is all that counts, flown or not. HG: a penalty of a point for
+    every `seconds_a_point`, or, beyond `most_seconds`, the minimum distance only.
+    """
+    is_early = F.coalesce(F.col(early) > 0, F.lit(False))
+    outcome = F.when(is_early, F.lit("launch_to_start") if scoring == "PG" else F.when(F.col(early) > most_seconds, "minimum_distance").otherwise("penalty"))
+    voided = F.coalesce(F.col("early_outcome") != "penalty", F.lit(False))
+    gone = lambda c: F.when(~voided, F.col(c))
+    out = flights.withColumn("early_outcome", outcome)
+    penalty = F.coalesce("penalty", F.lit(0.0)) + F.when(F.coalesce(F.col("early_outcome") == "penalty", F.lit(False)), F.col(early) / seconds_a_point).otherwise(0.0)
+    return out.withColumns({
+        "distance": F.when(F.col("early_outcome") == "launch_to_start", launch_to_start).when(voided, 0.0).otherwise(F.col("distance")),
+        "goal": F.col("goal") & ~voided, "ess": F.col("ess") & ~voided, "time": gone("time"), "ess_time": gone("ess_time"), "leading": gone("leading"), "penalty": penalty,
+    })
+
+
 def series(scores: DataFrame, task: str, pilot: str, score: str, planned: int | None = None) -> DataFrame:
     """(task, pilot, performance, fraction, counted): best performances count until the series' target is full.
 
