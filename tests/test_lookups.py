@@ -5,7 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 from thermion.functions import text
-from thermion.operators import joins, search, windows
+from thermion.operators import field, joins, search, windows
+from thermion.plans import scoring
 
 
 def one(spark, column, value, kind="string"):
@@ -71,3 +72,25 @@ def test_rates_of_short_tracks(spark):
     assert {r.k: r.rate for r in windows.final_rate(df, ["k"], "t", "v", 15).collect()} == {"a": 1.5, "b": None, "c": None}
     found = {r.k: (r.climb_rate, r.climb_at, r.sink_rate) for r in windows.rate_extremes(df, ["k"], "t", "v", 1, 0.5, -0.1).collect()}
     assert found == {"a": (3.0, 20, None), "c": (None, None, -0.4)}
+
+
+def test_parameters_and_words(spark):
+    values = [("12", 12.0), ("200", 80.0), ("-1", 10.0), ("x", 35.0), ("NaN", 35.0), ("Infinity", 35.0), (None, 35.0)]
+    assert [one(spark, lambda x: field.merged(x, 35.0, 10, 80), v) for v, _ in values] == [w for _, w in values]
+    assert [one(spark, text.date_words, x) for x in ("2026-01-05", "soon", "2026-13-05", None)] == ["2026-01-05 january 2026", "soon", "2026-13-05", ""]
+    assert [one(spark, text.list_words, x) for x in ('["open", "sport"]', "{", None)] == ["open sport", "", ""]
+
+
+def test_manual_flights(spark):
+    tracked = spark.createDataFrame([("t", 1, 50.0)], "task string, pilot int, distance double")
+    entered = spark.createDataFrame([("t", 1, 9.0), ("t", 2, 7.0)], "task string, pilot int, distance double")
+    assert sorted(tuple(r) for r in field.with_manual(tracked, entered, ["task", "pilot"]).collect()) == [("t", 1, 50.0, False), ("t", 2, 7.0, True)]
+
+
+def test_early_starts(spark):
+    kind = "pilot int, early double, distance double, goal boolean, ess boolean, time double, ess_time double, leading double, penalty double"
+    df = spark.createDataFrame([(i, e, 9e3, True, True, 60.0, 70.0, 1.0, None) for i, e in enumerate((None, 0.0, 10.0, 400.0))], kind)
+    rows = lambda how: [(r.early_outcome, r.distance, r.goal, r.time, r.penalty) for r in scoring.early_starts(df, "early", how, 300, F.lit(4e3), 2.0).orderBy("pilot").collect()]
+    free = (None, 9e3, True, 60.0, 0.0)
+    assert rows("HG") == [free, free, ("penalty", 9e3, True, 60.0, 5.0), ("minimum_distance", 0.0, False, None, 0.0)]
+    assert rows("PG") == [free, free, *[("launch_to_start", 4e3, False, None, 0.0)] * 2]

@@ -62,3 +62,19 @@ def coordinate(x: Column) -> Column:
     part = lambda i: F.regexp_extract(t, packed, i)
     value = part(1).try_cast("double") + part(2).try_cast("double") / 60
     return F.when(t.rlike(packed), F.when(F.upper(part(3)).isin("S", "W"), -value).otherwise(value)).otherwise(t.try_cast("double"))
+
+
+def date_words(x: Column) -> Column:
+    """What a date is searched by: itself, its month's name and its year; null is empty, other texts stay."""
+    day = F.to_date(F.regexp_extract(x, r"^(\d{4}-\d{2}-\d{2})", 1).try_cast("date"))
+    return F.when(x.isNull(), "").when(day.isNotNull(), F.concat_ws(" ", x, F.lower(F.date_format(day, "MMMM")), F.year(day).cast("string"))).otherwise(x)
+
+
+def list_words(json: Column) -> Column:
+    """The texts of a JSON list, space-joined; empty for anything else."""
+    return F.coalesce(F.array_join(F.from_json(json, "array<string>"), " "), F.lit(""))
+
+
+def overlap(a: Column, b: Column) -> Column:
+    """How many members two sets share."""
+    return F.size(F.array_intersect(a, b))

@@ -95,3 +95,45 @@ def shared_time(left: DataFrame, right: DataFrame, keys: list[str], width: int)
     met = left.withColumn("_span", spans("begin", "end")).join(right.withColumn("_span", spans("begin2", "end2")), [*keys, "_span"])
     start = F.greatest("begin", "begin2")
     return met.filter((F.col("begin") < F.col("end2")) & (F.col("begin2") < F.col("end")) & (F.floor(start / width) == F.col("_span"))).withColumn("seconds", F.least("end", "end2") - start).drop("_span")
+
+
+def segment_ends(segments, fixes, keys: list[str], index: str, values: list[str]):
+    """segments (keys, start, end: fix indices) with the values of both fixes, as start_<value> and end_<value>; null where a fix is missing."""
+    side = lambda name: fixes.select(*keys, F.col(index).alias(name), *[F.col(v).alias(f"{name}_{v}") for v in values])
+    return segments.join(side("start"), [*keys, "start"], "left").join(side("end"), [*keys, "end"], "left")
+
+
+def with_manual(tracked, manual, keys: list[str]):
+    """Flights with those entered by hand for pilots without a track; `by_hand` tells which. A track wins over an entry."""
+    missing = manual.join(tracked.select(*keys), keys, "left_anti")
+    return tracked.withColumn("by_hand", F.lit(False)).unionByName(missing.withColumn("by_hand", F.lit(True)), allowMissingColumns=True)
+
+
+def merged(value, default: float, least: float | None = None, most: float | None = None):
+    """A parameter from text: the default where it is missing or no finite number, and kept within its bounds."""
+    x = value.try_cast("double")
+    out = F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), x).otherwise(default)
+    out = out if least is None else F.greatest(out, F.lit(float(least)))
+    return out if most is None else F.least(out, F.lit(float(most)))
+
+
+def rising_sum(df, keys: list[str], time: str, value: str, reach: int):
+    """(keys, gained): the sum of rises of the mean within `reach` of each row."""
+    from .windows import centred_mean
+
+    step = F.col("_mean") - F.lag("_mean").over(W.partitionBy(*keys).orderBy(time))
+    steps = centred_mean(df, keys, time, value, reach, "_mean").select(*keys, step.alias("_step"))
+    return steps.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("_step") > 0, F.col("_step"))), F.lit(0.0)).alias("gained"))
+
+
+def nominal_distance(points, keys: list[str], order: str, metres):
+    """(keys, metres) from centre to centre of a task's turnpoints; `metres` makes a column of (lat, lon, lat, lon)."""
+    w = W.partitionBy(*keys).orderBy(order)
+    legs = points.select(*keys, "lat", "lon", F.lag("lat").over(w).alias("_lat"), F.lag("lon").over(w).alias("_lon"))
+    leg = F.when(F.col("_lat").isNotNull(), metres(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))).otherwise(0.0)
+    return legs.groupBy(*keys).agg(F.sum(leg).alias("metres"))
+
+
+def required_glide(metres, height, target):
+    """Metres forward for each metre down to reach a target; null at or below its height."""
+    return F.when(height > target, metres / (height - target))

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.numbers import shown
-from ..operators import joins, search
-from .catalog import FIXES, W, fixes, query, table
+from ..operators import field, joins, search
+from .catalog import FIXES, FLIGHTS, W, fixes, flights, query, table
 from .field import ONE, tracks
 
 
@@ -118,3 +118,71 @@ def visible_to(spark, d):
     """Rows that are public, or that the user (nation 3) administers."""
     mine = table(spark, d, "supplier").filter("s_nationkey = 3").select(F.col("s_suppkey").alias("c_custkey")).distinct().withColumn("mine", F.lit(True))
     return table(spark, d, "customer").join(mine, "c_custkey", "left").filter("c_mktsegment <> 'BUILDING' OR mine").select("c_custkey")
+
+
+FIRST_LAST = f"""{FIXES}, k AS (SELECT user_id, t, value, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i FROM fixes), s AS (SELECT user_id, i AS a, i + 3 AS b FROM k WHERE i % 4 = 1)"""
+
+
+@query(f"""WITH {FIRST_LAST} SELECT s.user_id, a AS start, b AS "end", x.t AS start_t, x.value AS start_value, y.t AS end_t, y.value AS end_value
+FROM s LEFT JOIN k x ON x.user_id = s.user_id AND x.i = a LEFT JOIN k y ON y.user_id = s.user_id AND y.i = b""")
+def segment_ends(spark, d):
+    """Every four fixes of a track as a segment: times and heights of its ends."""
+    k = fixes(spark, d).select("user_id", "t", "value", F.row_number().over(W.partitionBy("user_id").orderBy("t", "event_id")).cast("long").alias("i"))
+    s = k.filter("i % 4 = 1").select("user_id", F.col("i").alias("start"), (F.col("i") + 3).alias("end"))
+    return field.segment_ends(s, k, ["user_id"], "i", ["t", "value"]).select("user_id", "start", "end", "start_t", "start_value", "end_t", "end_value")
+
+
+@query(f"""WITH {FLIGHTS}, t AS (SELECT task, pilot, distance FROM flights WHERE pilot % 6 <> 0), m AS (SELECT DISTINCT o_orderpriority AS task, c_custkey AS pilot, 7000.0 + c_custkey AS distance FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 3 = 0)
+SELECT task, pilot, round(distance, 4) AS distance, FALSE AS by_hand FROM t UNION ALL SELECT task, pilot, distance, TRUE FROM m WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.task = m.task AND t.pilot = m.pilot)""")
+def manual_flights(spark, d):
+    """Flights with a track, and entries by hand for pilots without."""
+    tracked = flights(spark, d).filter("pilot % 6 <> 0").select("task", "pilot", shown(F.col("distance"), 4).alias("distance"))
+    by_hand = table(spark, d, "orders").filter("o_custkey % 3 = 0").select(F.col("o_orderpriority").alias("task"), F.col("o_custkey").alias("pilot")).distinct().withColumn("distance", 7000.0 + F.col("pilot"))
+    held = by_hand.join(table(spark, d, "customer").select(F.col("c_custkey").alias("pilot")), "pilot", "left_semi").select("task", "pilot", "distance")
+    return field.with_manual(tracked, held, ["task", "pilot"])
+
+
+@query("""WITH v AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN json_extract_string(props, '$.k') WHEN event_id % 3 = 1 THEN event_type END AS raw FROM events)
+SELECT event_id, least(80.0, greatest(10.0, coalesce(TRY_CAST(raw AS DOUBLE), 35.0))) AS parameter FROM v""")
+def merged_parameters(spark, d):
+    """Parameters from text: defaults for what is missing or no number, kept from 10 to 80."""
+    kind = F.col("event_id") % 3
+    raw = F.when(kind == 0, F.get_json_object("props", "$.k")).when(kind == 1, F.col("event_type"))
+    return table(spark, d, "events").select("event_id", field.merged(raw, 35.0, 10, 80).alias("parameter"))
+
+
+@query(f"""WITH {ONE}, m AS (SELECT user_id, t, avg(round(value * 100)::BIGINT) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 43200 PRECEDING AND 43200 FOLLOWING) AS mean FROM p),
+s AS (SELECT user_id, mean - lag(mean) OVER (PARTITION BY user_id ORDER BY t) AS step FROM m) SELECT user_id, round(coalesce(sum(step) FILTER (step > 0), 0), 4) AS gained FROM s GROUP BY 1""")
+def rising_sum(spark, d):
+    """Hundredths gained by the mean of half a day before and after."""
+    whole = tracks(spark, d).withColumn("value", F.round(F.col("value") * 100).cast("long"))
+    found = field.rising_sum(whole, ["user_id"], "t", "value", 43200)
+    return found.select("user_id", shown(F.col("gained"), 4).alias("gained"))
+
+
+@query("""WITH p AS (SELECT o_custkey AS task, o_orderkey, o_totalprice % 1000 / 10.0 AS lat, o_totalprice % 777 / 10.0 AS lon FROM orders),
+l AS (SELECT task, lat, lon, lag(lat) OVER w AS a, lag(lon) OVER w AS b FROM p WINDOW w AS (PARTITION BY task ORDER BY o_orderkey))
+SELECT task, round(sum(CASE WHEN a IS NULL THEN 0.0 ELSE sqrt((lat - a)**2 + (lon - b)**2) END), 5) AS metres FROM l GROUP BY 1""")
+def nominal_distance(spark, d):
+    """A customer's orders as a task's turnpoints on a plane: its length from centre to centre."""
+    p = table(spark, d, "orders").select(F.col("o_custkey").alias("task"), "o_orderkey", (F.col("o_totalprice") % 1000 / 10.0).alias("lat"), (F.col("o_totalprice") % 777 / 10.0).alias("lon"))
+    found = field.nominal_distance(p, ["task"], "o_orderkey", lambda a, b, c, e: F.sqrt((c - a) * (c - a) + (e - b) * (e - b)))
+    return found.select("task", shown(F.col("metres"), 5).alias("metres"))
+
+
+@query("""SELECT o_orderkey, round(CASE WHEN o_totalprice > 90000 THEN 500000 / (o_totalprice - 90000) END, 6) AS glide, strftime(o_orderdate, '%Y-%m-%d') || ' ' || lower(strftime(o_orderdate, '%B')) || ' ' || year(o_orderdate) AS words FROM orders""")
+def glides_and_dates(spark, d):
+    """The glide to a target that each order's price stands above, and the words its date is found by."""
+    iso = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return table(spark, d, "orders").select("o_orderkey", shown(field.required_glide(F.lit(500000), F.col("o_totalprice"), F.lit(90000))).alias("glide"), text.date_words(iso).alias("words"))
+
+
+@query(f"""WITH {FIXES}, k AS (SELECT DISTINCT user_id, (t // 86400)::BIGINT AS day, event_type FROM fixes)
+SELECT n.user_id, n.day, count(b.event_type) AS kept FROM k n LEFT JOIN k b ON b.user_id = n.user_id AND b.day = n.day - 1 AND b.event_type = n.event_type GROUP BY ALL""")
+def kinds_kept(spark, d):
+    """How many of the kinds of a user's events of a day were there the day before: overlaps of small sets."""
+    day = F.floor(F.col("t") / 86400).cast("long").alias("day")
+    sets = fixes(spark, d).groupBy("user_id", day).agg(F.collect_set("event_type").alias("now"))
+    before = sets.select("user_id", (F.col("day") + 1).alias("day"), F.col("now").alias("then"))
+    kept = F.when(F.col("then").isNotNull(), text.overlap(F.col("now"), F.col("then"))).otherwise(0)
+    return sets.join(before, ["user_id", "day"], "left").select("user_id", "day", kept.cast("long").alias("kept"))
