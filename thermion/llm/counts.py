@@ -43,10 +43,13 @@ DEFAULT, LIMIT = "byte_bpe_50k.json", 1024
 #: Characters of a chunk, and how many neighbouring maps compose in one step.
 CHUNK, FAN = 1 << 16, 64
 #: States that a Python worker keeps between batches: bounds the memory, not the result.
-KEEP = 80_000
+KEEP = 250_000
 #: Endings that stay with their apostrophe, after its sign, as this kind of tokenizer splits them (fixed values).
 ENDINGS = ("s", "t", "m", "d", "re", "ve", "ll")
 START, LETTER, DIGIT, MARK, SPACE, QUOTE = range(6)
+#: Within a word: the bytes that a token still open can hold, and for each prefix that ends among them its last token and its count, from the whole's.
+Window = tuple[bytes, tuple[int, ...], tuple[int, ...]]
+NOTHING: Window = b"", (-1,), (0,)
 
 
 def default_path() -> str:
@@ -79,25 +82,19 @@ class Transducer:
         self.by_id = {i: t for t, i in self.tokens.items()}
         self.open = {t[:k] for t in self.tokens for k in range(1, len(t))}
         self.classes: dict[str, int] = {}
+        self.sound: dict[bytes, bool] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.windows: dict[tuple, Window] = {}
         self.states: dict[tuple, State] = {}
-        self.pairs: dict[tuple[int, bytes], bool] = {}
-        self.nothing = self.window(b"", (-1,), (0,))
-        self.start = self.state(START, self.nothing)
+        self.start = self.state(START, NOTHING)
 
-    def window(self, *key) -> Window:
-        if key not in self.windows:
-            self.windows[key] = Window(self, *key)
-        return self.windows[key]
-
-    def state(self, *key) -> State:
-        key += (None,) * (5 - len(key))
-        if key not in self.states:
-            self.states[key] = State(self, *key)
-        return self.states[key]
+    def state(self, mode: int, window: Window, before=None, step=None, special=None) -> State:
+        key = mode, window, before, step, special
+        found = self.states.get(key)
+        if found is None:
+            found = self.states[key] = State(self, key)
+        return found
 
     def kind(self, char: str) -> int:
         """LETTER, DIGIT, MARK or SPACE: whatever the library leaves in one piece with it."""
@@ -111,18 +108,29 @@ class Transducer:
 
     def meet(self, before: int, token: bytes) -> bool:
         """Whether token stays as it is behind the token `before`, or behind nothing (-1)."""
-        key = before, token
-        if key not in self.pairs:
-            ids = [self.tokens[token]] if before < 0 else [before, self.tokens[token]]
-            self.pairs[key] = self.tokens_of((b"" if before < 0 else self.by_id[before]) + token) == ids
-        return self.pairs[key]
+        if before >= 0:
+            return self.tokens_of(self.by_id[before] + token) == [before, self.tokens[token]]
+        if token not in self.sound:
+            self.sound[token] = self.tokens_of(token) == [self.tokens[token]]
+        return self.sound[token]
 
     def read(self, text: str, window: Window) -> tuple[Window, int]:
-        n = 0
+        """The window after text, and the tokens added."""
+        (held, last, count), n = window, 0
         for b in text.encode():
-            window, d = window[b]
-            n += d
-        return window, n
+            data = held + bytes([b])
+            for k in range(len(data)):
+                token = data[k:]
+                if token in self.tokens and self.meet(last[k], token):
+                    break
+            else:
+                raise ValueError("no token ends here: not a byte-level vocabulary")
+            added = count[k] + 1
+            first = next((k for k in range(len(data)) if data[k:] in self.open), len(data))
+            held, last = data[first:], (*last, self.tokens[token])[first:]
+            count = tuple([n - added for n in (*count, added)[first:]])
+            n += added
+        return (held, last, count), n
 
     def count(self, text: str) -> int:
         """The tokens of a text: one transition a character."""
@@ -133,43 +141,19 @@ class Transducer:
         return n
 
 
-class Window(dict):
-    """Within a word: the bytes that a token still open can hold, and each prefix's last token and count from there on. By byte: (next, tokens added)."""
-
-    __slots__ = ("of", "held", "last", "count")
-    __hash__, __eq__ = object.__hash__, object.__eq__  # one object for what it holds
-
-    def __init__(self, of: Transducer, held: bytes, last: tuple[int, ...], count: tuple[int, ...]):
-        self.of, self.held, self.last, self.count = of, held, last, count
-
-    def __missing__(self, byte: int) -> tuple[Window, int]:
-        of, data = self.of, self.held + bytes([byte])
-        for k in range(len(data)):
-            token = data[k:]
-            if token in of.tokens and of.meet(self.last[k], token):
-                break
-        else:
-            raise ValueError("no token ends here: not a byte-level vocabulary")
-        added = self.count[k] + 1
-        first = next((k for k in range(len(data)) if data[k:] in of.open), len(data))
-        last, count = (*self.last, of.tokens[token])[first:], (*self.count, added)[first:]
-        self[byte] = of.window(data[first:], last, tuple(n - added for n in count)), added
-        return self[byte]
-
-
 class State(dict):
-    """By character: (next, tokens added). `before` and `step` belong to white space: the window before its last character and what that added; in QUOTE, `before` is the ending so far."""
+    """By character: (next, tokens added). Its key: the mode, the window, in white space the last character and what that added, in QUOTE the ending so far, and what has been read of special tokens, with the tokens counted since."""
 
-    __slots__ = ("of", "mode", "window", "before", "step", "special")
+    __slots__ = ("of", "key")
 
-    def __init__(self, of: Transducer, mode: int, window: Window, before, step, special):
-        self.of, self.mode, self.window, self.before, self.step, self.special = of, mode, window, before, step, special
+    def __init__(self, of: Transducer, key: tuple):
+        self.of, self.key = of, key
 
     def __missing__(self, char: str) -> tuple[State, int]:
-        of = self.of
+        of, special = self.of, self.key[-1]
         mode, window, before, step, added = self._next(char)
         found = []
-        for read, since in (*(self.special or ()), ("", 0)):
+        for read, since in (*(special or ()), ("", 0)):
             read += char
             if read in of.special:
                 self[char] = of.start, 1 - since
@@ -183,36 +167,36 @@ class State(dict):
         """char as the first of a word."""
         of = self.of
         kind = of.kind(char)
-        window, n = of.read(char, of.nothing)
+        window, n = of.read(char, NOTHING)
         if kind == SPACE:
-            return SPACE, window, (char, None), n, n
+            return SPACE, window, char, n, n
         return (QUOTE, window, "", None, n) if char == "'" else (kind, window, None, None, n)
 
     def _next(self, char: str) -> tuple:
-        of, kind, mode = self.of, self.of.kind(char), self.mode
+        of, kind = self.of, self.of.kind(char)
+        mode, held, before, step, _ = self.key
         if mode == QUOTE:
-            ending = self.before + char
+            ending = before + char
             if ending in ENDINGS:
-                held = "'" + self.before
-                apart = of.count("'") + (of.count(self.before) if self.before else 0)
-                return START, of.nothing, None, None, of.read(held + char, of.nothing)[1] - apart
+                start = "'" + before
+                apart = of.count("'") + (of.count(before) if before else 0)
+                return START, NOTHING, None, None, of.read(start + char, NOTHING)[1] - apart
             if any(e.startswith(ending) for e in ENDINGS):  # of letters: a word until it is an ending
-                window, n = of.read(char, of.nothing)
+                window, n = of.read(char, NOTHING)
                 return QUOTE, window, ending, None, n
-            mode = LETTER if self.before else MARK
+            mode = LETTER if before else MARK
         if mode == SPACE:
-            last, earlier = self.before
             if kind == SPACE:
-                window, n = of.read(char, self.window)
-                return SPACE, window, (char, self.window), n, n
-            if last == " ":
-                window, n = of.read(last + char, of.nothing)
-                return kind, window, None, None, n - self.step
-            alone = of.read(last, of.nothing)[1]
+                window, n = of.read(char, held)
+                return SPACE, window, char, n, n
+            if before == " ":
+                window, n = of.read(before + char, NOTHING)
+                return kind, window, None, None, n - step
+            alone = of.read(before, NOTHING)[1]
             *to, n = self._begin(char)
-            return *to, n + alone - self.step
+            return *to, n + alone - step
         if mode == kind:
-            window, n = of.read(char, self.window)
+            window, n = of.read(char, held)
             return mode, window, None, None, n
         return self._begin(char)
 
