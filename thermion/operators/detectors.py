@@ -94,7 +94,9 @@ def circling(tracks: DataFrame, keys: list[str]) -> DataFrame:
     seen = headed.withColumn("before", F.last(F.struct("t", "heading")).over(earlier))
     dt = F.col("t") - F.col("before.t")
     rate = F.when((dt >= 1) & F.col("before.heading").isNotNull(), _turned(F.col("heading"), F.col("before.heading")) / dt)
-    rated = seen.withColumn("rate", F.coalesce(F.greatest(F.least(rate, F.lit(TURN_MOST)), F.lit(-TURN_MOST)), F.lit(0.0))).withColumn("turning", F.abs("rate") >= TURN_RATE)
+    # a fix without a rate turns at none: least and greatest would pass over the null
+    held = F.when(rate.isNotNull(), F.greatest(F.least(rate, F.lit(TURN_MOST)), F.lit(-TURN_MOST))).otherwise(0.0)
+    rated = seen.withColumn("rate", held).withColumn("turning", F.abs("rate") >= TURN_RATE)
     marked = rated.withColumn("new", F.coalesce(F.lag("turning").over(at) != F.col("turning"), F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(at))
     timed = marked.withColumn("since", F.col("t") - F.min("t").over(W.partitionBy(*keys, "run")))
     done = F.min(F.when(F.col("since") >= F.when(F.col("turning"), TURN_IN).otherwise(TURN_OUT), F.col("fix_index")))
@@ -127,7 +129,7 @@ def circling(tracks: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def takeoff_and_landing(tracks: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, takeoff, landing): the fixes from and to which a track flies (null where it never does), by windows alone.
+    """(keys, takeoff, landing): the fixes from and to which a track flies (null where it never does, or has fewer than TAKEOFF_FIXES), by windows alone.
 
     Take-off: the first fix that is fast, TAKEOFF_GAIN above the mean of the first fixes, or climbing over five
     rows, if the TAKEOFF_WINDOW seconds from there bear it out: that gain, a climb, or two fast steps in
@@ -157,9 +159,10 @@ def takeoff_and_landing(tracks: DataFrame, keys: list[str]) -> DataFrame:
     climbing = lambda up, ms, least: F.coalesce((ms > 0) & (up / ms * 1000 > least), F.lit(False))
     off = (F.col("v1") > TAKEOFF_SPEED) | (F.col("alt") - F.col("ground") > TAKEOFF_GAIN) | climbing(F.col("alt") - F.col("a5"), F.col("ms") - F.col("m5"), TAKEOFF_CLIMB)
     borne_out = (F.col("end.alt") - F.col("ground") > TAKEOFF_GAIN) | climbing(F.col("end.alt") - F.col("alt"), F.col("end.ms") - F.col("ms"), TAKEOFF_CLIMB) | F.coalesce(F.col("leads_by") <= F.col("end.ms"), F.lit(False))
-    takes_off = (F.col("row") > 1) & F.col("end").isNotNull() & off & borne_out
+    enough = F.col("rows") >= TAKEOFF_FIXES
+    takes_off = enough & (F.col("row") > 1) & F.col("end").isNotNull() & off & borne_out
     sinks = (F.col("alt") - F.col("begin.alt")) / (F.col("ms") - F.col("begin.ms")) * 1000 < LANDING_SINK
-    flies = F.col("row").between(2, F.col("rows") - 1) & F.col("begin").isNotNull() & ((F.col("fastest") > LANDING_SPEED) | sinks)
+    flies = enough & F.col("row").between(2, F.col("rows") - 1) & F.col("begin").isNotNull() & ((F.col("fastest") > LANDING_SPEED) | sinks)
     return seen.groupBy(*keys).agg(F.min(F.when(takes_off, F.col("fix_index"))).alias("takeoff"), F.max(F.when(flies, F.col("fix_index"))).alias("landing"))
 
 

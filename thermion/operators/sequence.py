@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import ellipsoid_metres
 from .components import kept
+from .goal import line_crossings, line_metres
 
 #: Metres by which a boundary is widened for those who must enter, narrowed for those who must leave.
 BAND = 5.0
@@ -77,16 +78,20 @@ def _walk(tps: Column, start: Column, ess: Column) -> Column:
     return F.aggregate(tps, begin, step, lambda s: s["path"])
 
 
-def resolved(tracks: DataFrame, points: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
+def resolved(tracks: DataFrame, points: DataFrame, rules: DataFrame, keys: list[str], lines: DataFrame | None = None) -> DataFrame:
     """A row a track with a start: (task, keys, start_t, start_reason, path, reached, made_goal, ess_t, official_start, early_seconds, section_seconds).
 
     Of all start crossings that the rules admit, the best path wins: most turnpoints, then nearest to the next one
     afterwards, then the latest start. Crossings before the first gate count only if there are no others. A start that is
     no named one and was never crossed is the first fix, if that is outside. The official start is the last gate at or
-    before the crossing; who starts early gets the first gate. Tracks without a start have no row.
+    before the crossing; who starts early gets the first gate. Tracks without a start have no row. Goals with a line in `lines`
+    (goal.goal_lines) are reached through it.
     """
-    near = approaches(tracks, points, keys)
-    tps = crossings(near, keys).groupBy("task", *keys).agg(F.array_sort(F.collect_list(F.struct("tp", "way", "inside_first", "found", "first"))).alias("tps"))
+    rounds = points if lines is None else points.join(lines, ["task", "tp"], "left_anti")
+    found = crossings(approaches(tracks, rounds, keys), keys)
+    if lines is not None:
+        found = found.unionByName(line_crossings(tracks, _sent(lines), keys))
+    tps = found.groupBy("task", *keys).agg(F.array_sort(F.collect_list(F.struct("tp", "way", "inside_first", "found", "first"))).alias("tps"))
     shown = tps.join(_sent(rules), "task").withColumn("own", F.get(F.filter("tps", lambda x: x["tp"] == F.col("start")), F.lit(0)))
     wanted = F.when(F.col("fallback"), F.lit(None)).otherwise(F.col("start_way"))
     fit = F.filter("own.found", lambda c: (wanted.isNull() | (c["entered"] == (wanted == "enter"))) & (F.col("closes").isNull() | (c["t"] <= F.col("closes"))) & (F.col("opens").isNull() | (c["t"] >= F.col("opens"))))
@@ -103,7 +108,11 @@ def resolved(tracks: DataFrame, points: DataFrame, rules: DataFrame, keys: list[
     longest = kept(tried.withColumn("_most", F.max(F.size("path")).over(W.partitionBy("task", *keys))).filter(F.size("path") == F.col("_most")).drop("_most"))
     # how near each of these came to the turnpoint it lacks; only those turnpoints' distances are computed again
     lacking = longest.filter("tp <= goal").select("task", *keys, "tp", "last_t", "closes").distinct()
-    near_next = approaches(tracks, points, keys, lacking.select("task", *keys, "tp").distinct()).select("task", *keys, "tp", "t", "away")
+    lacked = lacking.select("task", *keys, "tp").distinct()
+    near_next = approaches(tracks, rounds, keys, lacked).select("task", *keys, "tp", "t", "away")
+    if lines is not None:
+        to_line = tracks.join(_sent(lines), "task").join(lacked, ["task", *keys, "tp"], "left_semi").withColumn("away", line_metres("lat", "lon"))
+        near_next = near_next.unionByName(to_line.select("task", *keys, "tp", "t", "away"))
     after = lacking.join(near_next, ["task", *keys, "tp"]).filter("t >= last_t and (closes is null or t <= closes)")
     closest = after.groupBy("task", *keys, "tp", "last_t").agg(F.min("away").alias("closest"))
     ranked = longest.join(closest, ["task", *keys, "tp", "last_t"], "left")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import gap
 from ..functions.numbers import half_up
 from ..operators.aggregates import distance_difficulty
+from ..operators.stopped import time_reduction
 
 
 def field_figures(flights: DataFrame, keys: list[str], minimum: float) -> DataFrame:
@@ -28,11 +29,16 @@ def field_figures(flights: DataFrame, keys: list[str], minimum: float) -> DataFr
         F.min(F.when(F.col("flying") & F.col("goal") & (F.col("time") > 0), F.col("time"))).alias("best_goal_time"),
         F.sum(F.when(F.col("flying"), over)).alias("sum_over"),
         F.min(F.when(F.col("flying"), F.col("leading"))).alias("least_leading"),
+        F.min(F.when(F.col("flying") & F.col("ess") & ~F.col("goal") & (F.col("time") > 0), F.col("time"))).alias("between_time"),
     )
 
 
 def available_points(figures: DataFrame, params: dict) -> DataFrame:
-    """figures with validities, weights and the points on offer."""
+    """figures with validities, weights and the points on offer.
+
+    Figures of stopped tasks have stopped_validity, met and window_seconds too (stopped.outcome): another factor, no
+    time points with nobody in goal, and what goal pilots lose of them moved to distance.
+    """
     p = gap.DEFAULTS | params
     best_time = F.col("best_ess_time") if p["scoring"] == "HG" else F.col("best_goal_time")
     best = F.coalesce("best_distance", F.lit(0.0))
@@ -46,18 +52,28 @@ def available_points(figures: DataFrame, params: dict) -> DataFrame:
         .withColumn("time_validity", gap.time_validity(F.col("best_time"), best, p["nominal_time"], p["nominal_distance"]))
         .withColumn("validity", F.col("launch_validity") * F.col("distance_validity") * F.col("time_validity"))
     )
-    return out.withColumns({f"available_{k}": 1000 * F.col("validity") * v for k, v in w.items()})
-
-
-def score_flights(flights: DataFrame, keys: list[str], pilot: str, params: dict | None = None) -> DataFrame:
+    was_stopped = "stopped_validity" in figures.columns
+    if was_stopped:
+        out = out.withColumn("validity", F.col("validity") * F.col("stopped_validity"))
+    offered = out.withColumns({f"available_{k}": 1000 * F.col("validity") * v for k, v in w.items()})
+    if not was_stopped:
+        return offered.withColumn("time_reduction", F.lit(0.0))
+    reduced = offered.withColumn("time_reduction", time_reduction(F.col("best_time"), F.col("between_time"), F.col("available_time")))
+    none = F.col("met") & (F.col("n_goal") == 0)
+    return reduced.withColumns({"available_distance": F.col("available_distance") + F.col("time_reduction"), "available_time": F.when(none, 0.0).otherwise(F.col("available_time"))})
+
+
+def score_flights(flights: DataFrame, keys: list[str], pilot: str, params: dict | None = None, stopped: DataFrame | None = None) -> DataFrame:
     """flights with points by component, total (one decimal) and rank.
 
     flights: keys, pilot, distance (m), goal, ess (boolean), time (s, null without), ess_time (order of
     arrival, null without), leading (coefficient, null without), present, flying (boolean), penalty.
+    stopped: (keys, stopped_validity, met, window_seconds), where tasks were stopped.
     """
     p = gap.DEFAULTS | (params or {})
     floored = flights.withColumn("distance", F.when(F.col("flying"), F.greatest(F.col("distance"), F.lit(p["minimum_distance"]))).otherwise(0.0))
-    figures = available_points(field_figures(floored, keys, p["minimum_distance"]), p)
+    field = field_figures(floored, keys, p["minimum_distance"])
+    figures = available_points(field if stopped is None else field.join(stopped, keys), p)
     joined = floored.join(figures, keys)
     linear = F.col("distance") / F.col("best_distance")
     if p["scoring"] == "HG":
@@ -78,7 +94,7 @@ def score_flights(flights: DataFrame, keys: list[str], pilot: str, params: dict
     arrival = F.when(F.col("ess") & F.col("ess_time").isNotNull(), gap.arrival_fraction(order, F.col("n_ess")) * kept).otherwise(0.0)
     points: dict[str, Column] = {
         "distance_points": F.when(F.col("flying") & (F.col("best_distance") > 0), share).otherwise(0.0) * F.col("available_distance"),
-        "time_points": F.coalesce(time, F.lit(0.0)) * F.col("available_time"),
+        "time_points": F.greatest(F.lit(0.0), F.coalesce(time, F.lit(0.0)) * F.col("available_time") - F.when(F.col("goal"), F.col("time_reduction")).otherwise(0.0)),
         "leading_points": F.coalesce(gap.leading_fraction(F.col("leading"), F.col("least_leading")), F.lit(0.0)) * F.col("available_leading"),
         "arrival_points": arrival * F.col("available_arrival"),
     }
@@ -86,7 +102,7 @@ def score_flights(flights: DataFrame, keys: list[str], pilot: str, params: dict
     total = half_up(sum((F.col(k) for k in points), F.lit(0.0)), 1)
     total = half_up(F.greatest(F.lit(0.0), total - F.coalesce("penalty", F.lit(0.0))), 1)
     ranked = scored.withColumn("total", total).withColumn("rank", F.rank().over(W.partitionBy(*keys).orderBy(F.col("total").desc())).cast("long"))
-    return ranked.select(*keys, pilot, "distance", "validity", "best_distance", "best_time", *points, "total", "rank")
+    return ranked.select(*keys, pilot, "distance", "validity", "best_distance", "best_time", "time_reduction", *points, "total", "rank")
 
 
 def early_starts(flights: DataFrame, early: str, scoring: str, most_seconds: float, launch_to_start: Column, seconds_a_point: float) -> DataFrame:
