@@ -21,6 +21,8 @@ from ..functions.geo import A, FLATTENING, inverse
 CLOSE, ANGLES, NARROWED = 0.1, 96, 30
 # Fixed values of the repair: metres a channel may stray from the usual difference, half the window in milliseconds, share of zeros of a dead channel.
 STRAY, HALF_WINDOW, DEAD, LEAST_FIXES = 150.0, 60_000, 0.5, 10
+# And of the repair by rates: metres a second that no flight climbs or sinks, seconds within which an excursion returns, and metres within which it does.
+CLIMBS_AT_MOST, EXCURSION, RETURN = 40.0, 30.0, 150.0
 
 
 def nearest(centre: np.ndarray, radius: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -105,16 +107,50 @@ def optimised(points: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, f"task {kind}, tp int, lat double, lon double, leg double, total double")
 
 
+def rate_repairs(fixes: DataFrame, keys: list[str], height: str = "alt", rate: float = CLIMBS_AT_MOST, span: float = EXCURSION, near: float = RETURN) -> DataFrame:
+    """(keys, fix_index, repaired) of fixes (keys, fix_index, t seconds, `height`) that leave their track's height and come back.
+
+    A step faster than `rate` begins an excursion if within `span` seconds of the fix before it a height comes within `near` of
+    that fix's; up to the first such fix, heights are drawn straight between the two. An excursion that begins within another, or
+    at the fix that ends it, is none. Only the few steps too fast look ahead: they meet the fixes of their time by blocks of
+    `span`. Which of a track's excursions hold is a fold over them.
+    """
+    at = W.partitionBy(*keys).orderBy("fix_index")
+    t, z = F.col("t").cast("double"), F.col(height).cast("double")
+    shown = fixes.select(*keys, "fix_index", t.alias("t"), z.alias("z"))
+    steps = shown.withColumns({"t0": F.lag("t").over(at), "z0": F.lag("z").over(at)})
+    fast = steps.filter((F.col("t") > F.col("t0")) & (F.abs(F.col("z") - F.col("z0")) / (F.col("t") - F.col("t0")) > rate))
+    block = lambda c: F.floor(F.col(c) / span).cast("long")
+    asks = fast.select(*keys, F.col("fix_index").alias("i"), "t0", "z0", F.explode(F.array(block("t0"), block("t0") + 1)).alias("block"))
+    ahead = asks.join(shown.withColumn("block", block("t")), [*keys, "block"]).filter((F.col("fix_index") >= F.col("i")) & (F.col("t") > F.col("t0")) & (F.col("t") - F.col("t0") <= span) & (F.abs(F.col("z") - F.col("z0")) <= near))
+    back = ahead.groupBy(*keys, "i", "t0", "z0").agg(F.min(F.struct(F.col("fix_index").alias("j"), "t", "z")).alias("back"))
+    kind = fixes.schema["fix_index"].dataType.simpleString()
+    one = F.struct("i", "t0", "z0", F.col("back.j").alias("j"), F.col("back.t").alias("t1"), F.col("back.z").alias("z1"))
+    begin = F.struct(F.lit(None).cast(kind).alias("done"), F.expr(f"cast(array() as array<struct<i:{kind},t0:double,z0:double,j:{kind},t1:double,z1:double>>)").alias("out"))
+    add = lambda s, x: F.when(s["done"].isNull() | (x["i"] > s["done"]), F.struct(x["j"].alias("done"), F.concat(s["out"], F.array(x)).alias("out"))).otherwise(s)
+    kept = back.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("all")).select(*keys, F.explode(F.aggregate("all", begin, add, lambda s: s["out"])).alias("x"))
+    spans = kept.filter("x.j > x.i").select(*keys, "x", F.explode(F.sequence(F.col("x.i"), F.col("x.j") - 1)).alias("fix_index"))
+    share = (F.col("t") - F.col("x.t0")) / (F.col("x.t1") - F.col("x.t0"))
+    return shown.join(spans, [*keys, "fix_index"]).select(*keys, "fix_index", (F.col("x.z0") + (F.col("x.z1") - F.col("x.z0")) * share).alias("repaired"))
+
+
 def repaired(fixes: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds cleaned_alt to fixes (keys, fix_index, time_ms, pressure_alt, gnss_alt): where satellite height is missing or strays from
-    pressure height by 150 m more than usual within a minute around, pressure height and the usual difference; null elsewhere.
-    Tracks with a dead channel or of fewer than 10 fixes are left as they are.
+    """Adds cleaned_alt to fixes (keys, fix_index, time_ms, pressure_alt, gnss_alt), null where nothing is wrong.
+
+    With both channels alive: where satellite height is missing or strays from pressure height by 150 m more than usual within
+    a minute around, pressure height and the usual difference. With one dead: excursions of the other (rate_repairs). Tracks of
+    fewer than 10 fixes are left as they are.
     """
     of = W.partitionBy(*keys)
     around = of.orderBy("time_ms").rangeBetween(-HALF_WINDOW, HALF_WINDOW)
     share = lambda c: F.avg((F.col(c) == 0).cast("double")).over(of)
-    both = fixes.withColumn("_alive", (share("gnss_alt") < DEAD) & (share("pressure_alt") < DEAD) & (F.count("*").over(of) >= LEAST_FIXES))
-    differ = both.withColumn("_differ", F.when((F.col("gnss_alt") != 0) & (F.col("pressure_alt") != 0), F.col("gnss_alt") - F.col("pressure_alt")).cast("double"))
+    known = fixes.withColumn("_alive", (share("gnss_alt") < DEAD) & (share("pressure_alt") < DEAD)).withColumn("_some", F.count("*").over(of) >= LEAST_FIXES)
+    differ = known.withColumn("_differ", F.when((F.col("gnss_alt") != 0) & (F.col("pressure_alt") != 0), F.col("gnss_alt") - F.col("pressure_alt")).cast("double"))
     usual = differ.withColumn("_usual", F.percentile("_differ", 0.5).over(around))
     wrong = F.col("_alive") & (F.col("pressure_alt") != 0) & F.col("_usual").isNotNull() & ((F.col("gnss_alt") == 0) | (F.abs(F.col("_differ") - F.col("_usual")) > STRAY))
-    return usual.withColumn("cleaned_alt", F.when(wrong, F.col("pressure_alt") + F.col("_usual"))).drop("_alive", "_differ", "_usual")
+    raw = F.when(F.col("gnss_alt") != 0, F.col("gnss_alt")).otherwise(F.col("pressure_alt"))
+    alone = known.filter("not _alive and _some").select(*keys, "fix_index", (F.col("time_ms") / 1000).alias("t"), raw.alias("alt"))
+    by_rate = rate_repairs(alone, keys)
+    both = usual.join(by_rate, [*keys, "fix_index"], "left")
+    cleaned = F.when(F.col("_some"), F.when(wrong, F.col("pressure_alt") + F.col("_usual")).otherwise(F.col("repaired")))
+    return both.withColumn("cleaned_alt", cleaned).drop("_alive", "_some", "_differ", "_usual", "repaired").select(*fixes.columns, "cleaned_alt")
