@@ -54,23 +54,15 @@ def test_query_over_edge_cases(spark, folder):
     assert got == Counter(con.execute(f"SELECT item_id, rank, doc_id, score FROM ({registry.SQL['op13_ranked_search']})").fetchall())
 
 
-def test_small_shards_and_what_is_not_opened(spark, folder, monkeypatch):
+def test_small_shards_and_blocks_of_items(spark, folder, monkeypatch):
     monkeypatch.setattr(ranked, "SHARD", 3)
     monkeypatch.setattr(ranked, "POSTINGS", 400)
     shards, count = ranked.build_index(spark.read.parquet(f"{folder}/documents.parquet"))
     assert shards.count() > 12
-    opened = []
-    visit = ranked._visit
-
-    def seen(shards, pairs, queries, k):
-        opened.append(pairs.count())
-        return visit(shards, pairs, queries, k)
-
-    monkeypatch.setattr(ranked, "_visit", seen)
+    monkeypatch.setattr(ranked, "ITEM_TERMS", 12)
     items = spark.read.parquet(f"{folder}/benchmark.parquet")
     got = Counter((r["item_id"], r["rank"], r["doc_id"], r["score"]) for r in ranked.search(shards, count, items).collect())
     assert got == plain([(i, t) for i, t, *_ in corpus()], ITEMS)
-    assert len(opened) == len(ranked.BANDS) and sum(opened) < shards.count() * len(set(ITEMS))
 
 
 def test_bisection_parts_topics():
@@ -81,3 +73,20 @@ def test_bisection_parts_topics():
     for i, own in enumerate(texts):
         sides[halves.leaf(own) >> 2].add(i % 2)
     assert sorted(map(len, sides.values())) == [1, 1]
+
+
+def test_shards_below_the_tenth_score_stay_closed(spark):
+    """Of forty shards only those that can hold one of the ten best are opened."""
+    from thermion.llm.common import written
+
+    docs = spark.createDataFrame([(i, f"common w{i % 40} " + "rare " * (i % 40 == 7)) for i in range(4000)], "doc_id long, text string")
+    shards, count = ranked.build_index(docs)
+    queries = {0: [("rare", 4000), ("common", 1)]}
+    context = spark.sparkContext
+    best = written(ranked._visited(shards, queries, 10), "best")
+    tenth = best.agg({"score": "min"}).first()[0]
+    could = sum(1 for r in shards.select("terms", "top").collect() if ranked._bounds(r["terms"], ranked.np.array(r["top"]), queries)[1][0] >= tenth)
+    assert best.count() == 10 and 0 < could < shards.count()
+    # a band from the tenth score up opens just those: each gives at most ten rows
+    band = context.broadcast(({0: tenth}, {0: 1 << 60}))
+    assert 10 <= ranked._visit(shards, context.broadcast(queries), band, 10).count() <= 10 * could

@@ -8,7 +8,7 @@ terms counted. A leaf's documents are one or more shards of about SHARD document
 
 A shard is a row: its terms, how many of its documents hold each, the highest impact of each, and the
 postings. For a query, the highest impacts add up to a bound of a shard's scores. Shards are visited in
-bands of falling bounds; a shard whose bound is below the tenth score found so far can hold no document of
+bands of falling bounds, each a pass over the index that leaves all other shards unopened; a shard whose bound is below the tenth score found so far can hold no document of
 the ten and is never opened, one whose bound equals it can (ties go to smaller ids) and is. So results are
 exact, whatever the halving.
 
@@ -43,11 +43,11 @@ FIT, FIT_CHARS, DEPTH = 2048, 2000, 6
 #: Rounds of exchange for each halving, at most.
 ROUNDS = 20
 #: A shard's documents and postings, about.
-SHARD, POSTINGS = 4096, 1_000_000
+SHARD, POSTINGS = 2048, 500_000
 #: Bands of bounds: a shard is visited in the first band whose share of the way down from the best bound to the tenth score it lies within.
-BANDS = (0.0, 0.3, 0.6, 1.0)
-#: Items whose scores one row of a shard's visits asks for.
-ITEMS = 256
+BANDS = (0.0, 0.4, 1.0)
+#: About so many terms of items are searched for together: what every task gets.
+ITEM_TERMS = 200_000
 #: The score's constants: a document's weight is 100 - B + B * its length by the mean length, B in percent (fixed values of the contract).
 B, UNIT, RISE = 75, 1_000_000_000, 8
 
@@ -214,70 +214,98 @@ def asked(items: DataFrame) -> DataFrame:
 
 
 def search(shards: DataFrame, count: int, items: DataFrame, k: int = K) -> DataFrame:
-    """(item_id, rank, doc_id, score) of the k best documents of a stored index for each of items (item_id, text)."""
+    """(item_id, rank, doc_id, score) of the k best documents of a stored index for each of items (item_id, text).
+
+    Items go in blocks of about ITEM_TERMS terms, which every task gets whole; no shard is shuffled.
+    """
     terms = asked(items)
-    held = shards.select("shard", F.explode(F.arrays_zip("terms", "df", "top")).alias("x")).select("shard", F.col("x.terms").alias("term"), "x.df", "x.top")
-    hits = written(held.join(terms.select("term").distinct(), "term", "left_semi"), "hits")
+    held = shards.select(F.explode(F.arrays_zip("terms", "df")).alias("x")).select(F.col("x.terms").alias("term"), "x.df")
     ratio = F.lit(float(2 * count + 2)) / (2 * F.sum("df") + 1).cast("double")
-    weights = hits.groupBy("term").agg(F.floor(1000 * F.log(ratio)).cast("long").alias("w"))
+    weights = held.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.floor(1000 * F.log(ratio)).cast("long").alias("w"))
     weighed = written(terms.join(weights, "term").select("item", "item_id", "term", (F.col("times") * F.col("w")).alias("w")), "weighed")
-    # a frequent word is a key of all shards and items: its shards are dealt over salts, its items sent to each
-    salts = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted = weighed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    reach = hits.withColumn("_salt", F.pmod(F.xxhash64("shard"), F.lit(salts)).cast("int")).join(salted, ["term", "_salt"])
-    bounds = written(reach.groupBy("item", "shard").agg(F.sum(F.col("w") * F.col("top")).alias("bound")).filter("bound > 0"), "bounds")
-    best = bounds.groupBy("item").agg(F.max("bound").alias("most"))
-    queries = written(weighed.groupBy("item").agg(F.collect_list(F.struct("term", "w")).alias("query")), "queries")
-    found, left = None, bounds
-    for share in BANDS:
-        if found is None:
-            reached = best.select("item", "most", F.lit(1).cast("long").alias("tenth"))
-        else:
-            tenth = found.groupBy("item").agg(F.when(F.count("*") == k, F.min("score")).alias("score"))
-            reached = best.join(tenth, "item", "left").select("item", "most", F.greatest(F.coalesce("score", F.lit(1)), F.lit(1)).alias("tenth"))
-        # all that can still matter is kept; of it, those in the band are visited now
-        open_ = written(left.join(reached, "item").filter("bound >= tenth"), "open")
-        now = F.col("bound") >= F.col("most") - (F.col("most") - F.col("tenth")) * share
-        left = open_.filter(~now).select("item", "shard", "bound")
-        visits = _visit(shards, open_.filter(now), queries, k)
-        found = written(_best(visits if found is None else found.unionByName(visits), k).drop("rank"), "found")
+    blocks, found = -(-weighed.count() // ITEM_TERMS) or 1, None
+    for b in range(blocks):
+        rows = weighed.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).select("item", "term", "w").collect()
+        queries: dict[int, list[tuple[str, int]]] = {}
+        for r in rows:
+            queries.setdefault(r["item"], []).append((r["term"], r["w"]))
+        own = _visited(shards, queries, k)
+        found = own if found is None else found.unionByName(own)
     ids = weighed.select("item", "item_id").distinct()
     return _best(found, k).join(ids, "item").select("item_id", "rank", F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id"), "score")
 
 
+def _bounds(terms: list[str], top: np.ndarray, queries: dict[int, list[tuple[str, int]]]) -> tuple[dict[str, int], dict[int, int]]:
+    """The places of a shard's terms, and what each query could reach in it."""
+    at = dict(zip(terms, range(len(terms)), strict=True))
+    reach = {t: int(top[at[t]]) for t in {t for q in queries.values() for t, _ in q} if t in at}
+    return at, {item: sum(w * reach[t] for t, w in q if t in reach) for item, q in queries.items()}
+
+
+def _numbers(x: pa.ListScalar) -> np.ndarray:
+    return x.values.to_numpy(zero_copy_only=False)
+
+
+def _visited(shards: DataFrame, queries: dict[int, list[tuple[str, int]]], k: int) -> DataFrame:
+    """(item, doc_id, score): the k best documents of each query with scores above 0, shards being visited in bands of falling bounds."""
+    context = shards.sparkSession.sparkContext
+    sent = context.broadcast(queries)  # about ITEM_TERMS terms
+
+    def most(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: Counter = Counter()
+        for batch in batches:
+            for terms, top in zip(*batch.columns, strict=True):
+                for item, n in _bounds(terms.as_py(), _numbers(top), sent.value)[1].items():
+                    best[item] = max(best[item], n)
+        if best:
+            yield _arrow(list(best.items()), pa.schema([("item", pa.int64()), ("bound", pa.int64())]))
+
+    reached = shards.select("terms", "top").mapInArrow(most, "item long, bound long").groupBy("item").agg(F.max("bound").alias("bound"))
+    high = {r["item"]: r["bound"] for r in reached.collect()}  # of a block of items
+    tenth, opened, found = dict.fromkeys(high, 1), {i: n + 1 for i, n in high.items()}, None
+    for share in BANDS:
+        cut = {i: max(1, n - int((n - tenth[i]) * share)) for i, n in high.items()}
+        visits = _visit(shards, sent, context.broadcast((cut, opened)), k)
+        found = written(_best(visits if found is None else found.unionByName(visits), k).drop("rank"), "found")
+        opened = {i: min(opened[i], cut[i]) for i in high}
+        tenth |= {r["item"]: r["tenth"] for r in found.groupBy("item").agg(F.min("score").alias("tenth"), F.count("*").alias("n")).filter(F.col("n") == k).collect()}
+    return found
+
+
 def _best(found: DataFrame, k: int) -> DataFrame:
     """The k best of found (item, doc_id, score), with their rank."""
     rank = F.row_number().over(W.partitionBy("item").orderBy(F.desc("score"), "doc_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def _visit(shards: DataFrame, pairs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(item, doc_id, score): for each of pairs (item, shard) the shard's k best documents with scores above 0."""
+def _visit(shards: DataFrame, sent, band, k: int) -> DataFrame:
+    """(item, doc_id, score): in each shard the k best documents of those queries whose bound lies in the band, from its cut up to what has been opened."""
     schema = pa.schema([("item", pa.int64()), ("doc_id", pa.int64()), ("score", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, (cut, opened) = sent.value, band.value
         for batch in batches:
-            for terms, df, ids, places, impacts, wanted in zip(*batch.columns, strict=True):
-                at = dict(zip(terms.as_py(), range(len(terms)), strict=True))
+            for terms, df, top, ids, places, impacts in zip(*batch.columns, strict=True):
+                at, bounds = _bounds(terms.as_py(), _numbers(top), queries)
+                wanted = [i for i, n in bounds.items() if n > 0 and cut[i] <= n < opened[i]]
+                if not wanted:
+                    continue
                 ids, places, impacts = (np.frombuffer(x.as_py(), t) for x, t in ((ids, np.int64), (places, np.uint32), (impacts, np.int32)))
-                ends = np.cumsum(df.values.to_numpy(zero_copy_only=False))
-                for one in wanted.as_py():
+                ends = np.cumsum(_numbers(df))
+                for item in wanted:
                     score = np.zeros(len(ids), np.int64)
-                    for x in one["query"]:
-                        i = at.get(x["term"])
+                    for term, w in queries[item]:
+                        i = at.get(term)
                         if i is not None:
                             own = slice(ends[i - 1] if i else 0, ends[i])
-                            score[places[own]] += x["w"] * impacts[own].astype(np.int64)
+                            score[places[own]] += w * impacts[own].astype(np.int64)
                     least = max(1, np.partition(score, -k)[-k] if len(score) > k else 1)
                     some = np.flatnonzero(score >= least)
                     some = some[np.lexsort((ids[some], -score[some]))][:k]
                     if len(some):
-                        yield _arrow(list(zip(repeat(one["item"]), ids[some].tolist(), score[some].tolist(), strict=False)), schema)
+                        yield _arrow(list(zip(repeat(item), ids[some].tolist(), score[some].tolist(), strict=False)), schema)
 
-    parts = F.lit(-(-queries.count() // ITEMS) or 1)
-    asks = pairs.join(queries, "item").groupBy("shard", F.pmod(F.xxhash64("item"), parts).alias("_part"))
-    wanted = written(asks.agg(F.collect_list(F.struct("item", "query")).alias("wanted")).select("shard", "wanted"), "visits")
-    return shards.join(wanted, "shard").select("terms", "df", "ids", "places", "impacts", "wanted").mapInArrow(run, "item long, doc_id long, score long")
+    return shards.select("terms", "df", "top", "ids", "places", "impacts").mapInArrow(run, "item long, doc_id long, score long")
 
 
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
