@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 # Fixed layout of a fix record: time, latitude, longitude, validity, pressure and satellite altitude.
 FIX = r"^B(\d{2})(\d{2})(\d{2})(\d{2})(\d{5})([NS])(\d{3})(\d{5})([EW])([AV])(-\d{4}|\d{5})(-\d{4}|\d{5})"
 DATE = r"^HFDTE(?:DATE:)?\s*(\d{2})(\d{2})(\d{2})"
+#: The outer radius of a declared area that stands for none (a fixed value).
+NO_LIMIT = 9_999_999
 HEADERS = {"PLT": "pilot", "GTY": "glider_type", "GID": "glider_id", "CID": "competition_id", "CCL": "competition_class"}
 
 
@@ -44,8 +46,8 @@ def headers(source: DataFrame) -> DataFrame:
 def fixes(source: DataFrame) -> DataFrame:
     """(track_file, fix_index, time_ms, lat, lon, pressure_alt, gnss_alt, valid) of the well-formed fixes of dated files.
 
-    Hours that fall from 18 or later to 6 or earlier begin the next day, once a file; fixes before the
-    latest time so far are dropped, equal times are kept.
+    Hours that fall from 18 or later to 6 or earlier begin the next day, once a file; times do not run
+    backwards (_disordered), equal times are kept.
     """
     g = lambda i: F.regexp_extract("line", FIX, i)
     rows = source.filter(F.col("line").rlike(FIX)).select(
@@ -67,15 +69,40 @@ def fixes(source: DataFrame) -> DataFrame:
     dated = turned.join(headers(source).select("track_file", "date").filter("date is not null"), "track_file")
     ms = (F.datediff("date", F.lit("1970-01-01").cast("date")).cast("long") + F.col("day")) * 86_400_000 + F.col("second").cast("long") * 1000
     timed = dated.withColumn("time_ms", ms)
-    # a fix later than the next one, which itself is not before the last, is a spike of the clock: it goes, not the rest of the flight
-    before, after = F.lag("time_ms").over(w), F.lead("time_ms").over(w)
-    spike = F.coalesce((after < F.col("time_ms")) & (before.isNull() | (after >= before)), F.lit(False))
-    steady = timed.withColumn("spike", spike).filter("not spike")
-    forward = steady.withColumn("latest", F.max("time_ms").over(w.rowsBetween(W.unboundedPreceding, -1))).filter("latest is null or time_ms >= latest")
+    out_of_order = _disordered(timed)
+    forward = timed.join(out_of_order, ["track_file", "line_no"], "left_anti")
     number = (F.row_number().over(w) - 1).cast("long")
     return forward.select("track_file", number.alias("fix_index"), "time_ms", "lat", "lon", "pressure_alt", "gnss_alt", "valid")
 
 
+def _disordered(timed: DataFrame) -> DataFrame:
+    """(track_file, line_no) of the fixes to drop, by a fold over a file's times, so that those left never run backwards.
+
+    A fix before the last one kept goes, unless it is not before the one kept ahead of that: then the last one
+    kept was a spike of the clock, and goes instead.
+    """
+    files = timed.groupBy("track_file").agg(F.array_sort(F.collect_list(F.struct("line_no", "time_ms"))).alias("times"))  # of one flight
+    far = F.lit(-(1 << 62)).cast("long")
+    begin = F.struct(far.alias("prior"), far.alias("last"), F.lit(-1).alias("line"), F.expr("cast(array() as array<int>)").alias("out"))
+
+    def add(s: Column, x: Column) -> Column:
+        onward = F.struct(s["last"].alias("prior"), x["time_ms"].alias("last"), x["line_no"].alias("line"), s["out"].alias("out"))
+        spike = F.struct(s["prior"].alias("prior"), x["time_ms"].alias("last"), x["line_no"].alias("line"), F.concat(s["out"], F.array(s["line"])).alias("out"))
+        late = F.struct(s["prior"].alias("prior"), s["last"].alias("last"), s["line"].alias("line"), F.concat(s["out"], F.array(x["line_no"])).alias("out"))
+        return F.when(x["time_ms"] >= s["last"], onward).when(x["time_ms"] >= s["prior"], spike).otherwise(late)
+
+    return files.select("track_file", F.explode(F.aggregate("times", begin, add, lambda s: s["out"])).alias("line_no"))
+
+
+def events(source: DataFrame) -> DataFrame:
+    """(track_file, line_no, second of its day, code, description) of event records."""
+    layout = r"^E(\d{2})(\d{2})(\d{2})(.{3})(.*)$"
+    g = lambda i: F.regexp_extract("line", layout, i)
+    second = g(1).cast("int") * 3600 + g(2).cast("int") * 60 + g(3).cast("int")
+    sane = g(1).cast("int").between(0, 23) & g(2).cast("int").between(0, 59) & g(3).cast("int").between(0, 59)
+    return source.filter(F.col("line").rlike(layout)).filter(sane).select("track_file", "line_no", second.alias("second"), g(4).alias("code"), F.trim(g(5)).alias("description"))
+
+
 def report(source: DataFrame) -> DataFrame:
     """(track_file, fixes, malformed): fix records by whether they follow the layout."""
     good = F.col("line").rlike(FIX)
@@ -83,11 +110,25 @@ def report(source: DataFrame) -> DataFrame:
 
 
 def declared(source: DataFrame) -> DataFrame:
-    """(track_file, points): the declared task's points, in order: array<struct<line_no, lat, lon, name>>."""
+    """(track_file, points): the declared task's points, in order: array<struct<line_no, lat, lon, name, role, area>>.
+
+    The first is the take-off, the second the start, the last the landing, the one before it the finish (of three or
+    more points, and four or more); those between are turnpoints. A name may hold an area: its radii, from and to in metres
+    (null: no outer one), its bearings and its kind.
+    """
     layout = r"^C(\d{2})(\d{5})([NS])(\d{3})(\d{5})([EW])(.*)$"
+    inside = r"^(\d{7})(\d{7})(\d{6})(\d{6})(STARTAREA|TURNAREA|FINISHAREA)\s*(.*)$"
     g = lambda i: F.regexp_extract("line", layout, i)
-    points = source.filter(F.col("line").rlike(layout)).select("track_file", F.struct("line_no", _degrees(g(1), g(2), g(3)).alias("lat"), _degrees(g(4), g(5), g(6)).alias("lon"), F.trim(g(7)).alias("name")).alias("p"))
-    return points.groupBy("track_file").agg(F.array_sort(F.collect_list("p")).alias("points"))
+    text = F.trim(g(7))
+    a = lambda i: F.regexp_extract(text, inside, i)
+    outer = a(2).try_cast("double")
+    area = F.when(a(5) != "", F.struct(a(1).try_cast("double").alias("inner"), F.when(outer < NO_LIMIT, outer).alias("outer"), (a(3).try_cast("double") / 1000).alias("bearing1"), (a(4).try_cast("double") / 1000).alias("bearing2"), a(5).alias("kind")))
+    name = F.when(a(5) != "", F.trim(F.replace(a(6), F.lit("_"), F.lit(" ")))).otherwise(text)
+    rows = source.filter(F.col("line").rlike(layout)).select("track_file", "line_no", _degrees(g(1), g(2), g(3)).alias("lat"), _degrees(g(4), g(5), g(6)).alias("lon"), name.alias("name"), area.alias("area"))
+    by, of = W.partitionBy("track_file").orderBy("line_no"), W.partitionBy("track_file")
+    placed = rows.withColumns({"_k": F.row_number().over(by), "_n": F.count("*").over(of)})
+    role = F.when(F.col("_k") == 1, "takeoff").when(F.col("_k") == 2, "start").when(F.col("_k") == F.col("_n"), "landing").when(F.col("_k") == F.col("_n") - 1, "finish").otherwise("turnpoint")
+    return placed.groupBy("track_file").agg(F.array_sort(F.collect_list(F.struct("line_no", "lat", "lon", "name", role.alias("role"), "area"))).alias("points"))
 
 
 def written_fixes(rows: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.projections import from_grid, to_grid
 from .igc import lines
 
 COLUMNS = ("file", "code", "name", "lat", "lon", "alt", "radius")
@@ -91,14 +92,59 @@ def read_kml(source: DataFrame) -> DataFrame:
     return _rows(_elements(source, "Placemark"), code=_inside("name"), name=F.coalesce(F.nullif(_inside("description"), F.lit("")), _inside("name")), lat=part(1), lon=part(0), alt=part(2))
 
 
-READERS = {"csv": read_csv, "cup": read_cup, "ozi": read_ozi, "compegps": read_compegps, "gpx": read_gpx, "kml": read_kml}
+def _words() -> Column:
+    return F.split(F.trim("line"), r"\s+")
+
+
+def _tail(words: Column, at: Column) -> tuple[Column, Column]:
+    """(altitude, name) of a line's words from the at-th (from 0) on: the altitude may be missing."""
+    first = F.get(words, at)
+    number = first.rlike(r"^[+-]?\d+(\.\d+)?$")
+    rest = F.slice(words, F.when(number, at + 2).otherwise(at + 1), F.size(words))
+    return F.when(number, F.round(first.try_cast("double"))).otherwise(0.0), F.array_join(rest, " ")
+
+
+def _plain(source: DataFrame) -> DataFrame:
+    return source.filter(~F.trim("line").rlike(r"^[$#*]") & (F.trim("line") != "")).withColumn("w", _words())
+
+
+def _code(words: Column, upto: Column) -> Column:
+    return F.array_join(F.slice(words, F.lit(1), upto), " ")
+
+
+def read_geo(source: DataFrame) -> DataFrame:
+    """$FormatGEO: CODE N dd mm ss.ss E ddd mm ss.ss alt name."""
+    at = lambda letters, since: F.get(F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i > since) & F.upper(F.get("w", i)).isin(*letters)), F.lit(0))
+    placed = _plain(source).withColumn("i", at("NS", F.lit(0))).withColumn("j", at("EW", F.col("i"))).filter("i >= 1 and j + 3 < size(w)")
+    part = lambda i, k: F.get("w", F.col(i) + k).try_cast("double")
+    angle = lambda i, neg: (part(i, 1) + part(i, 2) / 60 + part(i, 3) / 3600) * F.when(F.upper(F.get("w", F.col(i))) == neg, -1).otherwise(1)
+    alt, name = _tail(F.col("w"), F.col("j") + 4)
+    code = _code(F.col("w"), F.col("i"))
+    return _rows(placed, code=code, name=F.coalesce(F.nullif(name, F.lit("")), code), lat=angle("i", "S"), lon=angle("j", "W"), alt=alt)
+
+
+def read_utm(source: DataFrame) -> DataFrame:
+    """$FormatUTM: CODE zone and band, easting, northing, alt, name."""
+    at = F.get(F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i).rlike(r"(?i)^\d{1,2}[C-HJ-NP-X]$")), F.lit(0))
+    placed = _plain(source).withColumn("i", at).filter("i >= 1 and i + 2 < size(w)")
+    zone = F.get("w", F.col("i"))
+    part = lambda k: F.get("w", F.col("i") + k).try_cast("double")
+    lat, lon = from_grid(F.regexp_extract(zone, r"^(\d+)", 1).cast("int"), F.upper(F.right(zone, F.lit(1))) >= "N", part(1), part(2))
+    alt, name = _tail(F.col("w"), F.col("i") + 3)
+    code = _code(F.col("w"), F.col("i"))
+    return _rows(placed, code=code, name=F.coalesce(F.nullif(name, F.lit("")), code), lat=lat, lon=lon, alt=alt)
+
+
+READERS = {"geo": read_geo, "utm": read_utm, "csv": read_csv, "cup": read_cup, "ozi": read_ozi, "compegps": read_compegps, "gpx": read_gpx, "kml": read_kml}
 
 
 def formats(source: DataFrame) -> DataFrame:
     """(track_file, format) by content."""
     head = source.filter("line_no < 20").groupBy("track_file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("head"))
     kind = (
-        F.when(F.lower("head").contains("<gpx"), "gpx")
+        F.when(F.col("head").rlike(r"(?im)^\s*\$FormatGEO"), "geo")
+        .when(F.col("head").rlike(r"(?im)^\s*\$FormatUTM"), "utm")
+        .when(F.lower("head").contains("<gpx"), "gpx")
         .when(F.lower("head").contains("<kml"), "kml")
         .when(F.col("head").startswith("OziExplorer"), "ozi")
         .when(F.col("head").rlike(r"(?im)^\s*\"?(name|title)\"?,\"?code"), "cup")
@@ -125,6 +171,14 @@ def _packed(x: Column, digits: int, sides: str) -> Column:
     return F.concat(F.lpad(F.floor(thousandths / 60_000).cast("string"), digits, "0"), F.lpad(F.floor(minutes / 1000).cast("string"), 2, "0"), F.lit("."), F.lpad((minutes % 1000).cast("string"), 3, "0"), F.when(x < 0, sides[1]).otherwise(sides[0]))
 
 
+def _dms(x: Column, digits: int, sides: str) -> Column:
+    """Degrees as letter, degrees, minutes, seconds in hundredths."""
+    hundredths = F.round(F.abs(x) * 360_000).cast("long")
+    pad = lambda v, n: F.lpad(v.cast("string"), n, "0")
+    seconds = F.concat(pad(F.floor(hundredths / 100) % 60, 2), F.lit("."), pad(hundredths % 100, 2))
+    return F.concat_ws(" ", F.when(x < 0, sides[1]).otherwise(sides[0]), pad(F.floor(hundredths / 360_000), digits), pad(F.floor(hundredths / 6000) % 60, 2), seconds)
+
+
 def _escaped(x: Column) -> Column:
     for letter, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         x = F.replace(x, F.lit(letter), F.lit(entity))
@@ -142,7 +196,13 @@ WRITERS: dict[str, tuple[str, Column | None, str]] = {}
 def writers() -> dict[str, tuple[str, Column, str]]:
     quote = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
     code, name = F.col("code"), F.coalesce("name", "code")
+    grid = to_grid(F.col("lat"), F.col("lon"))
+    token = F.rpad(F.regexp_replace(code, r"\s+", "_"), 9, " ")
+    height = F.round(F.coalesce(F.col("alt").cast("double"), F.lit(0.0))).cast("long").cast("string")
+    metre = lambda c: F.lpad(F.round(c).cast("long").cast("string"), 7, "0")
     return {
+        "geo": ("$FormatGEO", F.concat(token, F.lit(" "), _dms(F.col("lat"), 2, "NS"), F.lit("    "), _dms(F.col("lon"), 3, "EW"), F.lit("   "), F.lpad(height, 4, " "), F.lit("  "), name), ""),
+        "utm": ("$FormatUTM", F.concat(token, F.lit(" "), grid["zone"].cast("string"), grid["band"], F.lit("   "), metre(grid["easting"]), F.lit("   "), metre(grid["northing"]), F.lit("   "), F.lpad(height, 3, " "), F.lit("  "), name), ""),
         "csv": ("Name,Latitude,Longitude,Description,Proximity,Altitude", F.concat_ws(",", F.translate(code, ",", "_"), _number("lat"), _number("lon"), F.translate(name, ",", " "), _number("radius", 0), _number("alt", 0)), ""),
         "cup": ("name,code,country,lat,lon,elev,style", F.concat_ws(",", quote(name), quote(code), F.lit(""), _packed(F.col("lat"), 2, "NS"), _packed(F.col("lon"), 3, "EW"), F.concat(_number("alt", 1), F.lit("m")), F.lit("1")), ""),
         "ozi": ("OziExplorer Waypoint File Version 1.1\nWGS 84\nReserved 2\nReserved 3", F.concat_ws(",", F.lit("-1"), code, _number("lat"), _number("lon"), F.lit("0"), F.lit("0"), F.lit("1"), F.lit("3"), F.lit("0"), F.lit("65535"), F.translate(name, ",", " "), F.lit("0"), F.lit("0"), F.lit("0"), F.format_string("%.4f", F.coalesce("alt", F.lit(0.0)) / FEET)), ""),
