@@ -22,7 +22,9 @@ node is filed under all keys within one bit of its segment, so segments within t
 length of a segment follows the number of nodes, so that unrelated nodes seldom share a key, and the
 number of segments follows from the share of pairs at the similarity that have to meet (MEET).
 Complete distances are verified as before, with a radius that CAUGHT standard deviations of the
-distance at the similarity stay within: pairs somewhat less similar pass too.
+distance at the similarity stay within. Pairs somewhat less similar pass that too, so the similarity of what
+is left is then worked out from the texts' sets of shingles: no link is below it. A run of more than 48 nodes links each with
+the CLOSEST ones and the first of its group; what these miss, other segments' runs make up for.
 
 Defined results: null, empty and blank texts have fingerprint zero, linked like any other; null ids
 take part but name no component unless all ids are null (component null); repeated rows are rows
@@ -49,6 +51,10 @@ WIDTH, RADIUS, SEGMENTS, SEED = 4, 4, 3, 42
 SHINGLE, WIDE, SIMILARITY, MEET, CAUGHT = 5, 4, 0.8, 0.98, 1.7
 #: Rows of one key that a task takes at once.
 RUN = 4096
+#: Nodes of a long run that each is linked with, besides the first of its group, where links are verified by their texts.
+CLOSEST = 3
+#: Pairs of one node that a task verifies at once, about.
+FEW = 256
 #: Shingles hashed at once: bounds the memory of a long text.
 STEP = 1 << 18
 #: Pairs of small runs verified at once.
@@ -129,12 +135,20 @@ def _probes(fp: Column, radius: int, segments: int) -> Column:
     return F.concat(*[filed(*x) for x in asked])
 
 
-def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    """Whether each row of words of a is within radius of each of b."""
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The bits by which each row of words of a differs from each of b."""
     d = np.zeros((len(a), len(b)), np.uint16)
     for k in range(a.shape[1]):
         d += np.bitwise_count((a[:, None, k] ^ b[None, :, k]).view(np.uint64))
-    return d <= radius
+    return d
+
+
+def _closest(a: np.ndarray, b: np.ndarray, d: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links from each of b to its CLOSEST of a within radius, itself left out."""
+    d = np.where(a[:, None] == b[None, :], np.uint16(radius + 1), d)
+    first = np.argpartition(d, min(CLOSEST, len(a)) - 1, axis=0)[:CLOSEST]
+    held = np.take_along_axis(d, first, 0) <= radius
+    return np.broadcast_to(b, first.shape)[held], a[first[held]]
 
 
 def _stars(a: np.ndarray, b: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +193,10 @@ def _verified(fp: np.ndarray, centre: np.ndarray, run: np.ndarray, radius: int)
         rows = slice(starts[i], starts[i] + sizes[i])
         held = centre[rows]
         if held.any():
-            yield _stars(ids[rows][held], ids[rows], _near(fp[rows][held], fp[rows], radius))
+            d = _distances(fp[rows][held], fp[rows])
+            yield _stars(ids[rows][held], ids[rows], d <= radius)
+            if fp.shape[1] > 1:  # links that are verified afterwards must not hang on one node
+                yield _closest(ids[rows][held], ids[rows], d, radius)
 
 
 def _read_runs(batches: Iterator[pa.RecordBatch], radius: int, most: int, words: int) -> Iterator[pa.RecordBatch]:
@@ -308,12 +325,61 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, s
     return _grouped(fps, nodes, linked(nodes.select("fp"), radius, segments))
 
 
+def shingle_set(text: str | None, width: int = SHINGLE) -> np.ndarray:
+    """The different shingles' hashes, ascending."""
+    own = (text or "").encode("utf-8", "replace").lower().split()
+    n = max(1, len(own) - width + 1) if own else 0
+    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(own[i : i + width])) for i in range(n)), np.uint64, n))
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, asked: DataFrame, width: int) -> DataFrame:
+    """(fp, shingles binary) of the first text of each of the nodes (fp, first) asked for (fp), stored."""
+    wanted = nodes.join(asked, "fp", "left_semi").select("fp", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    rows = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_id"]) & (texts["text_hash"] == wanted["_hash"])).select("fp", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for fp, text in zip(*batch.columns, strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([fp.as_py()], pa.int64()), pa.array([shingle_set(text.as_py(), width).tobytes()], pa.binary())], names=["fp", "shingles"])
+
+    return written(rows.mapInArrow(run, "fp long, shingles binary").dropDuplicates(["fp"]), "sets")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """pairs (u, v) with `alike`: whether their sets' Jaccard similarity is as high, stored. A node of many pairs is copied to several tasks."""
+    many = pairs.groupBy("v").agg(F.ceil(F.count("*") / FEW).cast("int").alias("n"))
+    theirs = sets.join(many, sets["fp"] == many["v"]).select("v", F.col("shingles").alias("b"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt"))
+    dealt = pairs.join(many, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("n")).cast("int").alias("salt"))
+    ours = dealt.join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = []
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = (np.frombuffer(x.as_py(), np.uint64) for x in (a, b))
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                alike.append(both >= similarity * (len(a) + len(b) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike, pa.bool_())], names=["u", "v", "alike"])
+
+    return written(ours.join(theirs, ["v", "salt"]).select("u", "v", "a", "b").mapInArrow(run, "u long, v long, alike boolean"), "alike")
+
+
+def verified(links: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Those of the different links (u, v) whose texts are as similar, by their whole sets of shingles."""
+    return _alike(links, sets, similarity).filter("alike").select("u", "v")
+
+
 def similar(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, text_hash, fp, component_id) of every row of docs (doc_id, text): groups of texts of the similarity, by wide fingerprints."""
+    """(doc_id, text_hash, fp, component_id) of every row of docs (doc_id, text): groups of texts of the similarity, met by wide fingerprints and verified by their shingles."""
     fps = written(fingerprints(docs, width, WIDE), "fingerprints")
     own = [f"w{k}" for k in range(WIDE)]
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), *[F.min(w).alias(w) for w in own]), "nodes")
-    return _grouped(fps, nodes, linked_wide(nodes, similarity))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), first, *[F.min(w).alias(w) for w in own]), "nodes")
+    links = written(linked_wide(nodes, similarity).distinct(), "pairs")
+    asked = links.select(F.col("u").alias("fp")).union(links.select(F.col("v").alias("fp"))).distinct()
+    sets = _sets(docs, nodes, asked, width)
+    return _grouped(fps, nodes, verified(links, sets, similarity))
 
 
 def deduplicated(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
