@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,26 +36,50 @@ def _middle(zone: Column) -> Column:
     return zone * 6 - 183
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def to_grid(lat: Column, lon: Column) -> dict[str, Column]:
     """zone, band, easting, northing of a place in degrees."""
     zone = zone_of(lon)
-    s, dl = F.sin(F.radians(lat)), F.radians(lon - _middle(zone))
-    t = F.sinh(F.atanh(s) - E * F.atanh(s * E))
-    x, y = F.atan2(t, F.cos(dl)), F.atanh(F.sin(dl) / F.sqrt(1 + t * t))
-    east, north = y, x
-    for j, c in enumerate(FORWARD, 1):
-        east, north = east + c * F.cos(x * (2 * j)) * F.sinh(y * (2 * j)), north + c * F.sin(x * (2 * j)) * F.cosh(y * (2 * j))
-    return {"zone": zone, "band": band_of(lat), "easting": FALSE_EAST + SCALE * MEAN * east, "northing": SCALE * MEAN * north + F.when(lat < 0, FALSE_NORTH).otherwise(0.0)}
-
-
-def from_grid(zone: Column, northern: Column, easting: Column, northing: Column) -> tuple[Column, Column]:
-    """(lat, lon) in degrees."""
-    x, y = (northing - F.when(northern, 0.0).otherwise(FALSE_NORTH)) / (SCALE * MEAN), (easting - FALSE_EAST) / (SCALE * MEAN)
-    u, v = x, y
-    for j, c in enumerate(BACK, 1):
-        u, v = u - c * F.sin(x * (2 * j)) * F.cosh(y * (2 * j)), v - c * F.cos(x * (2 * j)) * F.sinh(y * (2 * j))
-    conformal = F.asin(F.sin(u) / F.cosh(v))
-    lat = conformal
-    for j, c in enumerate(LATITUDE, 1):
-        lat = lat + c * F.sin(conformal * (2 * j))
-    return F.degrees(lat), _middle(zone) + F.degrees(F.atan2(F.sinh(v), F.cos(u)))
+
+    def cylinder(g: Column) -> Column:
+        x, y = F.atan2(g["t"], F.cos(g["dl"])), F.atanh(F.sin(g["dl"]) / F.sqrt(1 + g["t"] * g["t"]))
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    def metres(p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        east, north = y, x
+        for j, c in enumerate(FORWARD, 1):
+            east, north = east + c * F.cos(x * (2 * j)) * F.sinh(y * (2 * j)), north + c * F.sin(x * (2 * j)) * F.cosh(y * (2 * j))
+        return F.struct((FALSE_EAST + SCALE * MEAN * east).alias("easting"), (SCALE * MEAN * north).alias("northing"))
+
+    s = F.sin(F.radians(lat))
+    globe = F.struct(F.sinh(F.atanh(s) - E * F.atanh(s * E)).alias("t"), F.radians(lon - _middle(zone)).alias("dl"))
+    placed = _once(_once(globe, cylinder), metres)
+    return {"zone": zone, "band": band_of(lat), "easting": placed["easting"], "northing": placed["northing"] + F.when(lat < 0, FALSE_NORTH).otherwise(0.0)}
+
+
+def from_grid(zone: Column, northern: Column, easting: Column, northing: Column) -> Column:
+    """struct<lat, lon> in degrees."""
+
+    def turned(p: Column) -> Column:
+        u, v = p["x"], p["y"]
+        for j, c in enumerate(BACK, 1):
+            u, v = u - c * F.sin(p["x"] * (2 * j)) * F.cosh(p["y"] * (2 * j)), v - c * F.cos(p["x"] * (2 * j)) * F.sinh(p["y"] * (2 * j))
+        return F.struct(u.alias("u"), v.alias("v"))
+
+    def globe(g: Column) -> Column:
+        return F.struct(F.asin(F.sin(g["u"]) / F.cosh(g["v"])).alias("q"), F.degrees(F.atan2(F.sinh(g["v"]), F.cos(g["u"]))).alias("dl"))
+
+    def geodetic(g: Column) -> Column:
+        lat = g["q"]
+        for j, c in enumerate(LATITUDE, 1):
+            lat = lat + c * F.sin(g["q"] * (2 * j))
+        return F.struct(F.degrees(lat).alias("lat"), g["dl"].alias("lon"))
+
+    scaled = F.struct(((northing - F.when(northern, 0.0).otherwise(FALSE_NORTH)) / (SCALE * MEAN)).alias("x"), ((easting - FALSE_EAST) / (SCALE * MEAN)).alias("y"))
+    place = _once(_once(_once(scaled, turned), globe), geodetic)
+    return F.struct(place["lat"].alias("lat"), (_middle(zone) + place["lon"]).alias("lon"))

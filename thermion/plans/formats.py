@@ -31,8 +31,8 @@ def grid_places(spark, d):
     k = F.col("c_custkey")
     places = table(spark, d, "customer").select(k, (k * 37 % 15900 / 100.0 - 79.5).alias("lat0"), (k * 101 % 35990 / 100.0 - 179.95).alias("lon0"))
     grid = places.select("c_custkey", "lat0", *[c.alias(n) for n, c in p.to_grid(F.col("lat0"), F.col("lon0")).items()])
-    lat, lon = p.from_grid(F.col("zone"), F.col("lat0") >= 0, F.col("easting"), F.col("northing"))
-    return grid.select("c_custkey", "zone", "band", shown(F.col("easting"), 3).alias("easting"), shown(F.col("northing"), 3).alias("northing"), shown(lat, 7).alias("lat"), shown(lon, 7).alias("lon"))
+    grid = grid.withColumn("place", p.from_grid(F.col("zone"), F.col("lat0") >= 0, F.col("easting"), F.col("northing")))
+    return grid.select("c_custkey", "zone", "band", shown(F.col("easting"), 3).alias("easting"), shown(F.col("northing"), 3).alias("northing"), shown(F.col("place.lat"), 7).alias("lat"), shown(F.col("place.lon"), 7).alias("lon"))
 
 
 @query("""WITH v AS (SELECT l_orderkey, l_linenumber, [l_partkey * 137 - 9000000, 4000000 - l_suppkey * 7919, l_quantity::BIGINT, l_extendedprice::BIGINT] AS n FROM lineitem),

@@ -118,9 +118,10 @@ def read_geo(source: DataFrame) -> DataFrame:
     placed = _plain(source).withColumn("i", at("NS", F.lit(0))).withColumn("j", at("EW", F.col("i"))).filter("i >= 1 and j + 3 < size(w)")
     part = lambda i, k: F.get("w", F.col(i) + k).try_cast("double")
     angle = lambda i, neg: (part(i, 1) + part(i, 2) / 60 + part(i, 3) / 3600) * F.when(F.upper(F.get("w", F.col(i))) == neg, -1).otherwise(1)
+    placed = placed.withColumns({"lat": angle("i", "S"), "lon": angle("j", "W")})
     alt, name = _tail(F.col("w"), F.col("j") + 4)
     code = _code(F.col("w"), F.col("i"))
-    return _rows(placed, code=code, name=F.coalesce(F.nullif(name, F.lit("")), code), lat=angle("i", "S"), lon=angle("j", "W"), alt=alt)
+    return _rows(placed, code=code, name=F.coalesce(F.nullif(name, F.lit("")), code), lat=F.col("lat"), lon=F.col("lon"), alt=alt)
 
 
 def read_utm(source: DataFrame) -> DataFrame:
@@ -129,10 +130,11 @@ def read_utm(source: DataFrame) -> DataFrame:
     placed = _plain(source).withColumn("i", at).filter("i >= 1 and i + 2 < size(w)")
     zone = F.get("w", F.col("i"))
     part = lambda k: F.get("w", F.col("i") + k).try_cast("double")
-    lat, lon = from_grid(F.regexp_extract(zone, r"^(\d+)", 1).cast("int"), F.upper(F.right(zone, F.lit(1))) >= "N", part(1), part(2))
+    grid = placed.withColumns({"zone": F.regexp_extract(zone, r"^(\d+)", 1).cast("int"), "northern": F.upper(F.right(zone, F.lit(1))) >= "N", "east": part(1), "north": part(2)})
+    found = grid.withColumn("place", from_grid(F.col("zone"), F.col("northern"), F.col("east"), F.col("north")))
     alt, name = _tail(F.col("w"), F.col("i") + 3)
     code = _code(F.col("w"), F.col("i"))
-    return _rows(placed, code=code, name=F.coalesce(F.nullif(name, F.lit("")), code), lat=lat, lon=lon, alt=alt)
+    return _rows(found, code=code, name=F.coalesce(F.nullif(name, F.lit("")), code), lat=F.col("place.lat"), lon=F.col("place.lon"), alt=alt)
 
 
 READERS = {"geo": read_geo, "utm": read_utm, "csv": read_csv, "cup": read_cup, "ozi": read_ozi, "compegps": read_compegps, "gpx": read_gpx, "kml": read_kml}
@@ -197,12 +199,12 @@ def writers() -> dict[str, tuple[str, Column, str]]:
     quote = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
     code, name = F.col("code"), F.coalesce("name", "code")
     grid = to_grid(F.col("lat"), F.col("lon"))
-    token = F.rpad(F.regexp_replace(code, r"\s+", "_"), 9, " ")
-    height = F.round(F.coalesce(F.col("alt").cast("double"), F.lit(0.0))).cast("long").cast("string")
-    metre = lambda c: F.lpad(F.round(c).cast("long").cast("string"), 7, "0")
+    token = F.format_string("%-9s", F.regexp_replace(code, r"\s+", "_"))
+    height = lambda n: F.format_string(f"%{n}d", F.round(F.coalesce(F.col("alt").cast("double"), F.lit(0.0))).cast("long"))
+    metre = lambda c: F.format_string("%07d", F.round(c).cast("long"))
     return {
-        "geo": ("$FormatGEO", F.concat(token, F.lit(" "), _dms(F.col("lat"), 2, "NS"), F.lit("    "), _dms(F.col("lon"), 3, "EW"), F.lit("   "), F.lpad(height, 4, " "), F.lit("  "), name), ""),
-        "utm": ("$FormatUTM", F.concat(token, F.lit(" "), grid["zone"].cast("string"), grid["band"], F.lit("   "), metre(grid["easting"]), F.lit("   "), metre(grid["northing"]), F.lit("   "), F.lpad(height, 3, " "), F.lit("  "), name), ""),
+        "geo": ("$FormatGEO", F.concat(token, F.lit(" "), _dms(F.col("lat"), 2, "NS"), F.lit("    "), _dms(F.col("lon"), 3, "EW"), F.lit("   "), height(4), F.lit("  "), name), ""),
+        "utm": ("$FormatUTM", F.concat(token, F.lit(" "), grid["zone"].cast("string"), grid["band"], F.lit("   "), metre(grid["easting"]), F.lit("   "), metre(grid["northing"]), F.lit("   "), height(3), F.lit("  "), name), ""),
         "csv": ("Name,Latitude,Longitude,Description,Proximity,Altitude", F.concat_ws(",", F.translate(code, ",", "_"), _number("lat"), _number("lon"), F.translate(name, ",", " "), _number("radius", 0), _number("alt", 0)), ""),
         "cup": ("name,code,country,lat,lon,elev,style", F.concat_ws(",", quote(name), quote(code), F.lit(""), _packed(F.col("lat"), 2, "NS"), _packed(F.col("lon"), 3, "EW"), F.concat(_number("alt", 1), F.lit("m")), F.lit("1")), ""),
         "ozi": ("OziExplorer Waypoint File Version 1.1\nWGS 84\nReserved 2\nReserved 3", F.concat_ws(",", F.lit("-1"), code, _number("lat"), _number("lon"), F.lit("0"), F.lit("0"), F.lit("1"), F.lit("3"), F.lit("0"), F.lit("65535"), F.translate(name, ",", " "), F.lit("0"), F.lit("0"), F.lit("0"), F.format_string("%.4f", F.coalesce("alt", F.lit(0.0)) / FEET)), ""),
