@@ -390,7 +390,29 @@ def points_pipeline(spark, d):
     return scored.select("task", "pilot", shown(F.col("distance_points"), 4).alias("distance_points"), shown(F.col("time_points"), 4).alias("time_points"), "total", "rank")
 
 
-@query()
+@query(f"""
+WITH {FLIGHTS},
+fl AS (SELECT task, pilot, goal AND flying AS goal, goal AS ess, flying, CASE WHEN flying THEN greatest(distance, 5000) ELSE 0 END AS distance, CASE WHEN goal THEN time END AS time FROM flights),
+field AS (SELECT task, count(*) AS present, count(*) FILTER (flying) AS n, count(*) FILTER (goal) AS in_goal, count(*) FILTER (flying AND ess) AS at_ess, max(distance) FILTER (flying) AS best, min(time) FILTER (flying AND ess AND time > 0) AS best_time, sum(greatest(0, distance - 5000)) FILTER (flying) AS over_min,
+  count(*) FILTER (flying AND NOT goal) AS landed, coalesce(max(greatest(floor(distance / 100), 50)) FILTER (flying AND NOT goal), 50)::BIGINT AS last FROM fl GROUP BY 1),
+va AS (SELECT *, in_goal / n AS g, least(1.0, n / (present * 0.96)) AS lr, least(1.0, greatest(0.0, over_min / (n * ((1.3 * 65000 + greatest(0, 0.3 * (best - 70000))) / 2)))) AS dv, least(1.0, CASE WHEN best_time IS NOT NULL THEN best_time / 5400 ELSE best / 70000 END) AS tr FROM field),
+da AS (SELECT *, least(1.0, greatest(0.0, 0.028 * lr + 2.917 * lr**2 - 1.944 * lr**3)) * dv * least(1.0, greatest(0.0, -0.271 + 2.912 * tr - 2.098 * tr**2 + 0.457 * tr**3)) AS v, 0.9 - 1.665 * g + 1.713 * g**2 - 0.587 * g**3 AS dw FROM va),
+av AS (SELECT *, 1000 * v * dw AS ad, 1000 * v * CASE WHEN at_ess = 0 THEN 0 ELSE greatest(0.0, (1 - dw) * 7 / 8) END AS at0, 1000 * v * CASE WHEN at_ess = 0 THEN 0 ELSE (1 - dw) / 8 END AS aa FROM da),
+sized AS (SELECT task, landed, ((last + 10) // 10) * 10 AS size, greatest(30, floor(30 * (best / 1000) / greatest(landed, 1) + 0.5))::BIGINT AS look FROM field),
+hist AS (SELECT task, greatest(floor(distance / 100), 50)::BIGINT AS slot, count(*) AS n FROM fl WHERE flying AND NOT goal GROUP BY ALL UNION ALL SELECT task, 50, 1 FROM sized WHERE landed = 0),
+grid AS (SELECT task, look, unnest(range(0, size)) AS slot FROM sized),
+hard AS (SELECT g.task, g.slot, coalesce((SELECT sum(n) FROM hist h WHERE h.task = g.task AND h.slot BETWEEN g.slot AND g.slot + g.look - 1), 0) AS difficulty FROM grid g),
+rel AS (SELECT *, 0.5 * difficulty / sum(difficulty) OVER (PARTITION BY task) AS relative FROM hard),
+cum AS (SELECT *, sum(relative) OVER (PARTITION BY task ORDER BY slot ROWS UNBOUNDED PRECEDING) AS total, sum(CASE WHEN slot <= 50 THEN relative END) OVER (PARTITION BY task) AS seed FROM rel),
+st AS (SELECT task, slot, CASE WHEN slot <= 50 THEN seed ELSE total END AS score FROM cum),
+wi AS (SELECT fl.*, av.* EXCLUDE (task), a.score AS here, b.score AS after, distance / 100 - floor(distance / 100) AS part, row_number() OVER (PARTITION BY fl.task ORDER BY time NULLS LAST, pilot) AS pos FROM fl JOIN av USING (task)
+  LEFT JOIN st a ON a.task = fl.task AND a.slot = floor(distance / 100) LEFT JOIN st b ON b.task = fl.task AND b.slot = floor(distance / 100) + 1),
+sh AS (SELECT *, CASE WHEN goal THEN 1.0 WHEN ess THEN 0.8 ELSE 0 END AS kept, CASE WHEN goal THEN 1.0 ELSE 0.5 * distance / best + coalesce(CASE WHEN after > here THEN here + (after - here) * part ELSE here END, 0.5) END AS share, 1 - (pos - 1) / at_ess AS q FROM wi),
+sc AS (SELECT task, pilot, CASE WHEN flying AND best > 0 THEN share ELSE 0 END * ad AS dp,
+  CASE WHEN ess AND time > 0 THEN CASE WHEN time <= best_time THEN 1.0 ELSE greatest(0.0, 1 - pow((time - best_time) / 3600 / sqrt(best_time / 3600), 5.0 / 6)) END * kept ELSE 0 END * at0 AS tp,
+  CASE WHEN ess AND time IS NOT NULL THEN (0.2 + 0.037 * q + 0.13 * q * q + 0.633 * q * q * q) * kept ELSE 0 END * aa AS ap FROM sh),
+tt AS (SELECT *, floor((dp + tp + ap) * 10 + 0.5) / 10 AS total FROM sc)
+SELECT task, pilot, round(dp, 4) AS distance_points, round(tp, 4) AS time_points, round(ap, 4) AS arrival_points, total, rank() OVER (PARTITION BY task ORDER BY total DESC) AS rank FROM tt""")
 def points_pipeline_hg(spark, d):
     scored = scoring.score_flights(flights(spark, d).withColumn("goal", F.col("goal") & F.col("flying")), ["task"], "pilot", {"scoring": "HG", "arrival": True})
     return scored.select("task", "pilot", *[shown(F.col(c), 4).alias(c) for c in ("distance_points", "time_points", "arrival_points")], "total", "rank")
@@ -568,7 +590,27 @@ def ward_clusters(spark, d):
     return clustering.style_clusters(clustering.pair_distances(pct, ["field"], "pilot", "metric", "pct"), ["field"])
 
 
-@query()
+_A, _B, _F = 6378137.0, 6356752.314245, 1 / 298.257223563
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT event_id, user_id % 90 - 45 + value / 100 AS lat, event_id % 360 - 180.0::DOUBLE AS lon FROM events),
+u AS (SELECT event_id, lat, lon, radians(147.9::DOUBLE - lon) AS dl, atan((1 - {_F!r}) * tan(radians(lat))) AS u1, atan((1 - {_F!r}) * tan(radians(-36.2::DOUBLE))) AS u2 FROM e),
+s AS (SELECT event_id, lat, lon, dl, sin(u1) AS s1, cos(u1) AS c1, sin(u2) AS s2, cos(u2) AS c2 FROM u),
+r AS (SELECT *, 0 AS k, dl AS l, true AS moving, NULL::DOUBLE AS ss, NULL::DOUBLE AS cs, NULL::DOUBLE AS ca, NULL::DOUBLE AS cm FROM s
+  UNION ALL SELECT event_id, lat, lon, dl, s1, c1, s2, c2, k + 1, n, abs(n - l) > 1e-12, ss, cs, ca, cm FROM (
+    SELECT *, dl + (1 - cc) * {_F!r} * sa * (atan2(ss, cs) + cc * ss * (cm + cc * cs * (2 * cm * cm - 1))) AS n FROM (
+      SELECT *, {_F!r} / 16 * ca * (4 + {_F!r} * (4 - 3 * ca)) AS cc FROM (
+        SELECT *, CASE WHEN ca > 0 THEN cs - 2 * s1 * s2 / ca ELSE 0 END AS cm FROM (
+          SELECT *, 1 - sa * sa AS ca FROM (
+            SELECT *, CASE WHEN ss > 0 THEN c1 * c2 * sin(l) / ss ELSE 0 END AS sa FROM (
+              SELECT event_id, lat, lon, dl, s1, c1, s2, c2, k, l, sqrt(pow(c2 * sin(l), 2) + pow(c1 * s2 - s1 * c2 * cos(l), 2)) AS ss, s1 * s2 + c1 * c2 * cos(l) AS cs FROM r WHERE moving AND k < 100)))))) ),
+f AS (SELECT * FROM r WHERE k > 0 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY k DESC) = 1),
+v AS (SELECT *, ca * {(_A * _A - _B * _B) / (_B * _B)!r} AS v, radians((lat - 36.2) / 2) AS p, radians((lat + 36.2) / 2) AS q, radians(147.9 - lon) / 2 AS h FROM f),
+g AS (SELECT *, 1 + v / 16384 * (4096 + v * (-768 + v * (320 - 175 * v))) AS big, v / 1024 * (256 + v * (-128 + v * (74 - 47 * v))) AS small,
+  pow(sin(q), 2) * pow(cos(h), 2) + pow(cos(p), 2) * pow(sin(h), 2) AS ns, pow(cos(q), 2) * pow(cos(h), 2) + pow(sin(p), 2) * pow(sin(h), 2) AS nc FROM v),
+w AS (SELECT *, small * ss * (cm + small / 4 * (cs * (2 * cm * cm - 1) - small / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3))) AS d, atan2(sqrt(ns), sqrt(nc)) AS angle FROM g)
+SELECT event_id, round(CASE WHEN moving OR abs(l) > pi() THEN 2 * angle * {_A!r} * (1 + {_F!r} * ((3 * sqrt(ns * nc) / angle - 1) / (2 * nc) * pow(sin(p), 2) * pow(cos(q), 2) - (3 * sqrt(ns * nc) / angle + 1) / (2 * ns) * pow(cos(p), 2) * pow(sin(q), 2)))
+  WHEN ss = 0 THEN 0 ELSE {_B!r} * big * (atan2(ss, cs) - d) END, 2) AS metres FROM w""")
 def ellipsoid_distance(spark, d):
     e = table(spark, d, "events").select("event_id", (F.col("user_id") % 90 - 45 + F.col("value") / 100).alias("lat"), (F.col("event_id") % 360 - 180.0).alias("lon"))
-    return e.select("event_id", shown(ellipsoid_metres("lat", "lon", F.lit(-36.2), F.lit(147.9)), 3).alias("metres"))
+    return e.select("event_id", shown(ellipsoid_metres("lat", "lon", F.lit(-36.2), F.lit(147.9)), 2).alias("metres"))

@@ -146,7 +146,34 @@ def optimised_routes(spark, d):
     return routes.optimised(points.select("task", F.col("tp").cast("int").alias("tp"), (F.lit(-36.0) + k % 97 / 200).alias("plat"), (F.lit(147.0) + k % 89 / 200).alias("plon"), (F.lit(400.0) + k % 5 * 400).alias("radius")))
 
 
-@query()
+@query("""WITH own AS (SELECT l_suppkey AS task, o_custkey AS pilot, l_linenumber AS leg, l_quantity AS q, l_discount AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+starts AS (SELECT task, pilot, min(q) + 100 AS start_t, CASE WHEN max(leg) >= 3 THEN sum(q) * 60 + 1000 END AS ess_t FROM own GROUP BY 1, 2),
+climbs AS (SELECT task, pilot, leg AS thermal, leg * 600.0::DOUBLE + q AS b, leg * 600.0::DOUBLE + q + 60 + q AS e, x * 5000 AS lo, x * 5000 + q * 20 AS hi FROM own),
+glides AS (SELECT task, pilot, leg, leg * 600.0::DOUBLE + q - 300 AS b, leg * 600.0::DOUBLE + q - 100 AS e, q * 100 AS metres, x * 1000 + 60 AS lost FROM own),
+legs AS (SELECT task, pilot, leg, max(q) * 30 AS seconds, max(q) * 1000 AS flown, max(q) * 900 AS optimised FROM own GROUP BY 1, 2, 3),
+rc AS (SELECT c.* FROM climbs c JOIN starts s USING (task, pilot) WHERE b >= start_t), rg AS (SELECT g.*, e - b AS seconds FROM glides g JOIN starts s USING (task, pilot) WHERE b >= start_t),
+pc AS (SELECT task, pilot, e - b AS w, 100 * percent_rank() OVER (PARTITION BY task, thermal ORDER BY (hi - lo) / greatest(1, e - b)) AS pct, count(*) OVER (PARTITION BY task, thermal) AS n FROM climbs),
+bl AS (SELECT task, pilot, leg, sum(metres) / sum(lost) AS ratio FROM rg GROUP BY 1, 2, 3 HAVING sum(lost) >= 50), us AS (SELECT task, leg, quantile_cont(ratio, 0.5) AS usual FROM bl GROUP BY 1, 2),
+nx AS (SELECT task, pilot, b::BIGINT AS t, max((hi - lo) / (e - b)) AS climb FROM climbs WHERE e > b GROUP BY ALL), en AS (SELECT task, pilot, e::BIGINT AS t, metres / seconds * 3.6 AS kmh FROM rg),
+pr AS (SELECT en.task, en.pilot, kmh, nx.climb FROM en ASOF JOIN nx ON en.task = nx.task AND en.pilot = nx.pilot AND en.t <= nx.t WHERE nx.t - en.t <= 300),
+mi AS (SELECT task, pilot, quantile_cont(climb, 0.5) AS middle FROM pr GROUP BY 1, 2 HAVING count(*) >= 4),
+fl AS (SELECT task, pilot, sum(flown) AS flown, sum(optimised) AS optimised FROM legs GROUP BY 1, 2),
+mk AS (SELECT DISTINCT r.task, r.pilot, r.thermal, r.b, EXISTS (SELECT 1 FROM climbs o WHERE o.task = r.task AND o.thermal = r.thermal AND o.pilot <> r.pilot AND o.b <= r.b - 30 AND o.e >= r.b) AS led FROM rc r),
+pl AS (SELECT *, row_number() OVER (PARTITION BY task, leg ORDER BY seconds, pilot) AS place FROM legs), be AS (SELECT *, avg(CASE WHEN place <= 10 THEN seconds END) OVER (PARTITION BY task, leg) AS best FROM pl),
+m AS (SELECT task, pilot, 'climb.shared_percentile' AS metric, sum(pct * greatest(0.001, w)) / sum(greatest(0.001, w)) AS value FROM pc WHERE n > 1 GROUP BY 1, 2
+  UNION ALL SELECT task, pilot, 'climb.departure_band', quantile_cont(hi / 1500, 0.5) * 100 FROM rc GROUP BY 1, 2
+  UNION ALL SELECT s.task, s.pilot, 'decision.low_saves', count(r.task) FROM starts s LEFT JOIN rc r ON r.task = s.task AND r.pilot = s.pilot AND lo < 225 AND hi - lo >= 300 GROUP BY 1, 2
+  UNION ALL SELECT task, pilot, 'glide.speed', sum(metres) / sum(seconds) * 3.6 FROM rg GROUP BY 1, 2
+  UNION ALL SELECT task, pilot, 'glide.ld_vs_field', avg(ratio / usual) FROM bl JOIN us USING (task, leg) GROUP BY 1, 2
+  UNION ALL SELECT task, pilot, 'glide.stf_proxy', avg(CASE WHEN climb > middle THEN kmh END) - avg(CASE WHEN climb < middle THEN kmh END) FROM pr JOIN mi USING (task, pilot) GROUP BY 1, 2
+  UNION ALL SELECT task, pilot, 'glide.extra_distance', (flown / optimised - 1) * 100 FROM fl
+  UNION ALL SELECT task, pilot, 'decision.km_between_climbs', flown / 1000 / n FROM fl JOIN (SELECT task, pilot, count(*) AS n FROM rc GROUP BY 1, 2) USING (task, pilot) WHERE flown >= 20000
+  UNION ALL SELECT task, pilot, 'gaggle.affinity', 100 * avg((lo > 200)::INT) FROM rc GROUP BY 1, 2
+  UNION ALL SELECT task, pilot, 'gaggle.marker_usage', 100 * avg(led::INT) FROM mk GROUP BY 1, 2 HAVING count(*) >= 3
+  UNION ALL SELECT task, pilot, 'race.start_delay', start_t - 100 FROM starts
+  UNION ALL SELECT task, pilot, 'race.leg_time_lost', sum(greatest(0, seconds - best)) FROM be GROUP BY 1, 2
+  UNION ALL SELECT task, pilot, 'race.time_behind', (ess_t - min(ess_t) OVER (PARTITION BY task)) / 60 FROM starts WHERE ess_t IS NOT NULL)
+SELECT task, pilot, metric, round(value::DOUBLE, 6) AS value FROM m WHERE value IS NOT NULL""")
 def field_metrics(spark, d):
     """Orders as tasks of a supplier, customers as pilots: every metric of theirs, from made-up starts, climbs and glides."""
     l = table(spark, d, "lineitem").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("pilot")), "l_orderkey")  # noqa: E741
@@ -158,7 +185,7 @@ def field_metrics(spark, d):
     legs = own.groupBy("task", "pilot", "leg").agg((F.max("q") * 30).alias("seconds"), (F.max("q") * 1000).alias("flown"), (F.max("q") * 900).alias("optimised"))
     bands = own.groupBy("task").agg(F.lit(0.0).alias("lo"), F.lit(1500.0).alias("hi"))
     steps = climbs.select("task", "pilot", F.col("start_t").alias("t"), (F.col("start_alt") > 200).alias("together"))
-    return metrics.field_metrics(starts, climbs, glides, legs, bands, steps)
+    return metrics.field_metrics(starts, climbs, glides, legs, bands, steps).withColumn("value", shown(F.col("value")))
 
 
 def _positions(spark, d):
