@@ -38,7 +38,7 @@ ri AS (SELECT task, pilot, lead(smooth) OVER w - smooth AS rise, inside OR coale
 bt AS (SELECT c.*, lead(first) OVER (PARTITION BY pilot ORDER BY first) AS until FROM climbs c JOIN st USING (task, pilot) WHERE c.start_t >= st.start_t),
 lo AS (SELECT b.task, b.pilot, b.first, any_value(end_alt) AS end_alt, min(alt) AS low FROM bt b JOIN k ON k.pilot = b.pilot AND k.i BETWEEN b.last AND b.until WHERE until > last GROUP BY 1, 2, 3),
 gr AS (SELECT task, pilot, t, CASE WHEN id % 9 > 0 THEN (alt - 400) / 100 END AS rate FROM k), gs AS (SELECT *, avg(rate) OVER (PARTITION BY pilot ORDER BY t ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS mean FROM gr),
-fr AS (SELECT DISTINCT task, t // 200 AS episode, t, pilot FROM k WHERE id % 5 > 1), fs AS (SELECT task, episode, t, count(*) AS members FROM fr GROUP BY ALL),
+fr AS (SELECT DISTINCT task, t // 200 AS episode, t, pilot FROM k WHERE t % 200 < (pilot * 7 % 25 + 3) * 10), fs AS (SELECT task, episode, t, count(*) AS members FROM fr GROUP BY ALL),
 fl AS (SELECT *, min(members) OVER (PARTITION BY task, episode ORDER BY t ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS fewest, max(t) OVER (PARTITION BY task, episode) AS ends, lead(t) OVER (PARTITION BY task, episode ORDER BY t) AS next_t FROM fs),
 lv AS (SELECT x.*, fewest, ends, next_t FROM (SELECT task, episode, pilot, max(t) AS t FROM fr GROUP BY ALL) x JOIN fl USING (task, episode, t) WHERE ends - t >= 120 AND fewest >= 2),
 re AS (SELECT task, pilot, i // 20 AS tp, t + id % 40 AS came FROM k WHERE i % 20 = 0 AND i > 0),
@@ -73,7 +73,7 @@ def field_habits(spark, d):
     bands = tasks.select("task", F.lit(100.0).alias("lo"), F.lit(1000.0).alias("hi"))
     goals = tasks.select("task", F.lit(100.0).alias("goal_alt"), F.lit(2000.0).alias("last_leg"))
     grid = tracks.select("task", "pilot", "t", F.when(F.col("id") % 9 > 0, (F.col("alt") - 400) / 100).alias("rate"))
-    frames = tracks.filter("id % 5 > 1").select("task", F.floor(F.col("t") / 200).alias("episode"), "t", "pilot").distinct()
+    frames = tracks.filter("t % 200 < (pilot * 7 % 25 + 3) * 10").select("task", F.floor(F.col("t") / 200).alias("episode"), "t", "pilot").distinct()
     reached = tracks.filter("fix_index % 20 = 0 and fix_index > 0").select("task", "pilot", F.floor(F.col("fix_index") / 20).alias("tp"), (F.col("t") + F.col("id") % 40).alias("t"))
     found = habits.field_habits(tracks, climbs, rings, turns, phases, starts, bands, goals, grid, frames, reached)
     return found.withColumn("value", shown(F.col("value")))
