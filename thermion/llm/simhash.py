@@ -24,7 +24,7 @@ number of segments follows from the share of pairs at the similarity that have t
 Complete distances are verified as before, with a radius that CAUGHT standard deviations of the
 distance at the similarity stay within. Pairs somewhat less similar pass that too, so the similarity of what
 is left is then worked out from the texts' sets of shingles: no link is below it. A run of more than 48 nodes links each with
-the CLOSEST ones and the first of its group; what these miss, other segments' runs make up for.
+the first of its group, and in SEARCHED segments with the CLOSEST ones too.
 
 Defined results: null, empty and blank texts have fingerprint zero, linked like any other; null ids
 take part but name no component unless all ids are null (component null); repeated rows are rows
@@ -53,6 +53,8 @@ SHINGLE, WIDE, SIMILARITY, MEET, CAUGHT = 5, 4, 0.8, 0.98, 1.7
 RUN = 4096
 #: Nodes of a long run that each is linked with, besides the first of its group, where links are verified by their texts.
 CLOSEST = 3
+#: In the runs of so many segments, which a large group shares almost whole.
+SEARCHED = 4
 #: Pairs of one node that a task verifies at once, about.
 FEW = 256
 #: Shingles hashed at once: bounds the memory of a long text.
@@ -168,8 +170,8 @@ def _stars(a: np.ndarray, b: np.ndarray, near: np.ndarray) -> tuple[np.ndarray,
     return np.concatenate([a, b]), np.concatenate([of_a, of_b])
 
 
-def _verified(fp: np.ndarray, centre: np.ndarray, run: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links of sorted whole runs; run: number of each row's run; fp: rows of words."""
+def _verified(fp: np.ndarray, centre: np.ndarray, run: np.ndarray, radius: int, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links of sorted whole runs; run: number of each row's run, part: of its segment; fp: rows of words."""
     ids = _ids(fp)
     starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
     sizes = np.diff(np.r_[starts, len(run)])
@@ -178,12 +180,12 @@ def _verified(fp: np.ndarray, centre: np.ndarray, run: np.ndarray, radius: int)
     # small runs, some thousands of pairs at once: each centre against the rows of its run, two centres once
     at = np.flatnonzero(small[of] & centre)
     n = sizes[of[at]]
-    for part in np.split(at, np.searchsorted(np.cumsum(n), np.arange(PAIRS, n.sum(), PAIRS))) if len(at) else []:
-        if not len(part):
+    for some in np.split(at, np.searchsorted(np.cumsum(n), np.arange(PAIRS, n.sum(), PAIRS))) if len(at) else []:
+        if not len(some):
             continue
-        n = sizes[of[part]]
-        left = np.repeat(part, n)
-        right = np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[of[part]], n)
+        n = sizes[of[some]]
+        left = np.repeat(some, n)
+        right = np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[of[some]], n)
         once = (right > left) | ~centre[right]
         left, right = left[once], right[once]
         d = np.bitwise_count((fp[left] ^ fp[right]).view(np.uint64)).sum(1, dtype=np.int64)
@@ -195,7 +197,7 @@ def _verified(fp: np.ndarray, centre: np.ndarray, run: np.ndarray, radius: int)
         if held.any():
             d = _distances(fp[rows][held], fp[rows])
             yield _stars(ids[rows][held], ids[rows], d <= radius)
-            if fp.shape[1] > 1:  # links that are verified afterwards must not hang on one node
+            if fp.shape[1] > 1 and part[starts[i]] < SEARCHED:  # links that are verified afterwards must not hang on one node
                 yield _closest(ids[rows][held], ids[rows], d, radius)
 
 
@@ -208,7 +210,7 @@ def _read_runs(batches: Iterator[pa.RecordBatch], radius: int, most: int, words:
 
     def links(x: np.ndarray) -> Iterator[pa.RecordBatch]:
         run = np.cumsum(np.r_[False, (x[1:, :keys] != x[:-1, :keys]).any(1)])
-        found = list(_verified(x[:, keys:-1].copy(), x[:, -1] == 1, run, radius))
+        found = list(_verified(x[:, keys:-1].copy(), x[:, -1] == 1, run, radius, x[:, 0]))
         if found:
             u, v = (np.concatenate(c) for c in zip(*found, strict=True))
             u, v = np.maximum(u, v), np.minimum(u, v)
@@ -332,9 +334,10 @@ def shingle_set(text: str | None, width: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(own[i : i + width])) for i in range(n)), np.uint64, n))
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, asked: DataFrame, width: int) -> DataFrame:
-    """(fp, shingles binary) of the first text of each of the nodes (fp, first) asked for (fp), stored."""
-    wanted = nodes.join(asked, "fp", "left_semi").select("fp", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+def _sets(docs: DataFrame, nodes: DataFrame, links: DataFrame, width: int) -> DataFrame:
+    """(fp, shingles binary) of the first text of each of the nodes (fp, first) that links (u, v) name, stored."""
+    named = links.select(F.explode(F.array("u", "v")).alias("fp"))
+    wanted = nodes.join(named, "fp", "left_semi").select("fp", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     rows = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_id"]) & (texts["text_hash"] == wanted["_hash"])).select("fp", "text")
 
@@ -347,10 +350,11 @@ def _sets(docs: DataFrame, nodes: DataFrame, asked: DataFrame, width: int) -> Da
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """pairs (u, v) with `alike`: whether their sets' Jaccard similarity is as high, stored. A node of many pairs is copied to several tasks."""
-    many = pairs.groupBy("v").agg(F.ceil(F.count("*") / FEW).cast("int").alias("n"))
-    theirs = sets.join(many, sets["fp"] == many["v"]).select("v", F.col("shingles").alias("b"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt"))
-    dealt = pairs.join(many, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("n")).cast("int").alias("salt"))
+    """pairs (u, v) with `alike`: whether their sets' Jaccard similarity is as high. A node of many pairs is copied to several tasks."""
+    hot = pairs.groupBy("v").agg(F.ceil(F.count("*") / FEW).cast("int").alias("n")).filter("n > 1")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1)).alias("salt")
+    theirs = sets.join(hot, sets["fp"] == hot["v"], "left").select(F.col("fp").alias("v"), F.col("shingles").alias("b"), copies)
+    dealt = pairs.join(hot, "v", "left").select("u", "v", F.pmod(F.xxhash64("u"), F.coalesce("n", F.lit(1))).cast("int").alias("salt"))
     ours = dealt.join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,12 +366,12 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 alike.append(both >= similarity * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike, pa.bool_())], names=["u", "v", "alike"])
 
-    return written(ours.join(theirs, ["v", "salt"]).select("u", "v", "a", "b").mapInArrow(run, "u long, v long, alike boolean"), "alike")
+    return ours.join(theirs, ["v", "salt"]).select("u", "v", "a", "b").mapInArrow(run, "u long, v long, alike boolean")
 
 
 def verified(links: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Those of the different links (u, v) whose texts are as similar, by their whole sets of shingles."""
-    return _alike(links, sets, similarity).filter("alike").select("u", "v")
+    return written(_alike(links, sets, similarity).filter("alike").select("u", "v"), "verified")
 
 
 def similar(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -377,8 +381,7 @@ def similar(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARIT
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), first, *[F.min(w).alias(w) for w in own]), "nodes")
     links = written(linked_wide(nodes, similarity).distinct(), "pairs")
-    asked = links.select(F.col("u").alias("fp")).union(links.select(F.col("v").alias("fp"))).distinct()
-    sets = _sets(docs, nodes, asked, width)
+    sets = _sets(docs, nodes, links, width)
     return _grouped(fps, nodes, verified(links, sets, similarity))
 
 
