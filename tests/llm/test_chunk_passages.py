@@ -40,3 +40,20 @@ def test_words_cut_at_an_edge_do_not_count():
     assert chunks.same(b"log one two", b"log one two", (97, 32))[0] == 2
     assert chunks.same(b"log one two", b"log one two", (32, 32), (32, 97))[0] == 2
     assert chunks.same(b"", b"a") == (0, 0, 0)
+
+
+def test_passages_whose_pieces_stand_elsewhere_too(spark):
+    """Pairs share 100 words; pieces of 25, 40 and 49 of these stand in 8 other texts each, of which none shares over 50 words with any."""
+    for piece in (25, 40, 49):
+        rng, rows = random.Random(piece), []
+        for i in range(40):
+            shared = words(rng, 100).split()
+            rows += [(at, f"{words(rng, 30)} {' '.join(shared)} {words(rng, 30)}") for at in (i, 1000 + i)]
+            for k in range(8):
+                at = rng.randint(0, 100 - piece)
+                rows.append((10_000 + 8 * i + k, f"{words(rng, 20)} {' '.join(shared[at : at + piece])} {words(rng, 20)}"))
+        found = chunks.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        pairs = {frozenset((r["doc_id"], r["kept_id"])) for r in found if not r["keeps"]}
+        assert sum(frozenset((i, 1000 + i)) in pairs for i in range(40)) >= 38
+        assert {r["doc_id"] for r in found} <= {i for i, _ in rows if i < 2000}
+        assert all(95 < r["n_words"] < 106 for r in found if not r["keeps"] and r["doc_id"] % 1000 == r["kept_id"] % 1000)
