@@ -11,8 +11,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import gap
+from ..functions.geo import ellipsoid_metres
 from ..functions.numbers import half_up
+from ..operators import leading, progress, routes, sequence
 from ..operators.aggregates import distance_difficulty
+from ..operators.components import kept
 from ..operators.stopped import time_reduction
 
 
@@ -144,3 +147,48 @@ def open_distance(flights: DataFrame, keys: list[str], pilot: str) -> DataFrame:
     """Open-distance tasks: the greatest distance of each pilot is the score, whatever the class; ties share a rank."""
     best = flights.groupBy(*keys, pilot).agg(F.max("distance").alias("distance"))
     return best.withColumn("rank", F.rank().over(W.partitionBy(*keys).orderBy(F.col("distance").desc())).cast("long"))
+
+
+# Fixed values of hang gliding: seconds of an early start that a penalty makes good, and seconds a point.
+EARLY_MOST, EARLY_SECONDS = 300.0, 2.0
+
+
+def distances_left(tracks: DataFrame, paths: DataFrame, points: DataFrame, route: DataFrame, rules: DataFrame, pilot: str) -> DataFrame:
+    """(task, pilot, t, left_km): of each fix from the start on, the way to the edge of the next turnpoint not yet reached and by the course from there to the end of the speed section."""
+    totals = route.select("task", "tp", "total")
+    ess = rules.select("task", "start", "ess").join(totals.select("task", F.col("tp").alias("ess"), F.col("total").alias("ess_total")), ["task", "ess"])
+    ahead = points.select("task", "tp", "plat", "plon", "radius").join(totals, ["task", "tp"]).join(ess.select("task", "ess_total"), "task")
+    known = tracks.join(paths.select("task", pilot, "start_t", "path"), ["task", pilot]).filter("t >= start_t").join(ess.select("task", "start", "ess"), "task")
+    reached = F.size(F.filter("path", lambda p: (p["t"] <= F.col("t")) & (p["tp"] <= F.col("ess"))))
+    flown = known.withColumn("tp", F.least(F.col("start") + 1 + reached, F.col("ess")).cast("int"))
+    away = F.greatest(ellipsoid_metres("lat", "lon", "plat", "plon") - F.col("radius"), F.lit(0.0))
+    return flown.join(ahead, ["task", "tp"]).select("task", pilot, "t", ((away + F.col("ess_total") - F.col("total")) / 1000).alias("left_km"))
+
+
+def score_task(tracks: DataFrame, points: DataFrame, rules: DataFrame, pilot: str, params: dict | None = None, lines: DataFrame | None = None) -> DataFrame:
+    """Points and ranks of tasks from their tracks (task, pilot, fix_index, t, lat, lon): all pilots with a track, started or not.
+
+    Ways through the turnpoints, the distance flown (the course less the best way left), leading from whole tracks folded over the
+    field, early starts, and the formula. points, rules: as for `sequence.resolved`; lines: goal lines.
+    """
+    p = gap.DEFAULTS | (params or {})
+    paths = kept(sequence.resolved(tracks, points, rules, [pilot], lines))
+    route = kept(routes.optimised(points))
+    at = lambda name: rules.select("task", F.col(name).alias("tp")).join(route, ["task", "tp"]).select("task", F.col("total").alias(f"{name}_total"))
+    course = at("start").join(at("ess"), "task").join(at("goal"), "task")
+    best = progress.best_progress(tracks, paths, points, rules, [pilot]).select("task", pilot, "remaining")
+    gates = F.get("gates", F.lit(0)).alias("gate")
+    section = paths.join(course, "task").join(rules.select("task", gates), "task").select("task", pilot, ((F.col("ess_total") - F.col("start_total")) / 1000).alias("section_km"), "start_t", "ess_t", "gate")
+    parts = leading.contributions(distances_left(tracks, paths, points, route, rules, pilot), section, ["task", pilot])
+    clock = rules.select("task", F.col("closes").alias("deadline"), F.lit(None).cast("double").alias("stop"))
+    led = leading.coefficients(parts, clock, ["task"], p["scoring"]).select("task", pilot, "leading")
+    every = tracks.select("task", pilot).distinct().join(paths, ["task", pilot], "left").join(course, "task").join(best, ["task", pilot], "left").join(led, ["task", pilot], "left")
+    made = F.coalesce("made_goal", F.lit(False))
+    flown = F.when(made, F.col("goal_total")).otherwise(F.greatest(F.col("goal_total") - F.col("remaining"), F.lit(0.0)))
+    flights = every.select(
+        "task", pilot, F.coalesce(flown, F.lit(0.0)).alias("distance"), made.alias("goal"), F.col("ess_t").isNotNull().alias("ess"), F.col("section_seconds").alias("time"), F.col("ess_t").alias("ess_time"), "leading",
+        F.lit(True).alias("present"), F.lit(True).alias("flying"), F.lit(0.0).alias("penalty"), F.coalesce("early_seconds", F.lit(0.0)).alias("early_seconds"), "start_total",
+    )
+    judged = early_starts(flights, "early_seconds", p["scoring"], EARLY_MOST, F.col("start_total"), EARLY_SECONDS)
+    return score_flights(judged, ["task"], pilot, p)
+
