@@ -7,7 +7,7 @@ import os
 
 import duckdb
 import pytest
-from thermion.plans import catalog, field, flights, formats, habits, logs, lookups, rates, tasks  # noqa: F401
+from thermion.plans import catalog, field, flights, formats, habits, lists, logs, lookups, rates, tasks  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")

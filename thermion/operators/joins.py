@@ -131,3 +131,50 @@ def values_of_all(values: DataFrame, pilots: DataFrame, key: str) -> DataFrame:
     if strangers:
         raise ValueError(f"a value for a {key} that is not in the field")
     return pilots.join(values, key, "left")
+
+
+def matched(roster: DataFrame, ranked: DataFrame, row: str, civl: str, name: str, best: str) -> DataFrame:
+    """(row, civl, best, matched_by) of roster (row, civl id or null, name) in ranked (civl, name, rank `best`, several rows a pilot).
+
+    A row with an id has that pilot, or none. A row without has the pilot of its name, if the name is of one pilot alone, no other
+    row has that pilot's id, and no other row without an id claims the pilot. Of a pilot's ranks the best counts.
+    """
+    pilots = ranked.groupBy(civl).agg(F.min(F.struct(best, name)).alias("_p")).select(F.col(civl).alias("_civl"), F.col(f"_p.{best}").alias(best), F.col(f"_p.{name}").alias("_name"))
+    by_id = roster.filter(F.col(civl).isNotNull()).join(pilots, F.col(civl) == F.col("_civl")).select(row, F.col("_civl").alias(civl), best, F.lit("id").alias("matched_by"))
+    key = lambda c: F.lower(F.regexp_replace(F.trim(c), r"\s+", " "))
+    once = pilots.withColumn("_key", key(F.col("_name"))).groupBy("_key").agg(F.count("*").alias("_n"), F.min("_civl").alias("_civl"), F.min(best).alias(best)).filter("_n = 1")
+    used = roster.filter(F.col(civl).isNotNull()).select(F.col(civl).alias("_civl")).distinct()
+    without = roster.filter(F.col(civl).isNull()).select(row, key(F.col(name)).alias("_key"))
+    claims = without.join(once, "_key").join(used, "_civl", "left_anti")
+    alone = claims.groupBy("_civl").agg(F.count("*").alias("_k"), F.min(row).alias(row), F.min(best).alias(best)).filter("_k = 1")
+    return by_id.unionByName(alone.select(row, F.col("_civl").alias(civl), best, F.lit("name").alias("matched_by")))
+
+
+def overlaid(scored: DataFrame, official: DataFrame, keys: list[str], rank: str) -> DataFrame:
+    """scored with `official`, the published rank of the same keys (null: none), and `moved`, how many places the own rank is below it."""
+    theirs = official.select(*keys, F.col(rank).alias("official"))
+    return scored.join(theirs, keys, "left").withColumn("moved", F.col(rank) - F.col("official"))
+
+
+def event_list(parts: list[tuple[DataFrame, str, str]], tracks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, kind, place, and the fix's columns) of parts (rows, the column that holds a fix, kind): everything that happens in a flight, by time and kind."""
+    rows = None
+    for df, fix, kind in parts:
+        own = df.select(*keys, F.col(fix).alias("fix_index"), F.lit(kind).alias("kind")).filter("fix_index is not null")
+        rows = own if rows is None else rows.unionByName(own)
+    return rows.join(tracks, [*keys, "fix_index"]).withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy("t", "kind")))
+
+
+def in_box(df: DataFrame, lat: str, lon: str, box: tuple[float, float, float, float]) -> DataFrame:
+    """df with `in_view`: whether a row lies in the box (south, west, north, east)."""
+    south, west, north, east = box
+    return df.withColumn("in_view", F.col(lat).between(south, north) & F.col(lon).between(west, east))
+
+
+def nearest_approach(tracks: DataFrame, points: DataFrame, task: str, keys: list[str], fix: str, point: str) -> DataFrame:
+    """(task, keys, point, away, fix): how near each track (task, keys, fix, x, y) came to any of its task's points (task, point, x, y), a task's points being one array; ties go to the first point, then fix."""
+    held = points.groupBy(task).agg(F.collect_list(F.struct(F.col("x").alias("px"), F.col("y").alias("py"), F.col(point).alias("p"))).alias("_points"))
+    away = lambda q: F.struct(F.hypot(F.col("x") - q["px"], F.col("y") - q["py"]).alias("away"), q["p"].alias(point))
+    near = tracks.join(held, task).select(task, *keys, fix, F.array_min(F.transform("_points", away)).alias("n"))
+    best = near.groupBy(task, *keys).agg(F.min(F.struct("n.away", f"n.{point}", fix)).alias("b"))
+    return best.select(task, *keys, f"b.{point}", "b.away", f"b.{fix}")

@@ -171,3 +171,16 @@ def gate_of(gates: Column, second: Column) -> Column:
 
 def written_task(task: Column) -> Column:
     return F.to_json(task)
+
+
+def trimmed(task: Column) -> Column:
+    """A task from its start on, where it has a named one that is not the first turnpoint."""
+    kinds = F.transform(task["turnpoints"], lambda t: F.coalesce(t["type"], F.lit("")))
+    at = F.array_position(kinds, "SSS").cast("int")
+    return F.when(at > 1, task.withField("turnpoints", F.slice(task["turnpoints"], at, F.size(task["turnpoints"])))).otherwise(task)
+
+
+def near(second: Column, reference: Column) -> Column:
+    """The time (seconds since 1970) of a second of the day within half a day of a reference."""
+    same = F.floor(reference / 86_400) * 86_400 + second
+    return F.when(same - reference > 43_200, same - 86_400).when(reference - same > 43_200, same + 86_400).otherwise(same).cast("long")
