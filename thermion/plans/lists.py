@@ -109,3 +109,19 @@ def state_keys(spark, d):
     whole = F.array_join(F.transform("all", lambda x: F.concat_ws(":", x["l_linenumber"].cast("string"), x["l_partkey"].cast("string"), x["l_suppkey"].cast("string"))), "|")
     places = F.array_join(F.transform("all", lambda x: x["l_partkey"].cast("string")), ",")
     return held.select("l_orderkey", F.sha2(whole, 256).alias("state"), F.left(F.sha2(places, 256), F.lit(16)).alias("geometry"), F.size("all").cast("long").alias("n"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, epoch_us(o_orderdate) // 1000000 + o_custkey % 50000 AS a, o_custkey % 3 = 0 AS fb, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey * 31 % 86400 END AS g1, CASE WHEN o_orderkey % 4 > 1 THEN o_orderkey * 37 % 86400 END AS g2, o_orderkey * 41 % 86400 AS dl, o_orderkey * 43 % 86400 AS op FROM orders),
+t AS (SELECT *, a + 20000 AS z, CASE WHEN k % 5 > 0 THEN a + 3000 END AS c FROM o), n AS (SELECT *, coalesce(c, a) AS r FROM t),
+m AS (SELECT *, CASE WHEN NOT fb THEN least(r // 86400 * 86400 + g1 + CASE WHEN r // 86400 * 86400 + g1 - r > 43200 THEN -86400 WHEN r - (r // 86400 * 86400 + g1) > 43200 THEN 86400 ELSE 0 END, coalesce(r // 86400 * 86400 + g2 + CASE WHEN r // 86400 * 86400 + g2 - r > 43200 THEN -86400 WHEN r - (r // 86400 * 86400 + g2) > 43200 THEN 86400 ELSE 0 END, 9e18::BIGINT)) END AS g,
+  z // 86400 * 86400 + dl + CASE WHEN z // 86400 * 86400 + dl - z > 43200 THEN -86400 WHEN z - (z // 86400 * 86400 + dl) > 43200 THEN 86400 ELSE 0 END AS e, CASE WHEN NOT fb THEN a // 86400 * 86400 + op + CASE WHEN a // 86400 * 86400 + op - a > 43200 THEN -86400 WHEN a - (a // 86400 * 86400 + op) > 43200 THEN 86400 ELSE 0 END END AS b FROM n),
+x AS (SELECT k, CASE WHEN g1 IS NOT NULL THEN g END AS gate, b, e FROM m),
+y AS (SELECT k, gate, b, CASE WHEN gate IS NULL OR e > gate THEN e END AS deadline FROM x)
+SELECT k AS o_orderkey, gate, deadline, CASE WHEN (deadline IS NULL OR b < deadline) AND (gate IS NULL OR b <= gate) THEN b END AS opens FROM y""")
+def timing_windows(spark, d):
+    """Gates, deadline and opening of an order as a flight, from times of the day, without those that are mistakes."""
+    k, a = F.col("o_orderkey"), seconds(F.col("o_orderdate")) + F.col("o_custkey") % 50_000
+    gates = F.filter(F.array(F.when(k % 4 > 0, k * 31 % 86_400), F.when(k % 4 > 1, k * 37 % 86_400)), lambda g: g.isNotNull())
+    times = tasks.timing(gates, k * 41 % 86_400, k * 43 % 86_400, F.when(k % 5 > 0, a + 3000), a, a + 20_000, F.col("o_custkey") % 3 == 0)
+    own = table(spark, d, "orders").select("o_orderkey", times.alias("t"))
+    return own.select("o_orderkey", F.get("t.gates", F.lit(0)).alias("gate"), "t.deadline", "t.opens")

@@ -7,6 +7,7 @@ import zlib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -184,3 +185,34 @@ def near(second: Column, reference: Column) -> Column:
     """The time (seconds since 1970) of a second of the day within half a day of a reference."""
     same = F.floor(reference / 86_400) * 86_400 + second
     return F.when(same - reference > 43_200, same - 86_400).when(reference - same > 43_200, same + 86_400).otherwise(same).cast("long")
+
+
+def timing(gates: Column, deadline: Column, opens: Column, crossing: Column, first: Column, last: Column, fallback: Column) -> Column:
+    """struct<gates, deadline, opens> of a flight, in seconds since 1970, from seconds of the day (null: none).
+
+    Gates lie about the first start crossing (or the first fix), the deadline about the last fix, the launch's opening about the
+    first. A deadline not after the first gate is a mistake and does not count, nor does an opening not before the deadline, or after the
+    first gate. A start that is no named one has neither gates nor an opening.
+    """
+    since = F.coalesce(crossing, first)
+    own = F.when(~fallback & (F.size(gates) > 0) & since.isNotNull(), F.array_sort(F.transform(gates, lambda g: near(g, since))))
+    begin = F.get(own, F.lit(0))
+    end = near(deadline, last)
+    ends = F.when(begin.isNull() | (end > begin), end)
+    at = F.when(~fallback, near(opens, first))
+    opened = F.when((ends.isNull() | (at < ends)) & (begin.isNull() | (at <= begin)), at)
+    return F.struct(own.alias("gates"), ends.alias("deadline"), opened.alias("opens"))
+
+
+def directions(points: DataFrame, route: DataFrame, rules: DataFrame) -> DataFrame:
+    """(task, tp, way) of points (task, tp, plat, plon, radius): "exit" where the course comes from within the cylinder, else "enter".
+
+    route: (task, tp, lat, lon), where the course touches each turnpoint; rules: (task, start or null, start_way "exit" or else). The
+    start goes by its rule; the first and the last are entered.
+    """
+    last = W.partitionBy("task")
+    before = route.select("task", (F.col("tp") + 1).alias("tp"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+    placed = points.withColumns({"_lo": F.min("tp").over(last), "_hi": F.max("tp").over(last)}).join(before, ["task", "tp"], "left").join(rules.select("task", "start", "start_way"), "task")
+    inside = F.coalesce(ellipsoid_metres("_lat", "_lon", "plat", "plon") < F.col("radius"), F.lit(False)) & (F.col("tp") > F.col("_lo")) & (F.col("tp") < F.col("_hi"))
+    way = F.when(F.coalesce(F.col("tp") == F.col("start"), F.lit(False)), F.when(F.col("start_way") == "exit", "exit").otherwise("enter")).when(inside, "exit").otherwise("enter")
+    return placed.select("task", "tp", way.alias("way"))
