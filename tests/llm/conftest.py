@@ -54,4 +54,5 @@ def empty(spark, tmp_path_factory):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{top}/labels.parquet")
     spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{top}/embeddings.parquet")
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{top}/pages.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{top}/benchmark.parquet")
     return top
