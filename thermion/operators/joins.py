@@ -116,8 +116,14 @@ def by_name(asked: DataFrame, names: DataFrame, name: str, number: str, prefixes
     """
     upper = F.upper(F.col(name))
     own = asked.select(name).distinct().withColumn("_u", upper).withColumn("_s", F.trim(F.regexp_replace("_u", "^(" + "|".join(prefixes) + r")\s+", "")))
-    size = F.length("_u")
-    parts = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: F.when(size - i + 1 >= least, F.transform(F.sequence(F.lit(least), size - i + 1), lambda n: F.substring(F.col("_u"), i, n))).otherwise(F.array().cast("array<string>"))))
+    # only parts as long as some name can be one: a few lengths, whatever the asked names' own
+    lengths = sorted(r[0] for r in names.select(F.length(upper)).distinct().collect() if r[0] is not None and r[0] >= least)
+    places = F.sequence(F.lit(1), F.greatest(F.length("_u"), F.lit(1)))
+
+    def of(n: int) -> Column:
+        return F.transform(F.filter(places, lambda i: i + n - 1 <= F.length("_u")), lambda i: F.substring(F.col("_u"), i, F.lit(n)))
+
+    parts = F.flatten(F.array(*map(of, lengths))) if lengths else F.array().cast("array<string>")
     keyed = own.select(name, F.explode(F.concat(F.array(F.struct(F.lit(0).alias("level"), F.col("_u").alias("key")), F.struct(F.lit(1).alias("level"), F.col("_s").alias("key"))), F.transform(F.array_distinct(parts), lambda p: F.struct(F.lit(2).alias("level"), p.alias("key"))))).alias("k")).select(name, "k.*")
     known = names.groupBy(upper.alias("key")).agg(F.min(number).alias(number))  # the first of equal names
     best = keyed.join(known, "key").groupBy(name).agg(F.min(F.struct("level", number)).alias("_b"))

@@ -189,9 +189,10 @@ def field_metrics(spark, d):
 
 
 def _positions(spark, d):
-    """events as places of pilots around a point every three hours, a task a week."""
+    """events as places of pilots around a point every three hours, a task a week and hundred users."""
     e = fixes(spark, d)
-    return e.select(F.floor(F.col("t") / 604800).cast("long").alias("task"), (F.floor(F.col("t") / 10800) * 10800).cast("long").alias("t"), F.col("user_id").cast("long").alias("pilot"), "value", "event_id")
+    task = F.floor(F.col("t") / 604800).cast("long") * 1_000_000 + F.floor(F.col("user_id") / 100)
+    return e.select(task.cast("long").alias("task"), (F.floor(F.col("t") / 10800) * 10800).cast("long").alias("t"), F.col("user_id").cast("long").alias("pilot"), "value", "event_id")
 
 
 @query()
