@@ -131,7 +131,7 @@ e AS (SELECT user_id, min(fix) AS lo, max(fix) AS hi FROM n GROUP BY 1), x AS (S
 g AS (SELECT * FROM (SELECT x.user_id, coalesce(lag(last) OVER (PARTITION BY x.user_id ORDER BY first), lo) AS first, first AS last FROM x JOIN e USING (user_id)) WHERE last - first > {detectors.GLIDE_ROWS}),
 s AS (SELECT *, coalesce({STEP}, 0) AS step FROM n WINDOW w AS (PARTITION BY user_id ORDER BY fix)), d AS (SELECT *, sum(step) OVER (PARTITION BY user_id ORDER BY fix) AS along FROM s),
 r AS (SELECT g.user_id, first, last, b.t - a.t AS seconds, b.along - a.along AS metres, (a.value - b.value) * 1000 AS lost FROM g JOIN d a ON a.user_id = g.user_id AND a.fix = first JOIN d b ON b.user_id = g.user_id AND b.fix = last)
-SELECT user_id, first, last, seconds, round(metres, 3) AS metres, round(lost, 4) AS lost, CASE WHEN lost > 0 THEN round(metres / lost, 6) END AS ratio, lost > 0 AND metres / lost <= {detectors.SINK_RATIO} AS sinks FROM r WHERE seconds > {detectors.GLIDE_LEAST}""")
+SELECT user_id, first, last, seconds, round(metres, 0) AS metres, round(lost, 4) AS lost, CASE WHEN lost > 0 THEN round(metres / lost, 6) END AS ratio, lost > 0 AND metres / lost <= {detectors.SINK_RATIO} AS sinks FROM r WHERE seconds > {detectors.GLIDE_LEAST}""")
 def glides(spark, d):
     """What lies between runs of value 70 and more, along the equator."""
     base = numbered(spark, d)
@@ -139,4 +139,4 @@ def glides(spark, d):
     high = base.filter("value >= 70").withColumn("g", F.col("fix_index") - F.row_number().over(w)).groupBy("user_id", "g").agg(F.min("fix_index").alias("first"), F.max("fix_index").alias("last")).filter("last > first")
     tracks = base.select("user_id", "fix_index", "t", F.lit(0.0).alias("lat"), (F.col("value") / 10).alias("lon"), (F.col("value") * 1000).alias("alt"))
     found = detectors.glides(tracks, high, ["user_id"])
-    return found.select("user_id", "first", "last", "seconds", shown(F.col("metres"), 3).alias("metres"), shown(F.col("lost"), 4).alias("lost"), shown(F.col("ratio")).alias("ratio"), "sinks")
+    return found.select("user_id", "first", "last", "seconds", shown(F.col("metres"), 0).alias("metres"), shown(F.col("lost"), 4).alias("lost"), shown(F.col("ratio")).alias("ratio"), "sinks")
