@@ -152,3 +152,20 @@ def stopped_task(spark, d):
     scored = scoring.score_flights(flights, ["task"], "pilot", {"scoring": "PG", "leading": True}, out.select("task", "stopped_validity", "met", "window_seconds"))
     shown_ = scored.select(*keys, "distance_points", "time_points", "time_reduction").join(flown.select(*keys, "flying", "distance", "bonus"), keys).join(out.select("task", "stopped_validity"), "task")
     return shown_.select(*keys, "flying", shown(F.col("distance"), 4).alias("distance"), shown(F.col("bonus"), 4).alias("bonus"), shown(F.col("stopped_validity")).alias("stopped_validity"), shown(F.col("time_reduction"), 4).alias("reduction"), shown(F.col("distance_points"), 4).alias("distance_points"), shown(F.col("time_points"), 4).alias("time_points"))
+
+
+@query()
+def scored_tracks(spark, d):
+    """Tasks of users a hundred, scored from their tracks: out of 4 km, to 14 km and back to 4 km, on a line north, `value` percent of 20 km out."""
+    km = 1 / 110.95
+    e = fixes(spark, d).groupBy("user_id", "t").agg(F.max("value").alias("value"))
+    by = goal.W.partitionBy("user_id").orderBy("t")
+    task = F.floor(F.col("user_id") / 100).cast("string")
+    tracks = e.select(task.alias("task"), F.col("user_id").alias("pilot"), F.row_number().over(by).cast("long").alias("fix_index"), F.col("t").cast("double").alias("t"), (F.lit(-36.0) + F.least(F.col("value"), F.lit(100.0)) * 0.2 * km).alias("lat"), F.lit(147.0).alias("lon"))
+    tasks = tracks.select("task").distinct()
+    point = lambda tp, way, north, radius: F.struct(F.lit(tp).alias("tp"), F.lit(way).alias("way"), F.lit(-36.0 + north * km).alias("plat"), F.lit(147.0).alias("plon"), F.lit(radius).alias("radius"))
+    points = tasks.select("task", F.explode(F.array(point(0, "exit", 0.0, 4000.0), point(1, "enter", 14.0, 2000.0), point(2, "enter", 4.0, 2000.0))).alias("p")).select("task", "p.*")
+    none = F.lit(None)
+    rules = tasks.select("task", F.lit(0).alias("start"), F.lit(2).alias("ess"), F.lit(2).alias("goal"), F.lit("exit").alias("start_way"), none.cast("double").alias("opens"), none.cast("double").alias("closes"), none.cast("array<double>").alias("gates"), F.lit(False).alias("fallback"))
+    scored = scoring.score_task(tracks, points, rules, "pilot", {"scoring": "PG", "leading": True, "nominal_distance": 15_000.0, "minimum_distance": 2_000.0})
+    return scored.select("task", "pilot", *[shown(F.col(c), 4).alias(c) for c in ("distance", "distance_points", "time_points", "leading_points")], "total", "rank")
