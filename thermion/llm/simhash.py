@@ -23,8 +23,14 @@ length of a segment follows the number of nodes, so that unrelated nodes seldom
 number of segments follows from the share of pairs at the similarity that have to meet (MEET).
 Complete distances are verified as before, with a radius that CAUGHT standard deviations of the
 distance at the similarity stay within. Pairs somewhat less similar pass that too, so the similarity of what
-is left is then worked out from the texts' sets of shingles: no link is below it. A run of more than 48 nodes links each with
-the first of its group, and in SEARCHED segments with the CLOSEST ones too.
+is left is then worked out from the texts' sets of shingles: no link is below it.
+
+What fingerprints do not propose (pairs beyond the radius or without a common key, and in a run of more than 48
+nodes all but a star) is found by an exact way (`_missed`), so that the groups are those of all pairs of the
+similarity. Two sets of the similarity share one of their first n - ceil(similarity * n) + 1 shingles in any order
+common to all; frequent shingles come last in it. Only nodes of different groups are compared: in runs of up to
+SHORT nodes of a shingle as pairs, in longer ones whole sets against each other in a task, of which a star
+for each group is left. A node is a set of shingles: texts of one fingerprint and different sets are verified like others.
 
 Defined results: null, empty and blank texts have fingerprint zero, linked like any other; null ids
 take part but name no component unless all ids are null (component null); repeated rows are rows
@@ -35,12 +41,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -51,10 +57,14 @@ WIDTH, RADIUS, SEGMENTS, SEED = 4, 4, 3, 42
 SHINGLE, WIDE, SIMILARITY, MEET, CAUGHT = 5, 4, 0.8, 0.98, 1.7
 #: Rows of one key that a task takes at once.
 RUN = 4096
-#: Nodes of a long run that each is linked with, besides the first of its group, where links are verified by their texts.
-CLOSEST = 3
-#: In the runs of so many segments, which a large group shares almost whole.
-SEARCHED = 4
+#: Documents, about, in which frequent shingles are looked for, how many must hold one, and how many shingles are kept: they order shingles, results do not depend on them.
+FIT, SEEN, FREQUENT = 16_384, 4, 1 << 18
+#: Nodes that share a shingle and are compared as pairs; of more, nodes and shingles that a task compares at once.
+SHORT, MOST, VOLUME = 48, 2048, 1 << 20
+#: Sets that share a shingle, up to which they are counted one by one, and columns of a block of the others.
+RARE, COLUMNS = 64, 4096
+#: What rounding may take from a similarity.
+SLACK = 1e-9
 #: Pairs of one node that a task verifies at once, about.
 FEW = 256
 #: Shingles hashed at once: bounds the memory of a long text.
@@ -101,18 +111,19 @@ def _ids(fp: np.ndarray) -> np.ndarray:
     return h.astype(np.int64)
 
 
-def fingerprints(docs: DataFrame, width: int = WIDTH, words: int = 1) -> DataFrame:
-    """(doc_id, text_hash, fp long, w0, ... long) of every row of docs (doc_id, text); words above 1: wide, and fp names them."""
-    names = [f"w{k}" for k in range(words)]
+def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, text_hash, fp long) of every row of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [[fingerprint(t.as_py(), width)] if words == 1 else wide_fingerprint(t.as_py(), width) for t in batch.column(2)]
-            w = np.array(own, np.uint64).astype(np.int64).reshape(-1, words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_ids(w), pa.int64()), *(pa.array(w[:, k].copy(), pa.int64()) for k in range(words))], names=["doc_id", "text_hash", "fp", *names])
+            own = np.array([fingerprint(t.as_py(), width) for t in batch.column(2)], np.uint64).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.int64())], names=["doc_id", "text_hash", "fp"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, text_hash long, fp long")
+
 
-    schema = "doc_id long, text_hash long, fp long, " + ", ".join(f"{n} long" for n in names)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
 
 
 def _parts(segments: int) -> list[tuple[int, int]]:
@@ -145,14 +156,6 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return d
 
 
-def _closest(a: np.ndarray, b: np.ndarray, d: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links from each of b to its CLOSEST of a within radius, itself left out."""
-    d = np.where(a[:, None] == b[None, :], np.uint16(radius + 1), d)
-    first = np.argpartition(d, min(CLOSEST, len(a)) - 1, axis=0)[:CLOSEST]
-    held = np.take_along_axis(d, first, 0) <= radius
-    return np.broadcast_to(b, first.shape)[held], a[first[held]]
-
-
 def _stars(a: np.ndarray, b: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links from each row to the smallest of its group, for the bipartite graph `near` between a and b."""
     rows, columns = near.any(1), near.any(0)
@@ -170,8 +173,8 @@ def _stars(a: np.ndarray, b: np.ndarray, near: np.ndarray) -> tuple[np.ndarray,
     return np.concatenate([a, b]), np.concatenate([of_a, of_b])
 
 
-def _verified(fp: np.ndarray, centre: np.ndarray, run: np.ndarray, radius: int, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links of sorted whole runs; run: number of each row's run, part: of its segment; fp: rows of words."""
+def _verified(fp: np.ndarray, centre: np.ndarray, run: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links of sorted whole runs; run: number of each row's run; fp: rows of words."""
     ids = _ids(fp)
     starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
     sizes = np.diff(np.r_[starts, len(run)])
@@ -195,10 +198,7 @@ def _verified(fp: np.ndarray, centre: np.ndarray, run: np.ndarray, radius: int,
         rows = slice(starts[i], starts[i] + sizes[i])
         held = centre[rows]
         if held.any():
-            d = _distances(fp[rows][held], fp[rows])
-            yield _stars(ids[rows][held], ids[rows], d <= radius)
-            if fp.shape[1] > 1 and part[starts[i]] < SEARCHED:  # links that are verified afterwards must not hang on one node
-                yield _closest(ids[rows][held], ids[rows], d, radius)
+            yield _stars(ids[rows][held], ids[rows], _distances(fp[rows][held], fp[rows]) <= radius)
 
 
 def _read_runs(batches: Iterator[pa.RecordBatch], radius: int, most: int, words: int) -> Iterator[pa.RecordBatch]:
@@ -210,7 +210,7 @@ def _read_runs(batches: Iterator[pa.RecordBatch], radius: int, most: int, words:
 
     def links(x: np.ndarray) -> Iterator[pa.RecordBatch]:
         run = np.cumsum(np.r_[False, (x[1:, :keys] != x[:-1, :keys]).any(1)])
-        found = list(_verified(x[:, keys:-1].copy(), x[:, -1] == 1, run, radius, x[:, 0]))
+        found = list(_verified(x[:, keys:-1].copy(), x[:, -1] == 1, run, radius))
         if found:
             u, v = (np.concatenate(c) for c in zip(*found, strict=True))
             u, v = np.maximum(u, v), np.minimum(u, v)
@@ -330,15 +330,84 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, s
 def shingle_set(text: str | None, width: int = SHINGLE) -> np.ndarray:
     """The different shingles' hashes, ascending."""
     own = (text or "").encode("utf-8", "replace").lower().split()
-    n = max(1, len(own) - width + 1) if own else 0
-    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(own[i : i + width])) for i in range(n)), np.uint64, n))
+    if not own:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(own)
+    ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1) - 1
+    last = ends[min(width, len(own)) - 1 :].tolist()
+    starts = [0, *(ends[: len(last) - 1] + 1).tolist()]
+    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(joined[a:b]) for a, b in zip(starts, last, strict=True)), np.uint64, len(last)))
+
+
+def _frequent(docs: DataFrame, width: int) -> np.ndarray:
+    """Shingles that SEEN of about FIT documents hold, from the least to the most frequent."""
+    share = max(1, docs.count() // FIT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, n = np.unique(np.concatenate([shingle_set(t.as_py(), width) for t in batch.column(0)] or [np.zeros(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(held.view(np.int64)), pa.array(n.astype(np.int64))], names=["token", "n"])
+
+    counted = docs.filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    found = counted.filter(F.col("n") >= SEEN).orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").toArrow()
+    return found.column(0).to_numpy()[::-1].astype(np.int64).view(np.uint64)
+
+
+def needed(n: int, similarity: float) -> int:
+    """How many shingles a set of n shares with any set of the similarity, at least."""
+    return math.ceil(similarity * n - SLACK)
+
+
+def prefix(own: np.ndarray, tokens: np.ndarray, ranks: np.ndarray, similarity: float) -> np.ndarray:
+    """Those shingles of a set of which any set of the similarity has one among its own: the first in the order of ranks (of ascending tokens; others come before them), then of hashes."""
+    n = min(len(own), len(own) - needed(len(own), similarity) + 1)
+    at = np.searchsorted(tokens, own)
+    often = np.r_[tokens, np.uint64(0)][at] == own
+    often[at == len(tokens)] = False
+    first = own[~often][:n]
+    if len(first) == n:
+        return first
+    return np.concatenate([first, own[often][np.argsort(ranks[at[often]])[: n - len(first)]]])
+
+
+def sketch(own: np.ndarray) -> np.ndarray:
+    """How many shingles of a set fall into each cell by their hashes (255 at most), four to eight a cell."""
+    cells = 1 << max(5, (len(own) // 8).bit_length())
+    return np.minimum(np.bincount((own & np.uint64(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8)
+
+
+def differ(a: np.ndarray, b: np.ndarray) -> int:
+    """By how many shingles two sets differ at least, by their sketches."""
+    a, b = (a, b) if len(a) > len(b) else (b, a)
+    a = a.reshape(-1, len(b)).sum(0, dtype=np.int64)
+    return int(np.abs(a - b).sum())
+
+
+def signatures(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, text_hash, fp, name, w0, ..., n, prefix, sketch) of every row of docs (doc_id, text): fp names its set of n shingles, name its wide fingerprint."""
+    frequent = _frequent(docs, width)
+    order = np.argsort(frequent)
+    known = docs.sparkSession.sparkContext.broadcast((frequent[order], order))
+    names = [f"w{k}" for k in range(WIDE)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            sets = [shingle_set(t, width) for t in texts]
+            w = np.array([wide_fingerprint(t, width) for t in texts], np.uint64).astype(np.int64).reshape(-1, WIDE)
+            fp = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            first = pa.array([prefix(x, *known.value, similarity).view(np.int64) for x in sets], pa.list_(pa.int64()))
+            n = pa.array([len(x) for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp), pa.array(_ids(w), pa.int64()), *(pa.array(w[:, k].copy(), pa.int64()) for k in range(WIDE)), n, first, pa.array([sketch(x).tobytes() for x in sets], pa.binary())], names=["doc_id", "text_hash", "fp", "name", *names, "n", "prefix", "sketch"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, text_hash long, fp long, name long, " + ", ".join(f"{n} long" for n in names) + ", n long, prefix array<long>, sketch binary")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, links: DataFrame, width: int) -> DataFrame:
     """(fp, shingles binary) of the first text of each of the nodes (fp, first) that links (u, v) name, stored."""
     named = links.select(F.explode(F.array("u", "v")).alias("fp"))
     wanted = nodes.join(named, "fp", "left_semi").select("fp", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    texts = _texts(docs)
     rows = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_id"]) & (texts["text_hash"] == wanted["_hash"])).select("fp", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,15 +443,127 @@ def verified(links: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
     return written(_alike(links, sets, similarity).filter("alike").select("u", "v"), "verified")
 
 
-def similar(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, text_hash, fp, component_id) of every row of docs (doc_id, text): groups of texts of the similarity, met by wide fingerprints and verified by their shingles."""
-    fps = written(fingerprints(docs, width, WIDE), "fingerprints")
-    own = [f"w{k}" for k in range(WIDE)]
+def _proposed(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Different pairs (u, v) of nodes whose wide fingerprints are linked or equal."""
+    wide = written(nodes.groupBy("name").agg(F.min("fp").alias("first"), *[F.min(f"w{k}").alias(f"w{k}") for k in range(WIDE)]), "wide")
+    links = linked_wide(wide.withColumnRenamed("name", "fp"), similarity).distinct()
+    of_u, of_v = (wide.select(F.col("name").alias(end), F.col("first").alias(f"first_{end}")) for end in ("u", "v"))
+    between = links.join(of_u, "u").join(of_v, "v").select(F.col("first_u").alias("u"), F.col("first_v").alias("v"))
+    equal = nodes.select("fp", "name").join(wide.select("name", "first"), "name").filter("fp != first").select(F.col("fp").alias("u"), F.col("first").alias("v"))
+    return between.union(equal)
+
+
+def _plausible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (u, v) of nodes that may have the similarity by their sketches."""
+    of_u, of_v = (nodes.select(F.col("fp").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"s_{end}")) for end in ("u", "v"))
+    share = (1 - similarity) / (1 + similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, _, n, m, a, b = (c.to_pylist() for c in batch.columns)
+            kept = [differ(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) <= share * (i + j) + SLACK for i, j, x, y in zip(n, m, a, b, strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(kept, pa.bool_()))
+
+    return pairs.join(of_u, "u").join(of_v, "v").select("u", "v", "n_u", "n_v", "s_u", "s_v").mapInArrow(run, "u long, v long")
+
+
+def _meeting(rows: DataFrame) -> DataFrame:
+    """Those of rows (token, fp, n, group) whose token nodes of other groups have, with how many rows have it."""
+    of = Window.partitionBy("token")
+    counted = rows.select("*", F.count("*").over(of).alias("many"), F.min("group").over(of).alias("low"), F.max("group").over(of).alias("high"))
+    return counted.filter("low < high").drop("low", "high")
+
+
+def _in_common(tokens: np.ndarray, of: np.ndarray, k: int) -> np.ndarray:
+    """How many tokens each two of k sets share (the diagonal is undefined); of: each token's set."""
+    order = np.argsort(tokens, kind="stable")
+    tokens, of = tokens[order], of[order]
+    sizes = np.diff(np.r_[np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]]), len(tokens)])
+    held = np.repeat(sizes, sizes)
+    both = np.zeros(k * k, np.int32)
+    rare = (held > 1) & (held <= RARE)
+    x, y = tokens[rare], of[rare]
+    for lag in range(1, RARE):
+        same = x[lag:] == x[:-lag]
+        if not same.any():
+            break
+        np.add.at(both, y[:-lag][same] * k + y[lag:][same], 1)
+    both = both.reshape(k, k)
+    both = both + both.T
+    often = held > RARE
+    _, column = np.unique(tokens[often], return_inverse=True)
+    rows = of[often]
+    for start in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        some = (column >= start) & (column < start + COLUMNS)
+        m = np.zeros((k, COLUMNS), np.float32)
+        m[rows[some], column[some] - start] = 1
+        both += (m @ m.T).astype(np.int32)
+    return both
+
+
+def _stars_of_sets(ids: np.ndarray, groups: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links from each of the sets to the smallest id of those it hangs together with by the similarity, between groups only."""
+    n = np.array([len(x) for x in sets])
+    both = _in_common(np.concatenate(sets), np.repeat(np.arange(len(n)), n), len(n))
+    near = both >= similarity * (n[:, None] + n[None, :] - both)
+    np.fill_diagonal(near, False)
+    u, v = _stars(ids, ids, near)
+    order = np.argsort(ids)
+    group = lambda x: groups[order[np.searchsorted(ids[order], x)]]
+    keep = group(u) != group(v)
+    return u[keep], v[keep]
+
+
+def _read_sets(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """From rows (token, a, b, fp, group, shingles) sorted by (token, a, b): links (u, v)."""
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+    for _, run in groupby(rows(), lambda r: r[:3]):
+        own = {fp: (group, np.frombuffer(shingles, np.uint64)) for *_, fp, group, shingles in run}
+        if len({group for group, _ in own.values()}) < 2:
+            continue
+        groups, sets = zip(*own.values(), strict=True)
+        u, v = _stars_of_sets(np.array(list(own), np.int64), np.array(groups, np.int64), list(sets), similarity)
+        pair = np.unique(np.stack([u, v], 1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], names=["u", "v"])
+
+
+def _missed(docs: DataFrame, nodes: DataFrame, groups: DataFrame, width: int, similarity: float, most: int) -> DataFrame:
+    """Links (u, v) of the similarity that join the groups (node, component) to those of all pairs of nodes of the similarity."""
+    grouped = nodes.join(groups, nodes["fp"] == groups["node"], "left").select(F.explode("prefix").alias("token"), "fp", "n", F.coalesce("component", "fp").alias("group"))
+    met = written(_meeting(grouped), "met")
+    few, many = met.filter(F.col("many") <= SHORT), met.filter(F.col("many") > SHORT)
+    a, b = few.alias("a"), few.alias("b")
+    fits = (F.col("a.fp") > F.col("b.fp")) & (F.col("a.group") != F.col("b.group")) & (F.least("a.n", "b.n") >= similarity * F.greatest("a.n", "b.n") - SLACK)
+    shared = a.join(b, (F.col("a.token") == F.col("b.token")) & fits).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).distinct()
+    pairs = written(_plausible(shared, nodes, similarity), "pairs")
+    sets = _sets(docs, nodes, pairs.union(many.select(F.col("fp").alias("u"), F.col("fp").alias("v"))), width)
+    links = verified(pairs, sets, similarity)
+    if many.isEmpty():
+        return links
+    # every node meets every block of its shingle's nodes in the pairs of blocks that its own takes part in
+    load = F.greatest(F.count("*") / most, F.sum("n") / VOLUME)
+    blocks = many.groupBy("token").agg(F.when(load <= 1, 1).otherwise(F.ceil(2 * load)).cast("int").alias("blocks"))
+    dealt = many.join(blocks, "token").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("a"), F.greatest(o, F.col("own")).alias("b")))
+    spread = dealt.withColumn("p", F.explode(other)).select("token", "p.a", "p.b", "fp", "group").join(sets, "fp").select("token", "a", "b", "fp", "group", "shingles")
+    found = spread.repartition("token", "a", "b").sortWithinPartitions("token", "a", "b").mapInArrow(lambda x: _read_sets(x, similarity), "u long, v long")
+    return links.union(written(found, "links"))
+
+
+def similar(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY, most: int = MOST) -> DataFrame:
+    """(doc_id, text_hash, fp, component_id) of every row of docs (doc_id, text): groups of all pairs of texts of the similarity, met by wide fingerprints, verified by their shingles and completed by them."""
+    fps = written(signatures(docs, width, similarity), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), first, *[F.min(w).alias(w) for w in own]), "nodes")
-    links = written(linked_wide(nodes, similarity).distinct(), "pairs")
-    sets = _sets(docs, nodes, links, width)
-    return _grouped(fps, nodes, verified(links, sets, similarity))
+    words = [f"w{k}" for k in range(WIDE)]
+    named = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), first, F.min(F.struct("name", *words)).alias("w"), F.min("n").alias("n"), *[F.any_value(x).alias(x) for x in ("prefix", "sketch")])
+    nodes = written(named.select("fp", "first_id", "first", "w.*", "n", "prefix", "sketch"), "nodes")
+    pairs = written(_proposed(nodes, similarity), "pairs")
+    links = verified(pairs, _sets(docs, nodes, pairs, width), similarity)
+    return _grouped(fps, nodes, links.union(_missed(docs, nodes, connected(links), width, similarity, most)))
 
 
 def deduplicated(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
