@@ -104,4 +104,4 @@ def test_sketches_never_exceed_the_difference():
         for m in (0, 3, 260, 1100, 6000):
             b = np.unique(np.r_[a[: m // 2], rng.choice(every, m, replace=False)])
             assert differ(sketch(a), sketch(b)) <= len(np.setxor1d(a, b))
-    assert differ(sketch(every[:400]), sketch(every[400:800])) > 0.8 / 1.8 * 400
+    assert differ(sketch(every[:400]), sketch(every[400:800])) > 0.2 / 1.8 * 800  # sets of nothing in common are told apart
