@@ -3,8 +3,8 @@
 Each round is two grouped minima and two joins over the links; links never come to the driver. A
 star's centre may hold a third of all links: minima are pre-aggregated before the shuffle, and centres of
 more than their share of links (there are at most HEAVY of them) are sent to the links, not the links
-to them. Every round is written
-to shared storage, which cuts the lineage and survives lost executors.
+to them. Every step of a round is written to shared storage, which cuts the lineage and survives lost
+executors; as one plan, a round would hold its first steps dozens of times, and the driver all of that.
 """
 
 from __future__ import annotations
@@ -46,10 +46,10 @@ def connected(links: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         # large star: every neighbour above a node is linked to the smallest of its neighbours and itself
         both = edges.filter("u != v").select("u", "v").union(edges.filter("u != v").select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = _least(both).withColumn("m", F.least("m", "k"))
-        large = _joined(both, least, 2 * total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = written(_least(both).withColumn("m", F.least("m", "k")), "least")
+        large = written(_joined(both, least, 2 * total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         # small star: a node and its neighbours below it are linked to the smallest of them
-        low = _least(large)
+        low = written(_least(large), "low")
         small = _joined(large, low, total).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select(F.col("k").alias("u"), F.col("m").alias("v")))
         edges = written(small.filter("u != v").distinct(), "round")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -563,7 +563,9 @@ def similar(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARIT
     nodes = written(named.select("fp", "first_id", "first", "w.*", "n", "prefix", "sketch"), "nodes")
     pairs = written(_proposed(nodes, similarity), "pairs")
     links = verified(pairs, _sets(docs, nodes, pairs, width), similarity)
-    return _grouped(fps, nodes, links.union(_missed(docs, nodes, connected(links), width, similarity, most)))
+    groups = written(connected(links), "proposed")
+    stars = groups.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    return _grouped(fps, nodes, stars.union(_missed(docs, nodes, groups, width, similarity, most)))
 
 
 def deduplicated(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
