@@ -29,7 +29,8 @@ What fingerprints do not propose (pairs beyond the radius or without a common ke
 nodes all but a star) is found by an exact way (`_missed`), so that the groups are those of all pairs of the
 similarity. Two sets of the similarity share one of their first n - ceil(similarity * n) + 1 shingles in any order
 common to all; frequent shingles come last in it. Only nodes of different groups are compared: in runs of up to
-SHORT nodes of a shingle as pairs, in longer ones whole sets against each other in a task, of which a star
+SHORT nodes of a shingle as pairs (at the first shingle that both have, where what is left of both sets can
+still hold what they must share), in longer ones whole sets against each other in a task, of which a star
 for each group is left. A node is a set of shingles: texts of one fingerprint and different sets are verified like others.
 
 Defined results: null, empty and blank texts have fingerprint zero, linked like any other; null ids
@@ -63,6 +64,8 @@ FIT, SEEN, FREQUENT = 16_384, 4, 1 << 18
 SHORT, MOST, VOLUME = 48, 2048, 1 << 20
 #: Sets that share a shingle, up to which they are counted one by one, and columns of a block of the others.
 RARE, COLUMNS = 64, 4096
+#: Shingles of a node, before one that it shares, that tell whether a pair has met already; results do not depend on it.
+BEFORE = 4
 #: What rounding may take from a similarity.
 SLACK = 1e-9
 #: Pairs of one node that a task verifies at once, about.
@@ -362,8 +365,7 @@ def prefix(own: np.ndarray, tokens: np.ndarray, ranks: np.ndarray, similarity: f
     """Those shingles of a set of which any set of the similarity has one among its own: the first in the order of ranks (of ascending tokens; others come before them), then of hashes."""
     n = min(len(own), len(own) - needed(len(own), similarity) + 1)
     at = np.searchsorted(tokens, own)
-    often = np.r_[tokens, np.uint64(0)][at] == own
-    often[at == len(tokens)] = False
+    often = tokens[np.minimum(at, len(tokens) - 1)] == own if len(tokens) else np.zeros(len(own), bool)
     first = own[~often][:n]
     if len(first) == n:
         return first
@@ -468,12 +470,30 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFra
 
 
 def _meeting(rows: DataFrame) -> DataFrame:
-    """Those of rows (token, fp, n, group) whose token nodes of other groups have, with how many rows have it."""
+    """Those of rows (token, at, fp, n, group) whose token nodes of other groups have, with how many rows have it."""
     of = Window.partitionBy("token")
     counted = rows.select("*", F.count("*").over(of).alias("many"), F.min("group").over(of).alias("low"), F.max("group").over(of).alias("high"))
     return counted.filter("low < high").drop("low", "high")
 
 
+def _sharing(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) of nodes of other groups that share a token of rows (token, at, fp, n, group) and may have the similarity by what is left of their sets from there on; at: the token's place in the set's order.
+
+    A pair of the similarity passes at the first token that both have: they share none before it. So a token is
+    left out for a pair if one of the BEFORE rows before it of the one is among those of the other.
+    """
+    before = Window.partitionBy("fp").orderBy("at").rowsBetween(-BEFORE, -1)
+    runs = rows.withColumn("before", F.collect_list("token").over(before)).groupBy("token").agg(F.collect_list(F.struct("fp", "n", "group", "at", "before")).alias("own"))
+    share = similarity / (1 + similarity)
+
+    def fits(a: Column, b: Column) -> Column:
+        enough = F.least(a["n"] - a["at"], b["n"] - b["at"]) >= share * (a["n"] + b["n"]) - SLACK
+        return (a["fp"] > b["fp"]) & (a["group"] != b["group"]) & enough & ~F.arrays_overlap(a["before"], b["before"])
+
+    met = F.flatten(F.transform("own", lambda a: F.transform(F.filter("own", lambda b: fits(a, b)), lambda b: F.struct(a["fp"].alias("u"), b["fp"].alias("v")))))
+    return runs.select(F.explode(met).alias("p")).select("p.u", "p.v")
+
+
 def _in_common(tokens: np.ndarray, of: np.ndarray, k: int) -> np.ndarray:
     """How many tokens each two of k sets share (the diagonal is undefined); of: each token's set."""
     order = np.argsort(tokens, kind="stable")
@@ -533,12 +553,10 @@ def _read_sets(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator
 
 def _missed(docs: DataFrame, nodes: DataFrame, groups: DataFrame, width: int, similarity: float, most: int) -> DataFrame:
     """Links (u, v) of the similarity that join the groups (node, component) to those of all pairs of nodes of the similarity."""
-    grouped = nodes.join(groups, nodes["fp"] == groups["node"], "left").select(F.explode("prefix").alias("token"), "fp", "n", F.coalesce("component", "fp").alias("group"))
+    grouped = nodes.join(groups, nodes["fp"] == groups["node"], "left").select(F.posexplode("prefix").alias("at", "token"), "fp", "n", F.coalesce("component", "fp").alias("group"))
     met = written(_meeting(grouped), "met")
     few, many = met.filter(F.col("many") <= SHORT), met.filter(F.col("many") > SHORT)
-    a, b = few.alias("a"), few.alias("b")
-    fits = (F.col("a.fp") > F.col("b.fp")) & (F.col("a.group") != F.col("b.group")) & (F.least("a.n", "b.n") >= similarity * F.greatest("a.n", "b.n") - SLACK)
-    shared = a.join(b, (F.col("a.token") == F.col("b.token")) & fits).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).distinct()
+    shared = _sharing(few, similarity).distinct()
     pairs = written(_plausible(shared, nodes, similarity), "pairs")
     sets = _sets(docs, nodes, pairs.union(many.select(F.col("fp").alias("u"), F.col("fp").alias("v"))), width)
     links = verified(pairs, sets, similarity)
