@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,12 +52,17 @@ def sustained(df: DataFrame, keys: list[str], time: str, value: str, reach: int)
 
 
 def quality(df: DataFrame, keys: list[str], time: str, value: str, most_rate: float, most_gap: int) -> DataFrame:
-    """(keys, jumps, gaps, repeats, findings): rows that change too fast, come too late, or at the same time; and what was found, by name."""
+    """(keys, jumps, gaps, repeats, findings): rows that change too fast, come too late, or at the same time; and what was found, by name.
+
+    The change that `most_rate` allows is taken in decimals: as a product of doubles, 0.05 times 3 is more than 0.15.
+    """
     at = W.partitionBy(*keys).orderBy(time, value)
     dt, dv = F.col(time) - F.lag(time).over(at), F.col(value) - F.lag(value).over(at)
     flags = df.withColumns({"_dt": dt, "_dv": dv})
+    whole = dict(df.dtypes)[time] in ("int", "bigint")
+    allowed = (F.lit(Decimal(repr(most_rate))) * F.col("_dt").cast("decimal(20,0)")).cast("double") if whole else most_rate * F.col("_dt")
     counted = flags.groupBy(*keys).agg(
-        F.count_if((F.col("_dt") > 0) & (F.abs("_dv") > most_rate * F.col("_dt"))).alias("jumps"), F.count_if(F.col("_dt") > most_gap).alias("gaps"), F.count_if(F.col("_dt") == 0).alias("repeats")
+        F.count_if((F.col("_dt") > 0) & (F.abs("_dv") > allowed)).alias("jumps"), F.count_if(F.col("_dt") > most_gap).alias("gaps"), F.count_if(F.col("_dt") == 0).alias("repeats")
     )
     return counted.withColumn("findings", F.array_compact(F.array(*(F.when(F.col(c) > 0, c) for c in ("jumps", "gaps", "repeats")))))
 
