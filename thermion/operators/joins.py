@@ -41,18 +41,19 @@ def preceded(left: DataFrame, right: DataFrame, keys: list[str], time: str, who:
     return a.join(b, met & (F.col(who) != F.col("_who")) & (passed >= least) & (passed <= most), "left_semi").drop("_bucket")
 
 
-def prioritised(left: DataFrame, right: DataFrame, rules: list[tuple[str, Column]], left_id: str, order: list[Column]) -> DataFrame:
-    """left with the first match in right by the first rule that gives any; `match` names the rule, null where none does.
+def prioritised(left: DataFrame, right: DataFrame, rules: list[tuple[str, str, str]], order: list[Column]) -> DataFrame:
+    """left with the first match in right, by `order`, of the first rule that gives any; `match` names the rule, null where none does.
 
-    Each rule is an equi-join of its own, so none is a nested loop; right's columns must not clash.
+    A rule is (name, column of left, column of right), which are to be equal. Of right, only the first row of each value goes into
+    a join, so that no row of left meets more than one. Right's columns must not clash.
     """
-    each = [left.join(right, rule).withColumn("match", F.lit(name)).withColumn("_level", F.lit(i)) for i, (name, rule) in enumerate(rules)]
-    found = each[0]
-    for more in each[1:]:
-        found = found.unionByName(more)
-    best = found.withColumn("_n", F.row_number().over(W.partitionBy(left_id).orderBy("_level", *order))).filter("_n = 1").drop("_n", "_level")
-    kept = best.select(F.col(left_id).alias("_id"), *right.columns, "match")
-    return left.join(kept, left[left_id] == kept["_id"], "left").drop("_id")
+    out = left
+    for i, (_, ours, theirs) in enumerate(rules):
+        first = right.withColumn("_n", F.row_number().over(W.partitionBy(theirs).orderBy(*order))).filter("_n = 1")
+        out = out.join(first.select(F.col(theirs).alias(f"_key{i}"), F.struct(*right.columns).alias(f"_row{i}")), F.col(ours) == F.col(f"_key{i}"), "left")
+    row = F.coalesce(*[F.col(f"_row{i}") for i in range(len(rules))])
+    match = F.coalesce(*[F.when(F.col(f"_key{i}").isNotNull(), F.lit(name)) for i, (name, _, _) in enumerate(rules)])
+    return out.select(*left.columns, *[row[c].alias(c) for c in right.columns], match.alias("match"))
 
 
 def unambiguous(left: DataFrame, right: DataFrame, name: str, left_id: str, right_id: str) -> DataFrame:
