@@ -62,15 +62,29 @@ def unambiguous(left: DataFrame, right: DataFrame, name: str, left_id: str, righ
     return once(left, left_id).join(once(right, right_id), name).select(left_id, right_id)
 
 
+#: Cells are so much longer than what they stand for that a quotient rounded up does not take a pair two cells apart.
+SLACK = 1 + 1e-9
+
+
+def _cell(c: str, side: float) -> Column:
+    return F.floor(F.col(c) / side).cast("long")
+
+
 def nearby_pairs(df: DataFrame, keys: list[str], east: str, north: str, who: str, reach: float) -> DataFrame:
-    """(keys, a, b) with a < b of rows of a key within `reach`, by grid cells of that size: a row meets the nine cells around it."""
-    cell = lambda c: F.floor(F.col(c) / reach).cast("long")
-    around = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
-    a = df.select(*keys, F.col(who).alias("a"), F.col(east).alias("ea"), F.col(north).alias("na"), cell(east).alias("_x"), cell(north).alias("_y"))
-    b = df.select(*keys, F.col(who).alias("b"), F.col(east).alias("eb"), F.col(north).alias("nb"), cell(east).alias("_x"), cell(north).alias("_y"))
-    b = b.withColumn("_dx", around).withColumn("_dy", around).withColumn("_x", F.col("_x") + F.col("_dx")).withColumn("_y", F.col("_y") + F.col("_dy"))
-    met = a.join(b, [*keys, "_x", "_y"]).filter((F.col("a") < F.col("b")) & (F.hypot(F.col("ea") - F.col("eb"), F.col("na") - F.col("nb")) <= reach))
-    return met.select(*keys, "a", "b")
+    """(keys, a, b) with a < b of rows of a key within `reach`, by grid cells of that size.
+
+    Of two cells side by side one meets the other, so that a row meets its own cell and four around it. Neither side is ever sent
+    to all tasks: rows filed in five cells are more than their table's size tells.
+    """
+    side = reach * SLACK
+    a = df.select(*keys, F.col(who).alias("_a"), F.col(east).alias("_ea"), F.col(north).alias("_na"), _cell(east, side).alias("_x"), _cell(north, side).alias("_y"))
+    b = df.select(*keys, F.col(who).alias("_b"), F.col(east).alias("_eb"), F.col(north).alias("_nb"), _cell(east, side).alias("_x"), _cell(north, side).alias("_y"))
+    ahead = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))]))
+    b = b.withColumn("_o", ahead).withColumns({"_x": F.col("_x") + F.col("_o.i"), "_y": F.col("_y") + F.col("_o.j"), "_own": (F.col("_o.i") == 0) & (F.col("_o.j") == 0)}).drop("_o")
+    de, dn = F.col("_ea") - F.col("_eb"), F.col("_na") - F.col("_nb")
+    once = F.when(F.col("_own"), F.col("_a") < F.col("_b")).otherwise(F.col("_a") != F.col("_b"))
+    met = a.join(b.hint("merge"), [*keys, "_x", "_y"]).filter(once & (F.sqrt(de * de + dn * dn) <= reach))
+    return met.select(*keys, F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
 
 
 def nearest_within(left: DataFrame, right: DataFrame, left_id: str, right_id: str, east: str, north: str, reach: float) -> DataFrame:
