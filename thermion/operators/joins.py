@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .components import kept
+
 
 def _buckets(begin: Column, end: Column, width: int) -> Column:
     return F.sequence(F.floor(begin / width), F.floor(end / width))
@@ -87,19 +91,45 @@ def nearby_pairs(df: DataFrame, keys: list[str], east: str, north: str, who: str
     return met.select(*keys, F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
 
 
+#: Rows of a cell that a row is looked for in, about, where rows lie close.
+CROWD = 16
+
+
 def nearest_within(left: DataFrame, right: DataFrame, left_id: str, right_id: str, east: str, north: str, reach: float) -> DataFrame:
     """(left_id, right_id, metres) of the nearest row of right within `reach`; ties go to the smaller id. Rows without one are left out.
 
-    Both have east and north in metres. Right's rows are filed under the nine cells of size `reach` around them.
+    Both have east and north in metres. Left's rows look in the nine cells around them: first in cells so small that about CROWD of
+    right's rows share one, where these lie closest; those that find none go on in cells twice as large, up to `reach`.
     """
-    cell = lambda c: F.floor(F.col(c) / reach).cast("long")
-    around = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
-    a = left.select(left_id, F.col(east).alias("_e"), F.col(north).alias("_n"), cell(east).alias("_x"), cell(north).alias("_y"))
-    b = right.select(F.col(right_id).alias("_id"), F.col(east).alias("_re"), F.col(north).alias("_rn"), cell(east).alias("_x"), cell(north).alias("_y"))
-    b = b.withColumn("_dx", around).withColumn("_dy", around).withColumn("_x", F.col("_x") + F.col("_dx")).withColumn("_y", F.col("_y") + F.col("_dy"))
-    met = a.join(b, ["_x", "_y"]).withColumn("_m", F.hypot(F.col("_e") - F.col("_re"), F.col("_n") - F.col("_rn"))).filter(F.col("_m") <= reach)
-    best = met.groupBy(left_id).agg(F.min(F.struct("_m", "_id")).alias("_b"))
-    return best.select(left_id, F.col("_b._id").alias(right_id), F.col("_b._m").alias("metres"))
+    sound = F.col("_e").isNotNull() & F.col("_n").isNotNull() & (F.abs("_e") < float("inf")) & (F.abs("_n") < float("inf"))
+    a = left.select(left_id, F.col(east).alias("_e"), F.col(north).alias("_n")).filter(sound & F.col(left_id).isNotNull())
+    b = right.select(F.col(right_id).alias("_id"), F.col(east).alias("_e"), F.col(north).alias("_n")).filter(sound)
+    b = b.groupBy("_e", "_n").agg(F.min("_id").alias("_id"))  # of rows at one place only the first can be nearest
+    halvings, finest = 0, 40
+    while halvings < finest:
+        side = reach * SLACK / 2**halvings
+        cells = b.groupBy(_cell("_e", side), _cell("_n", side)).agg(F.count("*").cast("double").alias("c"))
+        crowd = cells.agg(F.sum(F.col("c") * F.col("c")) / F.sum("c")).first()[0] or 0.0
+        if crowd <= 4 * CROWD:
+            break
+        halvings = min(finest, halvings + math.ceil(math.log(crowd / CROWD, 4)))
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    found = None
+    for k in range(halvings, -1, -1):
+        near = reach / 2**k
+        side = near * SLACK
+        asks = a.withColumn("_o", around).select(left_id, F.col("_e").alias("_le"), F.col("_n").alias("_ln"), (_cell("_e", side) + F.col("_o.i")).alias("_x"), (_cell("_n", side) + F.col("_o.j")).alias("_y"))
+        filed = b.withColumns({"_x": _cell("_e", side), "_y": _cell("_n", side)})
+        de, dn = F.col("_le") - F.col("_e"), F.col("_ln") - F.col("_n")
+        met = asks.hint("merge").join(filed, ["_x", "_y"]).withColumn("_m", F.sqrt(de * de + dn * dn)).filter(F.col("_m") <= near)
+        best = met.groupBy(left_id).agg(F.min(F.struct("_m", "_id")).alias("_b"))
+        if k:
+            best = kept(best)
+            a = kept(a.join(best.select(left_id), left_id, "left_anti"))
+        found = best if found is None else found.unionByName(best)
+        if k and a.isEmpty():
+            break
+    return found.select(left_id, F.col("_b._id").alias(right_id), F.col("_b._m").alias("metres"))
 
 
 def nearest_step(left: DataFrame, grid: DataFrame, keys: list[str], time: str, origin: int, step: int) -> DataFrame:
