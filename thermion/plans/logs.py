@@ -25,7 +25,7 @@ def waypoint_formats(spark, d):
     for kind, reader in waypoints.READERS.items():
         # a file a hundred customers: elements are found in whole files
         records = points.select(F.floor(F.col("line_no") / 100).cast("string").alias("track_file"), "line_no", waypoints.writers()[kind][1].alias("line"))
-        own = reader(records).select(F.lit(kind).alias("format"), "code", "name", shown(F.col("lat"), 4).alias("lat"), shown(F.col("lon"), 4).alias("lon"), shown(F.col("alt"), 1).alias("alt"))
+        own = reader(waypoints.worked_out(records, line=F.col("line"))).select(F.lit(kind).alias("format"), "code", "name", shown(F.col("lat"), 4).alias("lat"), shown(F.col("lon"), 4).alias("lon"), shown(F.col("alt"), 1).alias("alt"))
         out = own if out is None else out.unionByName(own)
     return out
 

@@ -15,6 +15,13 @@ COLUMNS = ("file", "code", "name", "lat", "lon", "alt", "radius")
 FEET = 0.3048
 
 
+def worked_out(df: DataFrame, **own: Column) -> DataFrame:
+    """df with columns that are worked out once a row: the optimizer writes no formula into later ones and filters, however often they name it."""
+    for name, value in own.items():
+        df = df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+    return df
+
+
 def packed_degrees(text: Column) -> Column:
     """DDMM.mmmN or DDDMM.mmmE as degrees."""
     layout = r"^(\d{2,3})(\d{2}\.\d+)([NSEW])$"
@@ -31,7 +38,7 @@ def metres(text: Column) -> Column:
 def _rows(df: DataFrame, **own: Column) -> DataFrame:
     none = {"alt": F.lit(None).cast("double"), "radius": F.lit(None).cast("double")}
     every = none | own
-    placed = df.select(F.col("track_file").alias("file"), "line_no", *[every[c].alias(c) for c in COLUMNS[1:]])
+    placed = worked_out(df, _row=F.struct(*[every[c].alias(c) for c in COLUMNS[1:]])).select(F.col("track_file").alias("file"), "_row.*")
     return placed.filter(F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180)).select(*COLUMNS)
 
 
@@ -46,7 +53,7 @@ def read_cup(source: DataFrame) -> DataFrame:
     """SeeYou: name, code, country, lat, lon, elev, ...; quoted, until the line of dashes."""
     quoted = F.transform(F.regexp_extract_all(F.concat(F.col("line"), F.lit(",")), F.lit(r'("(?:[^"]|"")*"|[^,]*),'), 1), lambda c: F.regexp_replace(c, '^"|"$', ""))
     end = source.filter(F.col("line").startswith("-----")).groupBy("track_file").agg(F.min("line_no").alias("end"))
-    body = source.join(end, "track_file", "left").filter("line_no > 0 and (end is null or line_no < end) and trim(line) <> ''").withColumn("f", quoted)
+    body = source.join(end, "track_file", "left").filter("line_no > 0 and (end is null or line_no < end) and trim(line) <> ''").transform(worked_out, f=quoted)
     part = lambda i: F.get("f", F.lit(i))
     return _rows(body, code=F.coalesce(F.nullif(part(1), F.lit("")), part(0)), name=part(0), lat=packed_degrees(part(3)), lon=packed_degrees(part(4)), alt=metres(part(5)))
 
@@ -105,7 +112,7 @@ def _tail(words: Column, at: Column) -> tuple[Column, Column]:
 
 
 def _plain(source: DataFrame) -> DataFrame:
-    return source.filter(~F.trim("line").rlike(r"^[$#*]") & (F.trim("line") != "")).withColumn("w", _words())
+    return source.filter(~F.trim("line").rlike(r"^[$#*]") & (F.trim("line") != "")).transform(worked_out, w=_words())
 
 
 def _code(words: Column, upto: Column) -> Column:
@@ -115,7 +122,7 @@ def _code(words: Column, upto: Column) -> Column:
 def read_geo(source: DataFrame) -> DataFrame:
     """$FormatGEO: CODE N dd mm ss.ss E ddd mm ss.ss alt name."""
     at = lambda letters, since: F.get(F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i > since) & F.upper(F.get("w", i)).isin(*letters)), F.lit(0))
-    placed = _plain(source).withColumn("i", at("NS", F.lit(0))).withColumn("j", at("EW", F.col("i"))).filter("i >= 1 and j + 3 < size(w)")
+    placed = worked_out(_plain(source), i=at("NS", F.lit(0)), j=at("EW", F.col("i"))).filter("i >= 1 and j + 3 < size(w)")
     part = lambda i, k: F.get("w", F.col(i) + k).try_cast("double")
     angle = lambda i, neg: (part(i, 1) + part(i, 2) / 60 + part(i, 3) / 3600) * F.when(F.upper(F.get("w", F.col(i))) == neg, -1).otherwise(1)
     placed = placed.withColumns({"lat": angle("i", "S"), "lon": angle("j", "W")})
@@ -127,11 +134,11 @@ def read_geo(source: DataFrame) -> DataFrame:
 def read_utm(source: DataFrame) -> DataFrame:
     """$FormatUTM: CODE zone and band, easting, northing, alt, name."""
     at = F.get(F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i).rlike(r"(?i)^\d{1,2}[C-HJ-NP-X]$")), F.lit(0))
-    placed = _plain(source).withColumn("i", at).filter("i >= 1 and i + 2 < size(w)")
+    placed = worked_out(_plain(source), i=at).filter("i >= 1 and i + 2 < size(w)")
     zone = F.get("w", F.col("i"))
     part = lambda k: F.get("w", F.col("i") + k).try_cast("double")
     grid = placed.withColumns({"zone": F.regexp_extract(zone, r"^(\d+)", 1).cast("int"), "northern": F.upper(F.right(zone, F.lit(1))) >= "N", "east": part(1), "north": part(2)})
-    found = grid.withColumn("place", from_grid(F.col("zone"), F.col("northern"), F.col("east"), F.col("north")))
+    found = worked_out(grid, place=from_grid(F.col("zone"), F.col("northern"), F.col("east"), F.col("north")))
     alt, name = _tail(F.col("w"), F.col("i") + 3)
     code = _code(F.col("w"), F.col("i"))
     return _rows(found, code=code, name=F.coalesce(F.nullif(name, F.lit("")), code), lat=F.col("place.lat"), lon=F.col("place.lon"), alt=alt)
